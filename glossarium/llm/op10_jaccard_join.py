@@ -3,23 +3,25 @@
 Jaccard distance is a metric, and sets within r of each other obey the
 triangle inequality about any third set, the pivot. Equal sets are one point.
 
-1. Candidate pivots. Sets within r share one of their first
-   n - ceil((1 - r) n) + 1 elements in any common order of elements; rarer
-   elements come first in the order used (rarity from a bounded sample; the
-   order affects speed only). Each such element that several sets have names
-   a pivot, the least set that has it. Sets that share no such element with
-   any other are linked to nothing.
-2. Regions. A set belongs to the region of every pivot that one of its
+1. Candidates. Sets within r share k of their first n - ceil((1 - r) n) + k
+   elements in any common order of elements; rarer elements come first in the
+   order used (rarity from a bounded sample; the order affects speed only).
+   With k = n - ceil((1 - r) n) + 1, two Bloom filters of those elements tell
+   which sets can't have a partner, as too few of the elements occur in any
+   other set; the same is asked once more among the sets left.
+2. Pivots. With k = 1, each element that several sets have names a pivot, the
+   least set that has it. Sets with no such element are linked to nothing.
+3. Regions. A set belongs to the region of every pivot that one of its
    elements names, so two sets within r meet in a region.
-3. A region joins itself recursively: distances to its pivot link all sets
+4. A region joins itself recursively: distances to its pivot link all sets
    within r to it, then split the region at the median into a near and a far
    part, each with the sets whose distance lies within r of the split. Small
    parts, and parts that do not split, are compared set by set, but only where
    distances to the pivot differ by r at most and no path links the two yet.
-4. Regions too large for one task are dealt to buckets, each with the pivot.
+5. Regions too large for one task are dealt to buckets, each with the pivot.
    Only sets that no path links to their region's pivot then are compared
    with the other buckets.
-5. Links make components.
+6. Links make components.
 
 No list of all pairs exists anywhere, and no group of unbounded size is in one
 task. Distances are computed from whole sets of 64-bit hashes of n-grams.
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 
 from glossarium.llm.common import cut, join_hot, prepare
 from glossarium.llm.components import components
+from glossarium.llm.two_bloom import has, twice_seen
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,8 @@ class Join:
     #: A task gets regions of at most so many sets, and elements in them; larger ones are dealt to buckets.
     region_sets: int = 1000
     region_elements: int = 2_000_000
+    #: Positions of the Bloom filters.
+    bits: int = 1 << 27
 
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -81,6 +86,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def partner_length(n: int, percent: int) -> int:
+    """How many first elements are looked at for a partner; a partner shares prefix_length of them."""
+    return min(n, 2 * prefix_length(n, percent) - 1)
+
+
 def in_order(elements: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Elements by rising frequency, then by hash. frequent is sorted; times belong to it."""
     if not len(frequent):
@@ -160,7 +170,7 @@ def shingle_table(docs: DataFrame, how: Join, order: tuple[np.ndarray, np.ndarra
             rows = []
             for text in pdf["text"]:
                 s = shingles(text, how.words)
-                first = in_order(s, frequent, times)[: prefix_length(len(s), how.percent)] if len(s) else s
+                first = in_order(s, frequent, times)[: partner_length(len(s), how.percent)] if len(s) else s
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "first"])
             out.insert(0, "doc_id", pdf["doc_id"].values)
@@ -185,6 +195,28 @@ def element_order(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]:
     return e[by], np.array([r["count"] for r in rows], np.int64)[by]
 
 
+def mixed(first: pd.Series) -> np.ndarray:
+    """All the elements of these arrays, hashed once more for a filter."""
+    x = np.concatenate([np.zeros(0, np.int64), *first]).astype(np.int64).view(np.uint64)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+
+
+def with_partner(points: DataFrame, how: Join) -> DataFrame:
+    """The points (node, n, first) that may have a partner among them."""
+    found = twice_seen(points.select("first"), lambda pdf: mixed(pdf["first"]), how.bits)
+    held = points.sparkSession.sparkContext.broadcast(found)  # how.bits / 8 bytes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.frombuffer(held.value, np.uint8)
+        for pdf in batches:
+            if len(pdf):
+                sizes = pdf["first"].map(len).to_numpy()
+                repeated = np.add.reduceat(has(known, mixed(pdf["first"]), how.bits).astype(np.int64), np.cumsum(sizes) - sizes)
+                yield pdf[repeated >= [prefix_length(n, how.percent) for n in pdf["n"]]]
+
+    return cut(points.mapInPandas(run, points.schema), "partners")
+
+
 def region_links(members: DataFrame, how: Join) -> DataFrame:
     """Links (a, b) inside each group (pivot, bucket) of members (pivot, bucket, node, elements)."""
 
@@ -213,6 +245,33 @@ def cross_links(groups: DataFrame, how: Join) -> DataFrame:
     return groups.groupBy("pivot", "bucket", "chunk").applyInPandas(run, "a long, b long")
 
 
+def placed_nodes(regions: DataFrame, parts: DataFrame) -> DataFrame:
+    """The nodes of regions that have more than one member."""
+    return join_hot(regions.select("node", "pivot"), parts, "pivot", "members").select("node").distinct()
+
+
+def hashed(ids: pd.Series) -> np.ndarray:
+    x = ids.fillna(-1).to_numpy().astype(np.int64).view(np.uint64)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
+    """(node, elements) for wanted (node, rep, digest). A filter of the wanted ids spares the other texts; no text is moved."""
+    found = twice_seen(wanted.select("rep"), lambda pdf: np.repeat(hashed(pdf["rep"]), 2), how.bits)
+    held = docs.sparkSession.sparkContext.broadcast(found)  # how.bits / 8 bytes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.frombuffer(held.value, np.uint8)
+        for pdf in batches:
+            pdf = pdf[has(known, hashed(pdf["doc_id"]), how.bits)]
+            sets = [shingles(t, how.words).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].values, "digest": [xxhash.xxh3_128_digest(x) for x in sets], "elements": sets})
+
+    made = docs.mapInPandas(run, "doc_id long, digest binary, elements binary")
+    same = made["doc_id"].eqNullSafe(wanted["rep"]) & (made["digest"] == wanted["digest"])  # a doc_id may have several texts
+    return made.join(wanted, same).select("node", "elements").dropDuplicates(["node"])
+
+
 def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the size of its set, and its component."""
     prepare(docs.sparkSession)
@@ -221,22 +280,16 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
     points = table.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("first").alias("first"))
     points = cut(points.withColumn("node", F.monotonically_increasing_id()), "points")
 
-    elements = points.select("node", F.explode("first").alias("e"))
+    chosen = with_partner(with_partner(points.select("node", "digest", "rep", "n", "first"), how), how)
+    least_first = F.slice("first", 1, (F.col("n") + F.floor(F.lit(-how.percent) * F.col("n") / 100) + 1).cast("int"))
+    elements = chosen.select("node", F.explode(least_first).alias("e"))
     named = cut(elements.groupBy("e").agg(F.count("*").alias("sets"), F.min("node").alias("pivot")).filter("sets > 1"), "named")
-    regions = cut(join_hot(elements, named, "e", "sets").select("node", "pivot").distinct().join(points.select("node", "n"), "node"), "regions")
+    regions = cut(join_hot(elements, named, "e", "sets").select("node", "pivot").distinct().join(chosen.select("node", "n"), "node"), "regions")
     parts = regions.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / how.region_sets), F.ceil(F.sum("n") / how.region_elements), F.lit(1)).cast("int").alias("buckets"), F.count("*").alias("members"))
     parts = cut(parts.filter("members > 1"), "parts")
 
-    wanted = regions.select("node").distinct().join(points.select("node", "rep", "digest"), "node").select("node", F.col("rep").alias("doc_id"), "digest")
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingles(t, how.words).tobytes() for t in pdf["text"]]
-            ok = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, pdf["digest"])]  # a doc_id may have several texts
-            yield pd.DataFrame({"node": pdf["node"], "elements": sets})[np.array(ok, bool)]
-
-    some = docs.join(wanted.filter("doc_id IS NOT NULL"), "doc_id").mapInPandas(sets_of, "node long, elements binary").dropDuplicates(["node"])
-    sets = cut(some, "sets")
+    wanted = cut(placed_nodes(regions, parts).join(chosen.select("node", "rep", "digest"), "node"), "wanted")
+    sets = cut(sets_of(docs, wanted, how), "sets")
 
     placed = join_hot(regions.select("node", "pivot"), parts, "pivot", "members")
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets")).cast("int"))
