@@ -2,14 +2,46 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+_MODULES = ("operators.lookup", "operators.linkage", "operators.summary", "operators.ranking", "operators.sets", "functions.text", "functions.hangul", "functions.values", "plans.search", "sources.readers", "streaming.reviews")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; sql is DuckDB's form of it."""
+
+    def keep(f: Query) -> Query:
+        if name in _queries and _queries[name] is not f:
+            raise ValueError(f"two queries are called {name}")
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"glossarium.{name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["qry05_gloss_tiers"](spark, sf_dir)
