@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import cut
+from glossarium.llm.common import cut, uncut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         nearer = labels.join(heard.withColumnRenamed("b", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("near"))
         nearer = cut(nearer, "nearer")
         if not nearer.filter("near < label").limit(1).count():
+            uncut(both, nearer)
             return labels
         jump = nearer.select(F.col("node").alias("near"), F.col("near").alias("far"))
-        labels = cut(nearer.join(jump, "near").select("node", F.least("near", "far").alias("label")), "labels")
+        old, labels = labels, cut(nearer.join(jump, "near").select("node", F.least("near", "far").alias("label")), "labels")
+        uncut(old, nearer)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import cut, join_hot, prepare
+from glossarium.llm.common import cut, join_hot, prepare, uncut
 from glossarium.llm.components import components
 from glossarium.llm.two_bloom import has, twice_seen
 
@@ -280,7 +280,9 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
     points = table.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("first").alias("first"))
     points = cut(points.withColumn("node", F.monotonically_increasing_id()), "points")
 
-    chosen = with_partner(with_partner(points.select("node", "digest", "rep", "n", "first"), how), how)
+    some = with_partner(points.select("node", "digest", "rep", "n", "first"), how)
+    chosen = with_partner(some, how)
+    uncut(some)
     least_first = F.slice("first", 1, (F.col("n") + F.floor(F.lit(-how.percent) * F.col("n") / 100) + 1).cast("int"))
     elements = chosen.select("node", F.explode(least_first).alias("e"))
     named = cut(elements.groupBy("e").agg(F.count("*").alias("sets"), F.min("node").alias("pivot")).filter("sets > 1"), "named")
@@ -313,11 +315,14 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
         more = cross_links(fresh.select(*names).unionByName(rest.select(*names)).join(sets, "node"), how)
         more = cut(more, "more")
         if more.limit(1).count():
-            labels = components(links.unionByName(more))
+            old, labels = labels, components(links.unionByName(more))
+            uncut(old)
+        uncut(own, more)
 
     named_points = points.select("node", "digest", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labels.join(points.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
     ids = cut(named_points.join(least, "label", "left").select("digest", "copies", F.coalesce("least", "rep").alias("component_id")), "ids")
+    uncut(points, chosen, named, regions, parts, wanted, sets, links, labels)
     full = join_hot(table.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest"), ids, "digest", "copies")
     empty = table.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n_shingles", "component_id").unionByName(empty)

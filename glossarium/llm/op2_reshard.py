@@ -24,7 +24,7 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import cut, shared_dir
+from glossarium.llm.common import cut, uncut
 
 #: About so many rows make a block of an old shard.
 BLOCK_ROWS = 20_000
@@ -154,6 +154,7 @@ def reshard(rows: DataFrame, shards: int, old_col: str = "old", capacities: list
     placed = placed.withColumn("_at", F.col("begin") + F.col("_sum") - F.col("size"))
     placed = placed.join(runs_df, "old").filter("_at >= lo AND _at < hi").select("doc_id", "size", "text_crc32", "old", "block", "shard", "_at")
     placed = cut(placed, "placed")
+    uncut(rows)
     parts = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).orderBy("shard", "old", "block").collect()
     before: dict[int, int] = {}
     firsts = []

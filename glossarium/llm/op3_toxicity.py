@@ -36,8 +36,8 @@ from glossarium.llm.subword import Model, Shape, Trainer, Words, in_parts, label
 
 @dataclass(frozen=True)
 class Toxicity:
-    rows: int = 4000
-    chars: int = 20000
+    rows: int = 1000
+    chars: int = 4000
     width: int = 3
     warm_windows: int = 24
     warm_rounds: int = 2

@@ -32,8 +32,8 @@ from glossarium.llm.subword import Model, Shape, Trainer, Words, in_parts, label
 
 @dataclass(frozen=True)
 class Quality:
-    rows: int = 3000
-    chars: int = 20000
+    rows: int = 800
+    chars: int = 4000
     rounds: int = 4
     batch: int = 64
     #: Small samples get more rounds, up to so many steps.

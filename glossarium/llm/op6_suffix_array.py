@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import cut, join_hot, prepare
+from glossarium.llm.common import cut, join_hot, prepare, uncut
 from glossarium.llm.suffix_array import equal_prefixes
 from glossarium.llm.two_bloom import has, twice_seen
 
@@ -304,7 +304,9 @@ def by_own_hash(rows: DataFrame) -> DataFrame:
     strings = rows.mapInPandas(run, "c1 long, c2 long, doc long, at long").withColumn("key", F.struct("c1", "c2"))
     found = strings.groupBy("c1", "c2").agg(F.min(order_of("doc", "at")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     found = cut(found.select(F.struct("c1", "c2").alias("key"), "first", "rows"), "strings")
-    return join_hot(strings.select("key", "doc", "at"), found, "key", "rows").filter(order_of("doc", "at") > F.col("first")).select("doc", "at")
+    late = cut(join_hot(strings.select("key", "doc", "at"), found, "key", "rows").filter(order_of("doc", "at") > F.col("first")).select("doc", "at"), "late")
+    uncut(found)
+    return late
 
 
 def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, object]:
@@ -325,10 +327,13 @@ def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, object]:
     hot = F.broadcast(counts.filter(F.col("spans") > rule.gather).select("gram"))  # number / gather grams at most
     spans = cut(spans.join(hot.withColumn("hot", F.lit(True)), "gram", "left"), "spans")
     parts = max(8, -(-number // rule.part))
-    covered = sorted_parts(spans.filter("hot IS NULL").drop("hot").repartition(parts, "gram")).unionByName(by_own_hash(spans.filter("hot").drop("hot")))
+    late = by_own_hash(spans.filter("hot").drop("hot"))
+    covered = sorted_parts(spans.filter("hot IS NULL").drop("hot").repartition(parts, "gram")).unionByName(late)
     covered = covered.groupBy("doc").agg(F.collect_list("at").alias("at"))  # no more than a document's own bytes
     own = firsts.groupBy("doc").agg(F.collect_list("lo").alias("firsts"))
-    return own.join(covered, "doc", "left"), known
+    out = cut(own.join(covered, "doc", "left"), "removals")
+    uncut(firsts, counts, spans, late)
+    return out, known
 
 
 def marks(texts: list[bytes], firsts, at, known: np.ndarray, bits: int) -> Iterator[np.ndarray]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import WS, cut, join_hot, prepare
+from glossarium.llm.common import WS, cut, join_hot, prepare, uncut
 from glossarium.llm.two_bloom import has, twice_seen
 
 
@@ -67,25 +67,29 @@ def dropped_keys(docs: DataFrame, rule: LineRule) -> DataFrame:
         for pdf in batches:
             ids, hashes, out = [], [], []
             for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
+                doc = None if pd.isna(doc) else int(doc)
                 keys = list(keys_of(text, least))
                 if keys:
                     own = [k for k, h in zip(keys, has(twice, hashes_of(keys), bits)) if h]
                     out += own
                     ids += [doc] * len(own)
                     hashes += [th] * len(own)
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "th": np.array(hashes, np.int64), "key": out})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "th": np.array(hashes, np.int64), "key": pd.Series(out, dtype=object)})
 
     seen = docs.mapInPandas(suspects, "doc_id long, th long, key string")
     seen = cut(seen.withColumn("kid", F.sha2("key", 256)), "suspects")
     # a key's rows are one per document, but for repeated rows: those count once
     repeated = docs.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count() > 0
     if repeated:
-        seen = cut(seen.dropDuplicates(["doc_id", "th", "key"]), "suspects")
+        old, seen = seen, cut(seen.dropDuplicates(["doc_id", "th", "key"]), "suspects")
+        uncut(old)
     counted = seen.groupBy("key").agg(F.count("*").alias("docs"), F.max(F.coalesce("doc_id", F.lit(-(2**63)))).alias("last"))
     counted = cut(counted.filter(F.col("docs") >= rule.least_docs).select(F.sha2("key", 256).alias("kid"), "docs", "last"), "repeats")
     gone = join_hot(seen.select("kid", "doc_id", "th", F.col("key")), counted, "kid", "docs")
     gone = gone.filter(F.coalesce("doc_id", F.lit(-(2**63))) < F.col("last"))
-    return gone.groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys"))  # no more than a document's own lines
+    out = cut(gone.groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys")), "gone")  # no more than a document's own lines
+    uncut(seen, counted)
+    return out
 
 
 def without_lines(text: str | None, keys) -> tuple[str, int, int]:

@@ -77,12 +77,12 @@ class Words:
         """All buckets one after the other, and where each word's begin (with the end)."""
         words = list(self.ids)
         found, sizes = ngram_buckets(words, self.shape)
-        owner = np.repeat(np.arange(len(words)), sizes)
-        items = [b[ok].astype(np.int64) for b, ok in found]
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        items = [b[ok].astype(np.int32) for b, ok in found]
         owners = [owner[: len(ok)][ok] for _, ok in found]
         if self.shape.word:
-            items.append(word_buckets(words, self.shape))
-            owners.append(np.arange(len(words)))
+            items.append(word_buckets(words, self.shape).astype(np.int32))
+            owners.append(np.arange(len(words), dtype=np.int32))
         owners = np.concatenate(owners)
         order = np.argsort(owners, kind="stable")
         starts = np.zeros(len(words) + 1, np.int64)
