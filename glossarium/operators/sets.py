@@ -25,9 +25,9 @@ def intersect(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")))
 
 
-@query("set04_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set04_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def except_(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
 
 
 @query("set05_array_union", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(string_split(p_name, ' '), [lower(p_type)]))), ' ') AS merged FROM part")

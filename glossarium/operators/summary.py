@@ -117,10 +117,10 @@ def bucket_stats(spark, d):
     return g.agg(F.min("p_retailprice").alias("least"), F.percentile("p_retailprice", F.lit(0.5)).alias("middle"), F.max("p_retailprice").alias("most"))
 
 
-@query("ag26_count_drop", "WITH a AS (SELECT l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01' GROUP BY 1), b AS (SELECT l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.n, 0) >= 50 AND coalesce(b.n, 0) < 0.98 * a.n")
+@query("ag26_count_drop", "WITH a AS (SELECT l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01' GROUP BY 1), b AS (SELECT l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.n, 0) >= 50 AND coalesce(b.n, 0) < 0.98 * a.n")
 def count_drop(spark, d):
     x = table(spark, d, "lineitem").withColumn("k", F.concat("l_returnflag", "l_linestatus"))
-    early = F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp")
+    early = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")
     g = x.groupBy("k").agg(F.count(F.when(early, 1)).alias("before"), F.count(F.when(~early, 1)).alias("after"))
     return g.filter("before >= 50 AND after < 0.98 * before")
 

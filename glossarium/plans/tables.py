@@ -19,7 +19,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as dictionary entries: one row per entry, with pack, source, kind, level, rank and gloss."""
     p = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "word").when(F.col("p_size") % 3 == 1, "phrase").otherwise("idiom")
-    level = F.when(F.col("p_size") % 7 == 0, F.lit(None)).otherwise(F.col("p_size") % 6 + 1)
+    level = F.when(F.col("p_size") % 7 == 0, F.lit(None)).otherwise(F.col("p_partkey") % 6 + 1)
     return p.select(
         F.col("p_partkey").alias("id"),
         F.col("p_type").alias("pack"),
@@ -37,7 +37,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = """entries AS (SELECT p_partkey AS id, p_type AS pack, p_brand AS source, p_name AS headword,
   translate(lower(p_name), ' -^', '') AS hw_norm,
   CASE p_size % 3 WHEN 0 THEN 'word' WHEN 1 THEN 'phrase' ELSE 'idiom' END AS kind,
-  CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_size % 6 + 1 AS INT) END AS level,
+  CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_partkey % 6 + 1 AS INT) END AS level,
   CAST(round(p_retailprice * 100) AS BIGINT) AS rank,
   p_name || '; to ' || lower(p_type) || ', ' || lower(p_brand) AS gloss FROM part)"""
 
