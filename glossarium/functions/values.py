@@ -45,7 +45,18 @@ def day_pick(day: Column, n: Column) -> Column:
     return pick(day, n)
 
 
-@query("srt16_day_pick")
+_M = "18446744073709551616::UHUGEINT"
+
+
+def mix_sql(rows: str, keep: str, out: str) -> str:
+    """splitmix64 of the column day in DuckDB, as 128-bit arithmetic modulo 2 ** 64."""
+    a = f"SELECT *, ((day::UHUGEINT + 11400714819323198485::UHUGEINT) % {_M})::UBIGINT AS z FROM {rows}"
+    b = f"SELECT * EXCLUDE z, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {_M})::UBIGINT AS z FROM ({a})"
+    c = f"SELECT * EXCLUDE z, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {_M})::UBIGINT AS z FROM ({b})"
+    return f"SELECT {keep}, CAST(xor(z, z >> 31) % {out} AS BIGINT) AS pick FROM ({c})"
+
+
+@query("srt16_day_pick", mix_sql("(SELECT range AS day FROM range(400))", "day", "97"))
 def day_pick_query(spark, d):
     days = spark.range(0, 400).select(F.col("id").alias("day"))
     return days.select("day", day_pick(F.col("day"), F.lit(97)).alias("pick"))

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("operators.lookup", "operators.linkage", "operators.summary", "operators.ranking", "operators.sets", "operators.curation", "operators.corpus", "functions.text", "functions.hangul", "functions.conjugation", "functions.values", "plans.search", "sources.readers", "streaming.reviews")
+_MODULES = ("operators.lookup", "operators.linkage", "operators.summary", "operators.ranking", "operators.sets", "operators.curation", "operators.corpus", "functions.text", "functions.hangul", "functions.conjugation", "functions.values", "plans.search", "sources.readers", "streaming.reviews", "functions.writing", "operators.desk", "sources.sinks")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
