@@ -6,9 +6,11 @@ triangle inequality about any third set, the pivot. Equal sets are one point.
 1. Candidates. Sets within r share k of their first n - ceil((1 - r) n) + k
    elements in any common order of elements; rarer elements come first in the
    order used (rarity from a bounded sample; the order affects speed only).
-   With k = n - ceil((1 - r) n) + 1, two Bloom filters of those elements tell
-   which sets can't have a partner, as too few of the elements occur in any
-   other set; the same is asked once more among the sets left.
+   With k = n - ceil((1 - r) n) + 1, two Bloom filters tell which sets can't
+   have a partner, as too few of those elements occur in any other set; the
+   same is asked once more among the sets left. A set's partner may have those
+   k elements further back, so each set puts as many of its own into the
+   filters as its largest admissible partner may need.
 2. Pivots. With k = 1, each element that several sets have names a pivot, the
    least set that has it. Sets with no such element are linked to nothing.
 3. Regions. A set belongs to the region of every pivot that one of its
@@ -87,10 +89,24 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def partner_length(n: int, percent: int) -> int:
-    """How many first elements are looked at for a partner; a partner shares prefix_length of them."""
+    """How many first elements are looked at for a partner; a partner shares shared_length of them."""
     return min(n, 2 * prefix_length(n, percent) - 1)
 
 
+def shared_length(n: int, percent: int) -> int:
+    """How many of its looked-at elements a set shares with a partner at least; all that they must share where that is fewer."""
+    return min(prefix_length(n, percent), -(-percent * n // 100))
+
+
+def offered_length(n: int, percent: int) -> int:
+    """How many first elements go into the filters: those that a partner of any admissible size may look for.
+
+    The k-th shared element is at most k + prefix_length(n) - 1 elements from
+    the start, and k is the prefix_length of the partner, which grows with it.
+    """
+    return min(n, prefix_length(n, percent) + prefix_length(100 * n // percent, percent) - 1)
+
+
 def in_order(elements: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Elements by rising frequency, then by hash. frequent is sorted; times belong to it."""
     if not len(frequent):
@@ -170,7 +186,7 @@ def shingle_table(docs: DataFrame, how: Join, order: tuple[np.ndarray, np.ndarra
             rows = []
             for text in pdf["text"]:
                 s = shingles(text, how.words)
-                first = in_order(s, frequent, times)[: partner_length(len(s), how.percent)] if len(s) else s
+                first = in_order(s, frequent, times)[: offered_length(len(s), how.percent)] if len(s) else s
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "first"])
             out.insert(0, "doc_id", pdf["doc_id"].values)
@@ -211,8 +227,10 @@ def with_partner(points: DataFrame, how: Join) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 sizes = pdf["first"].map(len).to_numpy()
-                repeated = np.add.reduceat(has(known, mixed(pdf["first"]), how.bits).astype(np.int64), np.cumsum(sizes) - sizes)
-                yield pdf[repeated >= [prefix_length(n, how.percent) for n in pdf["n"]]]
+                starts = np.cumsum(sizes) - sizes
+                looked = np.arange(sizes.sum()) - np.repeat(starts, sizes) < np.repeat([partner_length(n, how.percent) for n in pdf["n"]], sizes)
+                repeated = np.add.reduceat((has(known, mixed(pdf["first"]), how.bits) & looked).astype(np.int64), starts)
+                yield pdf[repeated >= [shared_length(n, how.percent) for n in pdf["n"]]]
 
     return cut(points.mapInPandas(run, points.schema), "partners")
 

@@ -265,6 +265,33 @@ def test_jaccard(spark, docs, how):
     assert got == want
 
 
+@pytest.mark.parametrize("how, longer", [(op10.Join(), 10), (op10.Join(words=5, percent=80), 9)])
+def test_jaccard_of_short_near_copies(spark, how, longer):
+    rng = random.Random(11)
+    rows = []
+    for k in range(0, 60, 2):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(longer)]
+        rows += [(k, " ".join(w)), (k + 1, " ".join(w[:-1]))]
+    want = op10.brute_force(rows, how.words, how.percent)
+    assert all(want[doc] == doc - doc % 2 for doc, _ in rows)
+    got = {r.doc_id: r.component_id for r in op10.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 90])
+def test_partners_of_all_sizes_pass_the_filter(percent):
+    """Each set of an admissible pair finds enough of its elements among those the other offers, wherever the unshared ones stand."""
+    for n in range(1, 120):
+        for m in range(-(-percent * n // 100), 100 * n // percent + 1):
+            both = -(-percent * (n + m) // (100 + percent))
+            if both > min(n, m):
+                continue
+            for own_front, other_front in ((0, m - both), (n - both, m - both), (n - both, 0)):
+                own = [*(f"a{k}" for k in range(own_front)), *range(both)]
+                other = {*[*(f"b{k}" for k in range(other_front)), *range(both)][: op10.offered_length(m, percent)]}
+                assert sum(x in other for x in own[: op10.partner_length(n, percent)]) >= op10.shared_length(n, percent)
+
+
 def test_pipeline_runs(spark, tmp_path):
     import corpus_pipeline
 
