@@ -249,6 +249,23 @@ def test_same_ids_from_both_libraries():
         assert tok.encode(t, add_special_tokens=False).ids == enc.encode_ordinary(t)
 
 
+def test_packing_takes_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    cases = [f"one {end} two", end, f"{end}{end}", f" {end}\n\n {end}it's  ", f"<|{end}|>", f"{'é ' * 3000}{end}{' ' * 5000}{end}x", "<|endoftext |>", end.upper()]
+    enc = op9.encoder(public_tokenizers.path(op7.TOKENIZER), public_tokenizers.PATTERN)
+    added = op7.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [tok.encode(t, add_special_tokens=False).ids for t in cases]
+    assert added == {end: 50256} and [op7.token_ids(t, enc, added) for t in cases] == want
+    rows = op7.pack(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), window=16384).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {k: len(ids) + 1 for k, ids in enumerate(want)}
+    for r in rows:
+        ids = np.array([*want[r.doc_id], 1], "<u4")
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 @pytest.mark.parametrize("how", [op10.Join(), op10.Join(words=5, percent=80), op10.Join(region_sets=1, bits=1 << 10)])
 def test_jaccard(spark, docs, how):
     rng = random.Random(8)
