@@ -9,35 +9,30 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as the contracts of this subpackage mean it.
 WS = "\x20\t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Rows in one Arrow batch: a few MB of ordinary documents at a time in a Python worker.
-BATCH_ROWS = 512
+#: Python works on slices of about so many bytes of text, or one text that is longer.
+SLICE_BYTES = 2 << 20
 
 #: A key with more than 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 2000
 
 
-def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session already has its own setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under /tmp only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share: the session's checkpoint folder, or where there is none one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -47,7 +42,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     running the earlier stages again, and can be read several times.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/glossarium/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/glossarium/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
@@ -65,10 +60,58 @@ def uncut(*tables: DataFrame) -> None:
 def drop_cuts(spark: SparkSession) -> None:
     """Delete every table that cut() has left in the shared folder; for the owner of the session, once results are written."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/glossarium")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/glossarium")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about ``most`` bytes, so that a worker's memory doesn't grow with a batch."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    begins = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), batch.num_rows]
+    for a, b in zip(begins, begins[1:]):
+        yield batch.slice(a, b - a)
+
+
+def per_row(docs: DataFrame, task: Callable[[], Callable], added: str, keep: Sequence[str] = ("doc_id",), read: Sequence[str] = ("text",)) -> DataFrame:
+    """One row for each row of docs: the columns ``keep`` as they are, and the columns ``added`` that Python makes.
+
+    task() is called once per task and gives a function of lists, the values
+    of the columns ``read`` (the first of them the text), that returns a tuple
+    for each row. Kept columns never become Python values, so an id is what it
+    was, null or not.
+    """
+    new = StructType.fromDDL(added)
+    kept = [docs.schema[c] for c in keep]
+    arrow = list(to_arrow_schema(new))
+    names = [*keep, *(f.name for f in arrow)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = task()
+        for batch in batches:
+            for part in slices(batch, read[0]):
+                made = list(zip(*make(*(part.column(c).to_pylist() for c in read))))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(v, f.type) for v, f in zip(made, arrow))], names=names)
+
+    return docs.select(*dict.fromkeys([*keep, *read])).mapInArrow(run, StructType([*kept, *new.fields]))
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with ``th``, 128 bits of the text's SHA-256 (null as empty), and ``key``, a 64-bit hash of id and text.
+
+    Id and th together name a row, or rows that repeat both; key spreads rows,
+    those of one id or without any too.
+    """
+    th = F.unhex(F.substring(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256), 1, 32))
+    return docs.withColumn("th", th).withColumn("key", F.xxhash64(F.col(f"`{id_col}`"), "th"))
+
+
 def id_remainder(doc_id: Column, mod: int = 5) -> Column:
     """crc32 of the id written as text, modulo mod; 0 marks the held-out rows."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -30,7 +30,8 @@ task. Distances are computed from whole sets of 64-bit hashes of n-grams.
 
 Defined results: null, empty and blank texts have the empty set, are linked
 with nothing and are their own component; rows that repeat a text share a
-component; a component's id ignores null ids; a null doc_id keeps its row.
+component; a component's id ignores null ids, and is null where it has no
+other; a null doc_id keeps its row; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -40,13 +41,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import cut, join_hot, prepare, uncut
+from glossarium.llm.common import cut, id_and_text, join_hot, per_row, slices, uncut, with_key
 from glossarium.llm.components import components
-from glossarium.llm.two_bloom import has, twice_seen
+from glossarium.llm.two_bloom import has, key_filter, maybe_in, twice_seen
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,8 @@ class Join:
     region_elements: int = 2_000_000
     #: Positions of the Bloom filters.
     bits: int = 1 << 27
+    #: Positions of the filters of rows that stay and that go.
+    row_bits: int = 1 << 26
 
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -177,22 +181,21 @@ class Region:
 
 
 def shingle_table(docs: DataFrame, how: Join, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, its first elements in order)."""
+    """The columns of docs but for the text, with n_shingles, digest of the set, and its first elements in order."""
     held = docs.sparkSession.sparkContext.broadcast(order)  # how.frequent elements at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         frequent, times = held.value
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                s = shingles(text, how.words)
-                first = in_order(s, frequent, times)[: offered_length(len(s), how.percent)] if len(s) else s
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "first"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, first array<long>")
+        def make(texts: list) -> Iterator[tuple]:
+            for text in texts:
+                x = shingles(text, how.words)
+                first = in_order(x, frequent, times)[: offered_length(len(x), how.percent)] if len(x) else x
+                yield len(x), xxhash.xxh3_128_digest(x.tobytes()), first.view(np.int64)
+
+        return make
+
+    return per_row(docs, task, "n_shingles long, digest binary, first array<long>", keep=[c for c in docs.columns if c != "text"])
 
 
 def element_order(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]:
@@ -268,32 +271,25 @@ def placed_nodes(regions: DataFrame, parts: DataFrame) -> DataFrame:
     return join_hot(regions.select("node", "pivot"), parts, "pivot", "members").select("node").distinct()
 
 
-def hashed(ids: pd.Series) -> np.ndarray:
-    x = ids.fillna(-1).to_numpy().astype(np.int64).view(np.uint64)
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
     """(node, elements) for wanted (node, rep, digest). A filter of the wanted ids spares the other texts; no text is moved."""
-    found = twice_seen(wanted.select("rep"), lambda pdf: np.repeat(hashed(pdf["rep"]), 2), how.bits)
-    held = docs.sparkSession.sparkContext.broadcast(found)  # how.bits / 8 bytes
+    held = key_filter(wanted.select(F.xxhash64("rep").alias("k")), "k", how.bits)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(held.value, np.uint8)
-        for pdf in batches:
-            pdf = pdf[has(known, hashed(pdf["doc_id"]), how.bits)]
-            sets = [shingles(t, how.words).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].values, "digest": [xxhash.xxh3_128_digest(x) for x in sets], "elements": sets})
+        for batch in batches:
+            for part in slices(batch, "text"):
+                part = part.filter(pa.array(has(known, part.column("k").to_numpy().view(np.uint64), how.bits)))
+                sets = [shingles(t, how.words).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "elements"])
 
-    made = docs.mapInPandas(run, "doc_id long, digest binary, elements binary")
+    made = docs.select("doc_id", F.xxhash64("doc_id").alias("k"), "text").mapInArrow(run, "doc_id long, digest binary, elements binary")
     same = made["doc_id"].eqNullSafe(wanted["rep"]) & (made["digest"] == wanted["digest"])  # a doc_id may have several texts
     return made.join(wanted, same).select("node", "elements").dropDuplicates(["node"])
 
 
-def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: the size of its set, and its component."""
-    prepare(docs.sparkSession)
-    docs = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
+def row_components(docs: DataFrame, how: Join) -> DataFrame:
+    """For docs (doc_id, text, and more): all but the text, n_shingles, component_id, and component, a number that is null without words."""
     table = cut(shingle_table(docs, how, element_order(docs, how)), "shingles")
     points = table.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("first").alias("first"))
     points = cut(points.withColumn("node", F.monotonically_increasing_id()), "points")
@@ -339,35 +335,75 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
 
     named_points = points.select("node", "digest", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labels.join(points.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
-    ids = cut(named_points.join(least, "label", "left").select("digest", "copies", F.coalesce("least", "rep").alias("component_id")), "ids")
+    ids = cut(named_points.join(least, "label", "left").select("digest", "copies", F.coalesce("least", "rep").alias("component_id"), F.col("label").alias("component")), "ids")
     uncut(points, chosen, named, regions, parts, wanted, sets, links, labels)
-    full = join_hot(table.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest"), ids, "digest", "copies")
-    empty = table.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    more = [c for c in docs.columns if c != "text"]
+    full = join_hot(table.filter("n_shingles > 0").select(*more, "n_shingles", "digest"), ids, "digest", "copies")
+    empty = table.filter("n_shingles = 0").select(*more, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return full.select(*more, "n_shingles", "component_id", "component").unionByName(empty)
+
+
+def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: the size of its set, and its component."""
+    return row_components(id_and_text(docs, id_col, text_col), how).drop("component")
+
+
+def one_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null comes last), then of the least SHA-256 of the text.
+
+    Of rows that repeat doc_id and text, one stays; rows without words are in
+    no component, and all of them stay. Rows stay or go by two filters, of
+    the rows that stay and of those that go; only rows that both filters
+    claim are moved, to be told apart for certain.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]  # further columns can't clash with those needed here
+    plain = docs.toDF(*names)
+    doc, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = with_key(plain.select("*", F.col(doc).cast("long").alias("doc_id")), "doc_id", text)
+    found = cut(row_components(rows.select("doc_id", "th", "key", F.col(text).alias("text")), how).select("doc_id", "th", "key", "component"), "members")
+    best = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "th", "key")).alias("b"))
+    stay = best.select("b.doc_id", "b.th", "b.key", F.lit(True).alias("one")).unionByName(found.filter("component IS NULL").select("doc_id", "th", "key", F.lit(False).alias("one")).distinct())
+    stay = cut(stay, "stay")
+    each = found.filter("component IS NOT NULL").groupBy("doc_id", "th", "key").agg(F.count("*").alias("n"))
+    same = (each["key"] == stay["key"]) & (each["th"] == stay["th"]) & each["doc_id"].eqNullSafe(stay["doc_id"])
+    again = each.join(stay.filter("one"), same, "left").filter(stay["key"].isNull() | (each["n"] > 1)).select(each["key"])
+    go = cut(again, "go")  # rows that go, and those that stay once of several
+    uncut(found)
+    staying, going = key_filter(stay, "key", how.row_bits), key_filter(go, "key", how.row_bits)
+    in_stay, in_go = maybe_in(F.col("key"), staying, how.row_bits), maybe_in(F.col("key"), going, how.row_bits)
+    sure = rows.filter(in_stay & ~in_go)
+    other = stay.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("key").alias("_key"), "one")
+    match = (F.col("key") == F.col("_key")) & (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    asked = rows.filter(in_stay & in_go).join(other, match)
+    once = asked.filter("one").dropDuplicates(["doc_id", "th"])
+    return sure.select(*names).unionByName(once.select(*names)).unionByName(asked.filter("NOT one").select(*names)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], words: int, percent: int) -> dict[int, int]:
-    """Components by comparing every pair, for tests and small inputs."""
+def brute_force(rows: list[tuple[int | None, str | None]], words: int, percent: int) -> list[int | None]:
+    """The component of each row by comparing every pair, for tests and small inputs."""
     import re
 
     sets = []
-    for doc, text in rows:
+    for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        sets.append((doc, {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()))
-    root = {doc: doc for doc, _ in sets}
+        sets.append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[i + 1 :]:
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = sorted((find(a), find(b)))
-                root[q] = p
-    return {doc: find(doc) for doc in root}
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(k)] = min(doc, least.get(find(k), doc))
+    return [least.get(find(k)) for k in range(len(rows))]

@@ -6,21 +6,20 @@ shrinks is noise. The limits depend on the length, because short texts shrink
 less than long ones of the same kind.
 
 Defined results: null or empty text has no words and fails the base rules;
-repeated rows are judged one by one; an empty table gives an empty result.
-Each row is judged on its own, so there is no shuffle and no state.
+repeated rows and rows with a null id are judged one by one; an empty table
+gives an empty result. Each row is judged on its own, so there is no shuffle and no state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from glossarium.llm.common import WORD, WS, prepare
+from glossarium.llm.common import WORD, WS, id_and_text, per_row
 
 
 @dataclass(frozen=True)
@@ -42,7 +41,7 @@ class Bands:
         (1 << 18, 1.5, 3.4),
         (1 << 20, 1.5, 4.0),
     )
-    #: Every whole chunk of chunk_bytes is held to chunk_low..chunk_high; at most max_bad_chunks of them may miss it.
+    #: Every chunk of chunk_bytes is held to chunk_low..chunk_high, the last one too, which ends with the text; at most max_bad_chunks of them may miss it.
     chunk_bytes: int = 4096
     chunk_low: float = 1.4
     chunk_high: float = 2.7
@@ -52,7 +51,7 @@ class Bands:
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, whole_ratio double, bad_chunks double"
+ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, whole_ratio double, bad_chunks double"
 
 
 def repeated_words(words: Sequence[str]) -> int:
@@ -87,16 +86,19 @@ def band(bands: Bands, n_bytes: int) -> tuple[float, float]:
 
 
 def ratios(data: bytes, bands: Bands, squeeze: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """The ratio of the whole, and the share of whole chunks outside the limits of chunks."""
+    """The ratio of the whole, and the share of chunks outside the limits of chunks. A text shorter than a chunk has none: its band is for its length."""
     if not data:
         return 0.0, 0.0
     whole = len(data) / len(squeeze.compress(data))
-    size, n = bands.chunk_bytes, len(data) // bands.chunk_bytes
+    size = bands.chunk_bytes
+    begins = [*range(0, len(data) - size + 1, size)]
+    if begins and len(data) % size:
+        begins.append(len(data) - size)
     bad = 0
-    for k in range(n):
-        r = size / len(squeeze.compress(data[k * size : (k + 1) * size]))
+    for a in begins:
+        r = size / len(squeeze.compress(data[a : a + size]))
         bad += not bands.chunk_low <= r <= bands.chunk_high
-    return whole, bad / n if n else 0.0
+    return whole, bad / len(begins) if begins else 0.0
 
 
 def judge(text: str | None, bands: Bands, squeeze: zstandard.ZstdCompressor) -> tuple:
@@ -115,17 +117,12 @@ def judge(text: str | None, bands: Bands, squeeze: zstandard.ZstdCompressor) ->
 
 def compression_bands(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its counts, its ratios and whether it stays."""
-    prepare(docs.sparkSession)
-    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         squeeze = zstandard.ZstdCompressor(level=bands.level)
-        for pdf in batches:
-            out = pd.DataFrame([judge(t, bands, squeeze) for t in pdf["text"]], columns=names)
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
+        return lambda texts: (judge(t, bands, squeeze) for t in texts)
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInPandas(run, SCHEMA)
+    return per_row(id_and_text(docs, id_col, text_col), task, ADDED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

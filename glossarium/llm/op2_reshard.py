@@ -8,17 +8,22 @@ out on blocks of rows: an old shard's rows stand in a fixed order, and its
 flow cuts that order into runs, one for each new shard that takes from it.
 Only shards that gain or lose rows need to be written again.
 
-Only sums per block reach the driver: BLOCK_ROWS rows or so make a block, so
-a table of 10^10 rows has some 10^5 of them.
+Only sums per block reach the driver: BLOCK_ROWS rows or so of one old shard
+make a block, so a table of 10^10 rows in 10^4 shards has some 6 * 10^4 of
+them. A row's block is a hash of the row's place too, so rows that repeat
+spread over the blocks.
 
 Defined results: a null text has no bytes, and every row counts one byte more
-than its text; rows that repeat are placed one after the other; a table
-without rows gives a plan without moves. The law is ``bytes``: with equal
-capacities the new shards' sizes differ by less than the largest row does.
+than its text; rows that repeat, and those with a null id, are placed one by
+one; a table without rows gives a plan without moves. The law is ``bytes``:
+with equal capacities the new shards' sizes differ from each other by at most
+the largest row for each run that a shard takes.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 
 from glossarium.llm.common import cut, uncut
 
+#: The scheme and slashes that a path begins with; they differ between what lists files and what reads them.
+F_PATH = re.compile("^[a-z0-9]+:/*")
 #: About so many rows make a block of an old shard.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 200_000
 
 
 class Flow:
@@ -123,16 +130,17 @@ def equal_capacities(total: int, shards: int) -> list[int]:
 
 
 def reshard(rows: DataFrame, shards: int, old_col: str = "old", capacities: list[int] | None = None) -> tuple[DataFrame, list[list[tuple[int, int]]]]:
-    """Rows (doc_id, size, text_crc32 and old_col, the shard they are in) with their new shard and slot; and the plan.
+    """Rows (doc_id, size, text_crc32 and old_col, the shard they are in; file and row, where they lie) with their new shard and slot; and the plan.
 
     A row belongs to the run that its first byte falls in. Slots of a shard
     number the rows that come from old shard 0, then 1, and so on.
     """
     spark = rows.sparkSession
-    rows = rows.select("doc_id", "size", "text_crc32", F.col(old_col).cast("int").alias("old"))
-    count = rows.count()
-    blocks = max(1, -(-count // BLOCK_ROWS))
-    rows = cut(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int")), "sizes")
+    more = [c for c in ("file", "row") if c in rows.columns]
+    rows = rows.select("doc_id", "size", "text_crc32", F.col(old_col).cast("int").alias("old"), *more).withColumn("_n", F.monotonically_increasing_id())
+    counts = rows.groupBy("old").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(1)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id", "text_crc32", "_n"), F.col("blocks")).cast("int")
+    rows = cut(rows.join(counts, "old").withColumn("block", block).drop("_n", "blocks"), "sizes")
     sums = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")).orderBy("old", "block").collect()
     n_old = max((r["old"] for r in sums), default=-1) + 1
     sizes = [0] * n_old
@@ -147,12 +155,12 @@ def reshard(rows: DataFrame, shards: int, old_col: str = "old", capacities: list
         for j, size in own:
             runs.append((i, at, at + size, j))
             at += size
-    starts = F.broadcast(spark.createDataFrame(begins, "old int, block int, begin long"))  # a row for each block
+    starts = spark.createDataFrame(begins, "old int, block int, begin long")  # a row for each block: Spark broadcasts it if it is small
     runs_df = F.broadcast(spark.createDataFrame(runs, "old int, lo long, hi long, shard int"))  # fewer rows than old and new shards together
     order = Window.partitionBy("old", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_sum", F.sum("size").over(order)).join(starts, ["old", "block"])
     placed = placed.withColumn("_at", F.col("begin") + F.col("_sum") - F.col("size"))
-    placed = placed.join(runs_df, "old").filter("_at >= lo AND _at < hi").select("doc_id", "size", "text_crc32", "old", "block", "shard", "_at")
+    placed = placed.join(runs_df, "old").filter("_at >= lo AND _at < hi").select("doc_id", "size", "text_crc32", "old", "block", "shard", "_at", *more)
     placed = cut(placed, "placed")
     uncut(rows)
     parts = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).orderBy("shard", "old", "block").collect()
@@ -161,10 +169,10 @@ def reshard(rows: DataFrame, shards: int, old_col: str = "old", capacities: list
     for r in parts:
         firsts.append((r["shard"], r["old"], r["block"], before.get(r["shard"], 0)))
         before[r["shard"]] = before.get(r["shard"], 0) + r["n"]
-    first_df = F.broadcast(spark.createDataFrame(firsts, "shard int, old int, block int, first long"))  # a row for each block and run
+    first_df = spark.createDataFrame(firsts, "shard int, old int, block int, first long")  # a row for each block and run
     within = Window.partitionBy("old", "block", "shard").orderBy("_at")
     out = placed.withColumn("_k", F.row_number().over(within) - 1).join(first_df, ["shard", "old", "block"])
-    return out.select("doc_id", "size", "text_crc32", "old", "shard", (F.col("first") + F.col("_k")).alias("slot")), moves
+    return out.select("doc_id", "size", "text_crc32", "old", *more, "shard", (F.col("first") + F.col("_k")).alias("slot")), moves
 
 
 def affected(moves: list[list[tuple[int, int]]]) -> set[int]:
@@ -177,24 +185,60 @@ def affected(moves: list[list[tuple[int, int]]]) -> set[int]:
     return touched
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, moves: list[list[tuple[int, int]]], out: str) -> None:
-    """Write the shards that the plan touches, as out/shard=k; docs is joined by doc_id, which must be unique here."""
-    touched = sorted(k for k in affected(moves))
-    new = placed.filter(F.col("shard").isin(touched)).select("doc_id", "shard", "slot")
-    docs.join(new, "doc_id").repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(out)
+def files_of(docs: DataFrame) -> DataFrame:
+    """(path, file): the files of a table, numbered in order of their paths."""
+    files = sorted(F_PATH.sub("/", f) for f in docs.inputFiles())
+    return docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "path string, file int")
 
 
-def measured(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, size and checksum of each row, and its old shard: the number in order of the file it lies in."""
-    files = sorted(docs.inputFiles())
-    number = F.create_map(*[x for k, f in enumerate(files) for x in (F.lit(f.rsplit("/", 1)[-1]), F.lit(k))]) if files else None
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    old = F.coalesce(F.try_element_at(number, name), F.lit(0)) if files else F.lit(0)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.alias("old"))
+def placed_in_files(docs: DataFrame) -> DataFrame:
+    """docs with file and row, the file's number and the row's in it, which name a row for good."""
+    names = docs.columns
+    if not docs.inputFiles():
+        return docs.select("*", F.lit(0).alias("file"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("*", F.regexp_replace(F.input_file_name(), F_PATH.pattern, "/").alias("path"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(files_of(docs), "path").select(*names, "file", "row")
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None) -> DataFrame:
+    """Id, size and checksum of each row, where it lies, and its old shard: old_col, or else the number in order of its file."""
+    needed = [id_col, text_col, *([old_col] if old_col else [])]
+    rows = placed_in_files(docs.select(*(f"`{c}`" for c in needed))).toDF(*["doc_id", "text", "old"][: len(needed)], "file", "row")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    old = F.col("old").cast("int") if old_col else F.col("file")
+    return rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "file", "row", old.alias("old"))
+
+
+def rewrite(spark: SparkSession, root: str, placed: DataFrame, moves: list[list[tuple[int, int]]], shard_rows: int = 100_000) -> None:
+    """Carry a plan out on a table of folders root/shard=k: write the shards that it touches anew, and leave the others' files alone.
+
+    placed is what reshard() made of measured(docs, old_col="shard"). The new
+    files are written beside the table first; then each touched folder is
+    renamed away and its new one takes its name, so that rows are in one of
+    the two at any time, whatever fails. The table's readers must wait for it.
+    """
+    touched = sorted(affected(moves))
+    if not touched:
+        return
+    docs = spark.read.parquet(root)
+    new = placed.filter(F.col("shard").isin(touched)).select("file", "row", F.col("shard").alias("_shard"), "slot")
+    rows = placed_in_files(docs).filter(F.col("shard").isin(touched)).drop("shard").join(new, ["file", "row"]).drop("file", "row")
+    rows = rows.withColumnRenamed("_shard", "shard").withColumn("_part", F.floor(F.col("slot") / shard_rows))
+    stem = uuid.uuid4().hex
+    staged, aside = f"{root}/_next-{stem}", f"{root}/_old-{stem}"
+    rows.repartition("shard", "_part").sortWithinPartitions("shard", "slot").drop("_part", "slot").write.partitionBy("shard").parquet(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(aside))
+    for k in touched:
+        for source, target in ((f"{root}/shard={k}", f"{aside}/shard={k}"), (f"{staged}/shard={k}", f"{root}/shard={k}")):
+            if fs.exists(path(source)) and not fs.rename(path(source), path(target)):
+                raise OSError(f"{source} could not become {target}")
+    fs.delete(path(staged), True)
+    fs.delete(path(aside), True)
 
 
 def query(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out, _ = reshard(measured(docs, shards), shards)
+    out, _ = reshard(measured(docs), shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

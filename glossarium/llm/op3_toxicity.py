@@ -10,34 +10,37 @@ Training alternates: with the present vectors find the worst window of each
 labelled text, then step on those windows with the texts' labels. The first
 rounds, when no vectors are learnt yet, use random windows instead.
 
-Fitting reads at most ``Toxicity.rows`` texts of each class (see
-subword.labelled_sample); scoring reads every whole text. The model is two
-arrays of fixed size.
+Fitting reads at most ``Toxicity.rows`` texts of each class, whatever their
+length (see subword.labelled_sample); what of a text over ``Toxicity.words``
+words is fitted on are stretches dealt evenly over the whole of it. Scoring
+reads every whole text. The model is two arrays of fixed size.
 
 Defined results: null or empty texts, and texts without words, get the score
 that the bias alone gives, 0.25 at most; where the labels have one class only,
-every score says that class.
+every score says that class, and without labels every score is 0. Rows with a
+null id and repeated rows are scored one by one; labels that are null, of a
+null id, or clash for one id teach nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import id_remainder, prepare
+from glossarium.llm.common import id_remainder, per_row
 from glossarium.llm.subword import Model, Shape, Trainer, Words, in_parts, labelled_sample, sigmoid, spread, windows, word_sums
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    rows: int = 1000
-    chars: int = 4000
+    rows: int = 3000
+    #: Words of one text that fitting holds at most.
+    words: int = 2000
     width: int = 3
     warm_windows: int = 24
     warm_rounds: int = 2
@@ -56,11 +59,12 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-def fit(rows: list[tuple[str, int]], how: Toxicity = Toxicity()) -> Model:
+def fit(rows: Iterable[tuple[list[str], int]], how: Toxicity = Toxicity()) -> Model:
+    """rows: the words of each text, and its label."""
     vocabulary = Words(how.shape)
     texts, labels = [], []
     for text, y in rows:
-        ids = vocabulary.number(tokens(text))
+        ids = vocabulary.number(text)
         if len(ids):
             texts.append(ids)
             labels.append(y)
@@ -124,20 +128,17 @@ def score(texts: Iterable[str | None], model: Model, width: int) -> list[float]:
 
 def scores(docs: DataFrame, model: Model, width: int, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with one more column, the score of each whole text."""
-    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.shape))  # of fixed size
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def task():
         own = Model(*held.value)
-        for texts in batches:
-            yield pd.Series(score(texts, own, width), dtype="float64")
+        return lambda texts: ((x,) for x in score(texts, own, width))
 
-    return docs.withColumn(out_col, of(F.col(f"`{text_col}`")))
+    return per_row(docs, task, f"`{out_col}` double", keep=docs.columns, read=(text_col,))
 
 
 def train(spark: SparkSession, sf_dir: str, docs: DataFrame, how: Toxicity = Toxicity()) -> Model:
-    return fit(labelled_sample(spark, sf_dir, "toxic", docs, how.rows, how.chars), how)
+    return fit(labelled_sample(spark, sf_dir, "toxic", docs, how.rows, how.words, tokens), how)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

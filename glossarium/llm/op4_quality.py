@@ -6,34 +6,38 @@ the odds of good quality. Words keep their case and punctuation, which carry
 much of what sets junk apart. All pairs of a word with itself share one bucket
 of their own, so that repetition is seen whatever word it is that repeats.
 
-Fitting reads at most ``Quality.rows`` texts of each class (see
-subword.labelled_sample); scoring reads every whole text. The model is one
-array of fixed size. The sample holds the classes in the same number as far as
+Fitting reads at most ``Quality.rows`` texts of each class, whatever their
+length (see subword.labelled_sample); what of a text over ``Quality.words``
+words is fitted on are stretches dealt evenly over the whole of it. Scoring
+reads every whole text. The model is one array of fixed size. The sample holds the classes in the same number as far as
 they have it, so the odds are those of equal classes; with the usual threshold
 of 0.3 a document is called bad only where that is clearly likelier.
 
 Defined results: null texts, empty ones and those without words score 0; where
-the labels have one class only, every score says that class.
+the labels have one class only, every score says that class, and without
+labels every score is 0. Rows with a null id and repeated rows are scored one
+by one; labels that are null, of a null id, or clash for one id teach nothing;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import WORD, id_remainder, prepare
+from glossarium.llm.common import WORD, id_remainder, per_row
 from glossarium.llm.subword import Model, Shape, Trainer, Words, in_parts, labelled_sample, ngram_buckets, sigmoid, spread, word_buckets, word_sums
 
 
 @dataclass(frozen=True)
 class Quality:
-    rows: int = 800
-    chars: int = 4000
+    rows: int = 2000
+    #: Words of one text that fitting holds at most.
+    words: int = 1000
     rounds: int = 4
     batch: int = 64
     #: Small samples get more rounds, up to so many steps.
@@ -50,11 +54,16 @@ def pair_buckets(words: np.ndarray, how: Quality) -> np.ndarray:
     return how.shape.buckets + np.where(a == b, 0, 1 + (mixed % np.uint64(how.pairs - 1)).astype(np.int64))
 
 
-def fit(rows: list[tuple[str, int]], how: Quality = Quality()) -> Model:
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall(text or "")
+
+
+def fit(rows: Iterable[tuple[list[str], int]], how: Quality = Quality()) -> Model:
+    """rows: the words of each text, and its label."""
     vocabulary = Words(how.shape)
     texts, labels = [], []
     for text, y in rows:
-        ids = vocabulary.number(WORD.findall(text))
+        ids = vocabulary.number(text)
         if len(ids):
             texts.append(ids)
             labels.append(y)
@@ -65,23 +74,17 @@ def fit(rows: list[tuple[str, int]], how: Quality = Quality()) -> Model:
     items, begins = vocabulary.flat()
     own = word_buckets(list(vocabulary.ids), how.shape)
     trainer = Trainer(both)
-    bags = [np.unique(t, return_counts=True) for t in texts]
+    bags = []
+    for t in texts:  # each text's buckets, once each, and how often it has them
+        place, _ = spread(begins, t)
+        bags.append(np.unique(np.concatenate([items[place], pair_buckets(own[t], how)]).astype(np.int32), return_counts=True))
     rng = np.random.default_rng(how.shape.seed)
     for _ in range(max(how.rounds, -(-how.least_steps * how.batch // len(texts)))):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), how.batch):
             picked = order[k : k + how.batch]
-            words = np.concatenate([bags[i][0] for i in picked])
-            times = np.concatenate([bags[i][1] for i in picked])
-            doc = np.repeat(np.arange(len(picked)), [len(bags[i][0]) for i in picked])
-            place, owner = spread(begins, words)
-            pairs = [pair_buckets(own[texts[i]], how) for i in picked]
-            trainer.step(
-                np.concatenate([items[place], *pairs]),
-                np.concatenate([doc[owner], np.repeat(np.arange(len(picked)), [len(p) for p in pairs])]),
-                y[picked],
-                np.concatenate([times[owner], np.ones(sum(map(len, pairs)), np.int64)]),
-            )
+            owner = np.repeat(np.arange(len(picked)), [len(bags[i][0]) for i in picked])
+            trainer.step(np.concatenate([bags[i][0] for i in picked]), owner, y[picked], np.concatenate([bags[i][1] for i in picked]))
     got = trainer.model()
     return Model(got.weight, got.bias, how.shape)
 
@@ -106,20 +109,17 @@ def score(texts: Iterable[str | None], model: Model, how: Quality = Quality()) -
 
 def scores(docs: DataFrame, model: Model, how: Quality = Quality(), text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with one more column, the score of each whole text."""
-    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.shape))  # of fixed size
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def task():
         own = Model(*held.value)
-        for texts in batches:
-            yield pd.Series(score(texts, own, how), dtype="float64")
+        return lambda texts: ((x,) for x in score(texts, own, how))
 
-    return docs.withColumn(out_col, of(F.col(f"`{text_col}`")))
+    return per_row(docs, task, f"`{out_col}` double", keep=docs.columns, read=(text_col,))
 
 
 def train(spark: SparkSession, sf_dir: str, docs: DataFrame, how: Quality = Quality()) -> Model:
-    return fit(labelled_sample(spark, sf_dir, "quality", docs, how.rows, how.chars), how)
+    return fit(labelled_sample(spark, sf_dir, "quality", docs, how.rows, how.words, words_of), how)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ texts move no further.
 
 Defined results: a null text counts as empty, and all empty texts are equal;
 of rows that repeat both text and doc_id one is kept; a null doc_id comes
-after every other.
+after every other; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import cut, join_hot, prepare
+from glossarium.llm.common import cut, id_and_text, join_hot, per_row
 
 #: A cut comes where the low bits of the hash are 0, about every 2 ** CUT_BITS bytes, but not within LEAST bytes of the last; and after MOST bytes at the latest.
 CUT_BITS, LEAST, MOST = 11, 256, 16384
@@ -76,17 +76,12 @@ def chunk_table(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def recipe_table(docs: DataFrame, seed: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                data = normalise(text)
-                rows.append((len(text or ""), hashlib.sha256(data).hexdigest(), b"".join(xxhash.xxh3_128_digest(c, seed) for c in chunks(data))))
-            out = pd.DataFrame(rows, columns=["n_chars", "text_sha256", "recipe"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
+    def make(texts: list) -> Iterator[tuple]:
+        for text in texts:
+            data = normalise(text)
+            yield len(text or ""), hashlib.sha256(data).hexdigest(), b"".join(xxhash.xxh3_128_digest(c, seed) for c in chunks(data))
 
-    return docs.mapInPandas(run, "doc_id long, n_chars long, text_sha256 string, recipe binary")
+    return per_row(docs, lambda: make, "n_chars long, text_sha256 string, recipe binary")
 
 
 def clashes(docs: DataFrame, seed: int) -> int:
@@ -97,8 +92,7 @@ def clashes(docs: DataFrame, seed: int) -> int:
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs, with the group it belongs to and whether it stays."""
-    prepare(docs.sparkSession)
-    docs = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
+    docs = id_and_text(docs, id_col, text_col)
     seed = 0
     while clashes(docs, seed):
         seed += 1

@@ -1,28 +1,35 @@
 """Repeated passages by suffix arrays, built with the difference-cover algorithm.
 
 Sorting every suffix of a large corpus as rows would move each byte dozens of
-times, so the sort is kept for where it decides something:
+times (figures in README), so the sort is kept for where it decides something:
 
 1. Every 100-byte string is assigned to its least 32-gram by hash (the
    leftmost of equals), which depends on the string alone. The strings of a
    document that share one make an interval. Two Bloom filters tell the
    32-grams that the corpus has once; their strings repeat nowhere.
-2. Intervals that are equal as a whole are found by a 128-bit hash; all but
-   the first of them are covered.
+2. The other intervals are grouped by their bytes; all but the first of a
+   group are covered.
 3. The first ones whose 32-gram has other intervals too are brought together
-   by 32-gram. Strings whose rolling hash occurs once there are dropped. What
-   is left is sorted: distributed by 32-gram, each part by the difference
-   cover (sampled triples, names, recursion, merge), and adjacent suffixes are
-   compared over 100 bytes. Each string but the first of its class is covered.
-   A 32-gram with very many different intervals (the edges of a passage that
-   very many documents share) is not gathered in one task; its strings are
-   dealt by their own 128-bit hash, with sums before the shuffle.
-4. Documents get their covered strings back and lose those bytes.
-
-Defined results: a null text is empty; texts under 100 bytes lose nothing; a
-null doc_id comes after all others; rows that repeat both doc_id and text are
-one document and are treated alike, and texts that share a doc_id without
-being equal count as one document whose texts begin at the same place.
+   by 32-gram. Strings whose rolling hash occurs once there differ from all
+   others. What is left is sorted by the difference cover (sampled triples,
+   names, recursion, merge), and adjacent suffixes are compared byte by byte
+   over 100 bytes. Each string but the first of its class is covered. Equal
+   strings have one 32-gram, so the parts are sorted apart from each other.
+   The strings of a 32-gram that very many different intervals share (the
+   edges of a passage that very many documents have) are grouped by their
+   bytes instead, as step 2 does it, so that no task holds such a 32-gram.
+4. Documents get their covered strings back and lose those bytes. Only
+   documents that hold the first place of something repeated need a list;
+   what else a document has of the repeated 32-grams is covered.
+
+Hashes only tell apart what surely differs; whatever is taken for equal has
+equal bytes.
+
+Defined results: a null text is empty; texts under 100 bytes lose nothing; an
+empty table gives none. A document is a doc_id with a text. A null doc_id
+comes after all others. Texts that share a doc_id (or the null id) are
+documents of their own, ordered by the SHA-256 of the text; rows that repeat
+both doc_id and text are one document and are treated alike.
 """
 
 from __future__ import annotations
@@ -33,28 +40,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import cut, join_hot, prepare, uncut
+from glossarium.llm.common import cut, id_and_text, per_row, slices, uncut, with_key
 from glossarium.llm.suffix_array import equal_prefixes
-from glossarium.llm.two_bloom import has, twice_seen
+from glossarium.llm.two_bloom import has, meet, twice_seen
 
 #: Bytes of a repeat, of the hashed grams in it, and grams in it.
 LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1
-LAST_ID = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Rule:
-    #: Positions of each Bloom filter of 32-grams, and of the one of first intervals.
-    bits: int = 1 << 27
-    #: A 32-gram with more different intervals than this is not gathered.
+    #: Positions of the Bloom filters of 32-grams.
+    bits: int = 1 << 28
+    #: Positions of the filter of documents that need a list.
+    doc_bits: int = 1 << 26
+    #: The strings of a 32-gram with more different intervals than this are grouped by their bytes.
     gather: int = 1500
-    #: About so many intervals make a part that is sorted together.
-    part: int = 20_000
+    #: About so many strings are sorted together.
+    part: int = 100_000
 
 
 _WEIGHTS = np.random.default_rng(6).integers(1, 1 << 63, GRAM, np.int64).astype(np.uint64) | np.uint64(1)
@@ -163,60 +172,39 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def place_hash(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    x = (starts.astype(np.uint64) + docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    return x * np.uint64(0x94D049BB133111EB) >> np.uint64(13)
+def gram_hashes(pdf: pd.DataFrame) -> np.ndarray:
+    """The 32-grams' hashes of all intervals, text by text for bounded memory."""
+    out, part, size = [np.zeros(0, np.uint64)], [], 0
+    for text in pdf["text"]:
+        part.append(as_bytes(text))
+        size += len(part[-1])
+        if size >= BLOCK:
+            out.append(intervals(part)[4])
+            part, size = [], 0
+    return np.concatenate([*out, intervals(part)[4]])
 
 
-def suspects(docs: DataFrame, held, bits: int) -> DataFrame:
-    """Intervals (c1, c2: hash of all their bytes; gram; doc, lo) whose gram may occur elsewhere."""
+def place():
+    """A place as a struct that orders by document and start; null ids come last."""
+    return F.struct(F.col("doc").isNull().alias("nul"), "doc", "th", "lo")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.frombuffer(held.value, np.uint8)
-        for pdf in batches:
-            texts = list(map(as_bytes, pdf["text"]))
-            own, lo, hi, k, code = intervals(texts)
-            ok = has(known, code, bits)
-            own, lo, code = own[ok], lo[ok], code[ok]
-            c = [xxhash.xxh3_128_digest(texts[i][x : y + LENGTH], z - x) for i, x, y, z in zip(own.tolist(), lo.tolist(), hi[ok].tolist(), k[ok].tolist())]
-            two = np.frombuffer(b"".join(c), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"c1": two[:, 0], "c2": two[:, 1], "gram": code.view(np.int64), "doc": pdf["doc"].to_numpy()[own], "lo": lo})
-
-    return docs.mapInPandas(run, "c1 long, c2 long, gram long, doc long, lo long")
-
-
-def order_of(doc: str, at: str):
-    """One number that orders places: by document, then by start."""
-    return F.col(doc).cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col(at)
-
-
-def unpack(order: str) -> list:
-    whole = F.floor(F.col(order) / F.lit(1 << 40).cast("decimal(14,0)"))
-    return [whole.cast("long").alias("doc"), (F.col(order) - whole * F.lit(1 << 40).cast("decimal(14,0)")).cast("long").alias("lo")]
 
+def suspects(docs: DataFrame, held: Broadcast, bits: int) -> DataFrame:
+    """Intervals (gram, bytes; doc, th, lo) of docs (doc_id, th, text) whose gram may occur elsewhere."""
 
-def contexts(docs: DataFrame, grams_held, firsts_held, bits: int) -> DataFrame:
-    """The bytes of first intervals whose gram has others: (gram, doc, lo, n strings, bytes)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, first = np.frombuffer(grams_held.value, np.uint8), np.frombuffer(firsts_held.value, np.uint8)
-        for pdf in batches:
-            texts = list(map(as_bytes, pdf["text"]))
-            own, lo, hi, _, code = intervals(texts)
-            docs_of = pdf["doc"].to_numpy()[own]
-            ok = np.nonzero(has(known, code, bits))[0]
-            ok = ok[has(first, place_hash(docs_of[ok], lo[ok]), bits)]
-            own, lo, hi = own[ok], lo[ok], hi[ok]
-            spans = [texts[i][x : y + LENGTH] for i, x, y in zip(own.tolist(), lo.tolist(), hi.tolist())]
-            yield pd.DataFrame({"gram": code[ok].view(np.int64), "doc": docs_of[ok], "lo": lo, "n": hi - lo + 1, "bytes": spans})
-
-    return docs.mapInPandas(run, "gram long, doc long, lo long, n long, bytes binary")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            for part in slices(batch, "text", BLOCK):
+                texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
+                own, lo, hi, _, code = intervals(texts)
+                ok = has(known, code, bits)
+                own, lo, hi = own[ok], lo[ok], hi[ok]
+                spans = [texts[i][x:y] for i, x, y in zip(own.tolist(), lo.tolist(), (hi + LENGTH).tolist())]
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(code[ok].view(np.int64)), pa.array(spans, pa.binary()), part.column("doc_id").take(at), part.column("th").take(at), pa.array(lo)], names=["gram", "bytes", "doc", "th", "lo"])
 
-def mark_filter(rows: DataFrame, hashes, bits: int) -> bytes:
-    """A plain Bloom filter of the rows' hashes: each is counted twice, so that the second filter has it."""
-    return twice_seen(rows, lambda pdf: np.repeat(hashes(pdf), 2), bits)
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "gram long, bytes binary, doc long, th binary, lo long")
 
 
 def covered_strings(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -275,64 +263,86 @@ def covered_strings(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, spans: list[
     return where_doc[gone], where_lo[gone]
 
 
-def sorted_parts(rows: DataFrame) -> DataFrame:
-    """(doc, at) of covered strings, for rows of contexts() that are partitioned by gram."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [pdf for pdf in batches if len(pdf)]
-        if got:
-            pdf = pd.concat(got).drop_duplicates(["doc", "lo"])
-            doc, at = covered_strings(pdf["doc"].to_numpy(), pdf["lo"].to_numpy(), pdf["n"].to_numpy(), list(pdf["bytes"]))
-            yield pd.DataFrame({"doc": doc, "at": at})
-
-    return rows.mapInPandas(run, "doc long, at long")
-
-
-def by_own_hash(rows: DataFrame) -> DataFrame:
-    """The same for grams with very many intervals: each string is dealt by its own hash."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                c = [xxhash.xxh3_128_digest(x[j : j + LENGTH]) for x, n in zip(part["bytes"], part["n"]) for j in range(n)]
-                two = np.frombuffer(b"".join(c), np.int64).reshape(-1, 2)
-                n = part["n"].to_numpy()
-                at = np.repeat(part["lo"].to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"c1": two[:, 0], "c2": two[:, 1], "doc": np.repeat(part["doc"].to_numpy(), n), "at": at})
-
-    strings = rows.mapInPandas(run, "c1 long, c2 long, doc long, at long").withColumn("key", F.struct("c1", "c2"))
-    found = strings.groupBy("c1", "c2").agg(F.min(order_of("doc", "at")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    found = cut(found.select(F.struct("c1", "c2").alias("key"), "first", "rows"), "strings")
-    late = cut(join_hot(strings.select("key", "doc", "at"), found, "key", "rows").filter(order_of("doc", "at") > F.col("first")).select("doc", "at"), "late")
-    uncut(found)
-    return late
-
-
-def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, object]:
-    """For documents (doc, text): (doc, firsts, at), the starts of its first intervals and of covered strings in them; and the filter of grams."""
+def sorted_strings(rows: DataFrame, part: int) -> DataFrame:
+    """Covered strings (doc, th, at) of first intervals (gram, bytes, place) that are partitioned and ordered by gram; some 32-grams at a time."""
+
+    def covered(pdf: pd.DataFrame) -> pd.DataFrame:
+        places = list(zip(pdf["nul"], (x or 0 for x in pdf["doc"]), pdf["th"], pdf["lo"]))
+        pdf = pdf.take(sorted(range(len(pdf)), key=places.__getitem__))
+        spans = list(pdf["bytes"])
+        own, at = covered_strings(np.arange(len(pdf)), np.zeros(len(pdf), np.int64), np.array([len(x) - LENGTH + 1 for x in spans]), spans)
+        return pd.DataFrame({"doc": pdf["doc"].to_numpy()[own], "th": pdf["th"].to_numpy()[own], "at": pdf["lo"].to_numpy()[own] + at})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:
+            for piece in slices(batch, "bytes"):
+                pdf = piece.to_pandas(integer_object_nulls=True).astype({"doc": object})
+                held.append(pdf)
+                size += strings(pdf)
+                if size >= part:
+                    have = pd.concat(held, ignore_index=True)
+                    last = have["gram"].to_numpy() == have["gram"].iat[-1]
+                    if not last.all():
+                        yield out(covered(have[~last]))
+                        held = [have[last]]
+                        size = strings(held[0])
+        if held:
+            yield out(covered(pd.concat(held, ignore_index=True)))
+
+    def strings(pdf: pd.DataFrame) -> int:
+        return int(pdf["bytes"].map(len).sum()) - (LENGTH - 1) * len(pdf)
+
+    def out(pdf: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pdf["doc"].tolist(), pa.int64()), pa.array(pdf["th"].tolist(), pa.binary()), pa.array(pdf["at"].to_numpy(np.int64))], names=["doc", "th", "at"])
+
+    return rows.mapInArrow(run, "doc long, th binary, at long")
+
+
+def grouped_strings(rows: DataFrame) -> DataFrame:
+    """The same for 32-grams with very many first intervals: their strings are grouped by bytes, with sums before the shuffle."""
+    strings = rows.select("bytes", "nul", "doc", "th", "lo", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)).alias("k"))
+    strings = strings.select(F.expr(f"substring(bytes, k + 1, {LENGTH})").alias("s"), F.struct("nul", "doc", "th", (F.col("lo") + F.col("k")).alias("lo")).alias("place"))
+    first = strings.groupBy("s").agg(F.min("place").alias("place")).select("place.doc", "place.th", F.col("place.lo").alias("at"), F.lit(1).alias("first"))
+    every = rows.select("doc", "th", F.explode(F.sequence("lo", F.col("lo") + F.octet_length("bytes") - LENGTH)).alias("at"), F.lit(0).alias("first"))
+    # places of one document only meet here; a place of several intervals is covered if no interval of its 32-gram has it first
+    seen = every.unionByName(first).groupBy("doc", "th", "at").agg(F.max("first").alias("first"))
+    return seen.filter("first = 0").select("doc", "th", "at")
+
+
+def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Broadcast]:
+    """For documents (doc_id, th, key, text): (doc_id, th, key, firsts, at), the starts of first intervals and of covered strings in them, for documents that have any; and the filter of the 32-grams that repeat (rule.bits / 8 bytes)."""
     spark = docs.sparkSession
-    found = twice_seen(docs.select("text"), lambda pdf: intervals(list(map(as_bytes, pdf["text"])))[4], rule.bits)
-    known = spark.sparkContext.broadcast(found)  # rule.bits / 8 bytes
-    seen = suspects(docs, known, rule.bits)
-    firsts = seen.groupBy("c1", "c2").agg(F.first("gram").alias("gram"), F.min(order_of("doc", "lo")).alias("first"))
-    firsts = cut(firsts.select("gram", *unpack("first")), "firsts")
-    counts = firsts.groupBy("gram").agg(F.count("*").alias("spans")).filter("spans > 1")
+    found = twice_seen(docs.select("text"), gram_hashes, rule.bits)
+    held = spark.sparkContext.broadcast(found)
+    seen = suspects(docs, held, rule.bits)
+    firsts = seen.groupBy("gram", "bytes").agg(F.min(place()).alias("place"), F.count("*").alias("rows"))
+    firsts = cut(firsts.select("gram", "bytes", "rows", "place.nul", "place.doc", "place.th", "place.lo"), "firsts")
+    counts = firsts.groupBy("gram").agg(F.sum("rows").alias("rows"), F.count("*").alias("spans")).filter("rows > 1")
     counts = cut(counts, "grams")
-    number = counts.agg(F.sum("spans").alias("n")).first()["n"] or 0
-    multi = mark_filter(counts.select("gram"), lambda pdf: pdf["gram"].to_numpy().view(np.uint64), rule.bits)
-    places = join_hot(firsts, counts, "gram", "spans").select("doc", "lo")
-    first_filter = mark_filter(places, lambda pdf: place_hash(pdf["doc"].to_numpy(), pdf["lo"].to_numpy()), rule.bits)
-    spans = contexts(docs, spark.sparkContext.broadcast(multi), spark.sparkContext.broadcast(first_filter), rule.bits)
-    hot = F.broadcast(counts.filter(F.col("spans") > rule.gather).select("gram"))  # number / gather grams at most
-    spans = cut(spans.join(hot.withColumn("hot", F.lit(True)), "gram", "left"), "spans")
-    parts = max(8, -(-number // rule.part))
-    late = by_own_hash(spans.filter("hot").drop("hot"))
-    covered = sorted_parts(spans.filter("hot IS NULL").drop("hot").repartition(parts, "gram")).unionByName(late)
-    covered = covered.groupBy("doc").agg(F.collect_list("at").alias("at"))  # no more than a document's own bytes
-    own = firsts.groupBy("doc").agg(F.collect_list("lo").alias("firsts"))
-    out = cut(own.join(covered, "doc", "left"), "removals")
-    uncut(firsts, counts, spans, late)
+    held.destroy()
+    # grams that do repeat, and passed the first filter: what it denies is in no list
+    found = np.frombuffer(found, np.uint8) & np.frombuffer(twice_seen(counts.select("gram"), lambda pdf: pdf["gram"].to_numpy().view(np.uint64), rule.bits, once=True), np.uint8)
+    known = spark.sparkContext.broadcast(found.tobytes())
+
+    several = firsts.drop("rows").join(counts.filter(f"spans > 1 AND spans <= {rule.gather}").select("gram"), "gram")
+    hot = F.broadcast(counts.filter(f"spans > {rule.gather}").select("gram"))  # firsts / gather grams at most
+    covered = sorted_strings(several.repartition("gram").sortWithinPartitions("gram"), rule.part)
+    covered = covered.unionByName(grouped_strings(firsts.drop("rows").join(hot, "gram")))
+    covered = covered.groupBy("doc", "th").agg(F.collect_list("at").alias("at"))  # no more than a document's own bytes
+
+    @F.pandas_udf("boolean")
+    def repeated(gram: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bytes_of = np.frombuffer(known.value, np.uint8)
+        for g in gram:
+            yield pd.Series(has(bytes_of, g.to_numpy().view(np.uint64), rule.bits))
+
+    own = firsts.select("doc", "th", "lo", "gram").filter(repeated("gram")).groupBy("doc", "th").agg(F.collect_list("lo").alias("firsts"))
+    same = own["doc"].eqNullSafe(covered["doc"]) & (own["th"] == covered["th"])
+    out = own.join(covered, same, "left").select(own["doc"].alias("doc_id"), own["th"], "firsts", "at")
+    out = cut(out.withColumn("key", F.xxhash64("doc_id", "th")), "removals")
+    uncut(firsts, counts)
     return out, known
 
 
@@ -346,13 +356,12 @@ def marks(texts: list[bytes], firsts, at, known: np.ndarray, bits: int) -> Itera
         change = np.zeros(len(data) + 1, np.int32)
         mine, x, y = gone[a : ends[k]], lo[a : ends[k]], hi[a : ends[k]]
         a = ends[k]
-        if firsts[k] is not None and len(firsts[k]):
+        if firsts[k]:
             mine = mine & ~np.isin(x, firsts[k])
         np.add.at(change, x[mine], 1)
         np.add.at(change, y[mine] + LENGTH, -1)
-        if at[k] is not None and len(at[k]):
+        if at[k]:
             places = np.asarray(at[k])
-            places = places[places + LENGTH <= len(data)]
             np.add.at(change, places, 1)
             np.add.at(change, places + LENGTH, -1)
         yield np.cumsum(change[:-1]) > 0
@@ -373,59 +382,67 @@ def without_repeats(text: str | None, mask: np.ndarray) -> str:
     return b[keep].tobytes().decode("utf-8", "surrogatepass")
 
 
-def with_removals(docs: DataFrame, rule: Rule, id_col: str, text_col: str):
-    """docs with _firsts and _at, and the filter of grams."""
-    doc = F.coalesce(F.col(f"`{id_col}`"), F.lit(LAST_ID)).cast("long")
-    found, known = removals(docs.select(doc.alias("doc"), F.col(f"`{text_col}`").alias("text")), rule)
-    found = found.select(F.col("doc").alias("_doc"), F.col("firsts").alias("_firsts"), F.col("at").alias("_at"))
-    return docs.join(found, doc == F.col("_doc"), "left").drop("_doc"), known
+def with_removals(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Broadcast]:
+    """docs (doc_id, text, and more) with firsts and at, and the filter of 32-grams. Texts of documents that hold no first place aren't moved."""
+    docs = with_key(docs)
+    found, known = removals(docs, rule)
+    return meet(docs, found, rule.doc_bits)[0], known
 
 
 def repeated_bytes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its bytes, those removed and in how many runs, and the digest of the rest."""
-    prepare(docs.sparkSession)
-    docs = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    joined, known = with_removals(docs, rule, "doc_id", "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams_known = np.frombuffer(known.value, np.uint8)
-        for pdf in batches:
-            rows = []
-            texts = list(map(as_bytes, pdf["text"]))
-            for data, mask in zip(texts, marks(texts, list(pdf["_firsts"]), list(pdf["_at"]), grams_known, rule.bits)):
+    joined, known = with_removals(id_and_text(docs, id_col, text_col), rule)
+
+    def task():
+        repeated = np.frombuffer(known.value, np.uint8)
+
+        def make(texts: list, firsts: list, at: list) -> Iterator[tuple]:
+            texts = list(map(as_bytes, texts))
+            for data, mask in zip(texts, marks(texts, firsts, at, repeated, rule.bits)):
                 kept = np.frombuffer(data, np.uint8)[~mask].tobytes() if mask.any() else data
-                rows.append((len(data), int(mask.sum()), runs(mask), hashlib.sha256(kept).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
+                yield len(data), int(mask.sum()), runs(mask), hashlib.sha256(kept).hexdigest()
+
+        return make
 
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return per_row(joined, task, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", read=("text", "firsts", "at"))
 
 
 def texts_without_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text of each row without its repeats, cut at whole characters."""
-    prepare(docs.sparkSession)
-    joined, known = with_removals(docs, rule, id_col, text_col)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # further columns can't clash with those needed here
+    plain = docs.toDF(*names)
+    text, doc = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
+    keep = [c for c in names if c != text]
+    rows = plain.select(*keep, F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    joined, known = with_removals(rows, rule)
+
+    def task():
+        repeated = np.frombuffer(known.value, np.uint8)
+
+        def make(texts: list, firsts: list, at: list) -> Iterator[tuple]:
+            gone = marks(list(map(as_bytes, texts)), firsts, at, repeated, rule.bits)
+            for t, mask in zip(texts, gone):
+                yield (without_repeats(t, mask),)
 
-    @F.pandas_udf("string")
-    def shorten(text: pd.Series, firsts: pd.Series, at: pd.Series) -> pd.Series:
-        grams_known = np.frombuffer(known.value, np.uint8)
-        gone = marks(list(map(as_bytes, text)), list(firsts), list(at), grams_known, rule.bits)
-        return pd.Series([without_repeats(t, mask) for t, mask in zip(text, gone)], dtype=object)
+        return make
 
-    return joined.withColumn(text_col, shorten(F.col(f"`{text_col}`"), "_firsts", "_at")).drop("_firsts", "_at")
+    made = per_row(joined, task, f"{text} string", keep=keep, read=("text", "firsts", "at"))
+    return made.select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, str]]:
-    """The same by a table of all strings, for tests and small inputs with unique ids."""
+def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple[int, int, int, str]]:
+    """The same for each row by a table of all strings, for tests and small inputs."""
     seen: set[bytes] = set()
-    out = {}
-    for doc, text in sorted(rows):
-        b = (text or "").encode("utf-8", "surrogatepass")
+    done: dict[tuple, tuple[int, int, int, str]] = {}
+    as_key = lambda doc, text: (doc is None, doc or 0, hashlib.sha256(as_bytes(text)).digest())
+    for doc, text in sorted(rows, key=lambda r: as_key(*r)):
+        if as_key(doc, text) in done:
+            continue
+        b = as_bytes(text)
         mask = np.zeros(len(b), bool)
         for k in range(len(b) - LENGTH + 1):
             s = b[k : k + LENGTH]
@@ -433,5 +450,5 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int,
                 mask[k : k + LENGTH] = True
             else:
                 seen.add(s)
-        out[doc] = (len(b), int(mask.sum()), runs(mask), hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest())
-    return out
+        done[as_key(doc, text)] = (len(b), int(mask.sum()), runs(mask), hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest())
+    return [done[as_key(doc, text)] for doc, text in rows]

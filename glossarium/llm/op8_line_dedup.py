@@ -5,16 +5,18 @@ seen twice or more: each map task fills a pair of its own, kept as sorted bit
 positions, and pairs are merged by segment of the filter (a bit that two tasks
 have in their first filter goes to the second). Keys that the second filter
 denies are unique; only the rest, suspected repeats, are shuffled, counted and
-confirmed by the key itself. Documents learn which of their lines go, and
-only then is their text joined to that.
+confirmed by the key itself. Of the texts, only those of documents that lose
+lines are moved to the list of these; a third filter tells them apart.
 
-The filter has BITS positions whatever the input, so what is broadcast is of
-fixed size; on inputs that fill it more lines are suspected, and the result is
-the same.
+The filters have a fixed number of positions whatever the input, so what is
+broadcast is of fixed size; on inputs that fill them more lines are suspected
+and more texts moved, and the result is the same.
 
 Defined results: a null or empty text is one empty line. A document is a
 doc_id with a text: rows that repeat both are one document and lose the same
-lines. A null doc_id is the smallest. A table without rows gives none.
+lines; texts that share a doc_id are documents of their own, and of one id for
+"the largest doc_id holding it", so that all of them keep the line. A null
+doc_id is the smallest. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossarium.llm.common import WS, cut, join_hot, prepare, uncut
-from glossarium.llm.two_bloom import has, twice_seen
+from glossarium.llm.common import WS, cut, id_and_text, join_hot, per_row, slices, uncut, with_key
+from glossarium.llm.two_bloom import has, meet, twice_seen
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,8 @@ class LineRule:
     least_docs: int = 3
     #: Positions of each filter, a power of two; 2 ** 26 positions are 8 MB.
     bits: int = 1 << 26
+    #: Positions of the filter of documents that lose lines.
+    doc_bits: int = 1 << 26
 
 
 def line_key(line: str) -> str:
@@ -56,38 +60,38 @@ def hashes_of(keys) -> np.ndarray:
 
 
 def dropped_keys(docs: DataFrame, rule: LineRule) -> DataFrame:
-    """(doc_id, th, keys) of each document that loses lines; th is a hash of the text."""
+    """(doc_id, th, key, keys) of each document (doc_id, th, key, text) that loses lines."""
     spark = docs.sparkSession
     least, bits = rule.least_chars, rule.bits
     found = twice_seen(docs.select("text"), lambda pdf: hashes_of(k for t in pdf["text"] for k in keys_of(t, least)), bits)
     held = spark.sparkContext.broadcast(found)  # rule.bits / 8 bytes
 
-    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(held.value, np.uint8)
-        for pdf in batches:
-            ids, hashes, out = [], [], []
-            for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
-                doc = None if pd.isna(doc) else int(doc)
-                keys = list(keys_of(text, least))
-                if keys:
-                    own = [k for k, h in zip(keys, has(twice, hashes_of(keys), bits)) if h]
-                    out += own
-                    ids += [doc] * len(own)
-                    hashes += [th] * len(own)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "th": np.array(hashes, np.int64), "key": pd.Series(out, dtype=object)})
-
-    seen = docs.mapInPandas(suspects, "doc_id long, th long, key string")
-    seen = cut(seen.withColumn("kid", F.sha2("key", 256)), "suspects")
-    # a key's rows are one per document, but for repeated rows: those count once
-    repeated = docs.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count() > 0
-    if repeated:
-        old, seen = seen, cut(seen.dropDuplicates(["doc_id", "th", "key"]), "suspects")
-        uncut(old)
-    counted = seen.groupBy("key").agg(F.count("*").alias("docs"), F.max(F.coalesce("doc_id", F.lit(-(2**63)))).alias("last"))
-    counted = cut(counted.filter(F.col("docs") >= rule.least_docs).select(F.sha2("key", 256).alias("kid"), "docs", "last"), "repeats")
-    gone = join_hot(seen.select("kid", "doc_id", "th", F.col("key")), counted, "kid", "docs")
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own, out = [], []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    lines = list(keys_of(text, least))
+                    if lines:
+                        known = [x for x, h in zip(lines, has(twice, hashes_of(lines), bits)) if h]
+                        out += known
+                        own += [k] * len(known)
+                at = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("th").take(at), pa.array(out, pa.string())], names=["doc_id", "th", "line"])
+
+    seen = docs.select("doc_id", "th", "text").mapInArrow(suspects, "doc_id long, th binary, line string")
+    seen = cut(seen.withColumn("kid", F.sha2("line", 256)), "suspects")
+    held.destroy()
+    # a line's rows are one per doc_id, but for repeated rows and ids: those count once
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    each = seen.select("kid", "line", "doc_id").distinct() if repeated else seen
+    counted = each.groupBy("line").agg(F.count("*").alias("docs"), F.max(F.coalesce("doc_id", F.lit(-(2**63)))).alias("last"))
+    counted = cut(counted.filter(F.col("docs") >= rule.least_docs).select(F.sha2("line", 256).alias("kid"), "docs", "last"), "repeats")
+    gone = join_hot(seen.select("kid", "doc_id", "th", "line"), counted, "kid", "docs")
     gone = gone.filter(F.coalesce("doc_id", F.lit(-(2**63))) < F.col("last"))
-    out = cut(gone.groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys")), "gone")  # no more than a document's own lines
+    out = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("keys"))  # no more than a document's own lines
+    out = cut(out.withColumn("key", F.xxhash64("doc_id", "th")), "gone")
     uncut(seen, counted)
     return out
 
@@ -95,38 +99,40 @@ def dropped_keys(docs: DataFrame, rule: LineRule) -> DataFrame:
 def without_lines(text: str | None, keys) -> tuple[str, int, int]:
     """The text without the lines that have these keys; its number of lines before, and of those dropped."""
     lines = (text or "").split("\n")
-    if keys is None or not len(keys):
+    if not keys:
         return text or "", len(lines), 0
     gone = set(keys)
     kept = [x for x in lines if line_key(x) not in gone]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def with_keys(docs: DataFrame, rule: LineRule) -> DataFrame:
-    """docs with the column _keys: the keys of the lines that go, null where none do."""
-    docs = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = dropped_keys(docs.select("doc_id", F.col("_hash").alias("th"), "text"), rule)
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("keys").alias("_keys"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_th")), "left").drop("_doc", "_th", "_hash")
+def line_dedup(docs: DataFrame, rule: LineRule = LineRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: lines before, lines dropped, digest of what stays."""
+    docs = with_key(id_and_text(docs, id_col, text_col))
+    joined, _ = meet(docs, dropped_keys(docs, rule), rule.doc_bits)
 
+    def make(texts: list, keys: list) -> Iterator[tuple]:
+        for text, gone in zip(texts, keys):
+            kept, before, dropped = without_lines(text, gone)
+            yield before, dropped, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
 
-def line_dedup(docs: DataFrame, rule: LineRule = LineRule(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row for each row of docs: lines before, lines dropped, digest of what stays (and the text itself)."""
-    prepare(docs.sparkSession)
-    docs = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    names = ["n_lines", "n_dropped", "kept_sha256", *["text"] * with_text]
+    return per_row(joined, lambda: make, "n_lines long, n_dropped long, kept_sha256 string", read=("text", "keys"))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text, keys in zip(pdf["text"], pdf["_keys"]):
-                kept, n, gone = without_lines(text, keys)
-                rows.append((n, gone, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), *[kept] * with_text))
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
 
-    return with_keys(docs, rule).mapInPandas(apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text)
+def texts_without_lines(docs: DataFrame, rule: LineRule = LineRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the text of each row without the lines that go; a text that loses nothing stays as it is, null too."""
+    names = [f"c{k}" for k in range(len(docs.columns))]  # further columns can't clash with those needed here
+    plain = docs.toDF(*names)
+    doc, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = with_key(plain.select(*(c for c in names if c != text), F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    joined, _ = meet(rows, dropped_keys(rows.select("doc_id", "th", "key", "text"), rule), rule.doc_bits)
+
+    def make(texts: list, keys: list) -> Iterator[tuple]:
+        for t, gone in zip(texts, keys):
+            yield (without_lines(t, gone)[0] if gone else t,)
+
+    made = per_row(joined, lambda: make, f"{text} string", keep=[c for c in names if c != text], read=("text", "keys"))
+    return made.select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Byte-level BPE with a local rank file, by the tiktoken library.
 
-Long texts are cut before white space that follows other characters: no match
-of the pattern spans such a place, so the pieces encode to what the whole
-would. Decoding joins the raw bytes of the ids, which gives the text back even
+Long texts are cut before white space that follows other characters, and where
+an ASCII letter or digit is followed by an ASCII character of another kind: no
+match of the pattern spans such a place, so the pieces encode to what the
+whole would. A single run of letters, digits or signs is one match, and one
+piece whatever its length. Decoding joins the raw bytes of the ids, which gives the text back even
 where one character is spread over several ids.
 
 Defined results: null counts as empty, and an empty text has no ids. Each row
-is encoded on its own, so there is no shuffle and no state.
+is encoded on its own, repeated ones and those with a null id too, so there is
+no shuffle and no state; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -18,22 +21,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from glossarium.llm.common import prepare
+from glossarium.llm.common import id_and_text, per_row
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts beyond so many characters are encoded piece by piece.
 PIECE_CHARS = 65536
 #: Runs of white space from this length on are matched here, as the regular expression would.
 LONG_SPACE = 4096
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+ADDED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space as the pattern's \\s has it (Unicode's White_Space).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SAFE = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+_SAFE = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[A-Za-z])(?=[!-@\[-`{{-~])|(?<=[0-9])(?=[!-/:-~])")
 _RUN = re.compile(rf"[{_SPACE}]{{{LONG_SPACE},}}")
 
 
@@ -80,23 +82,21 @@ def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = Non
     path names a rank file that every executor has; with_ids adds the ids
     themselves and the decoded bytes.
     """
-    prepare(docs.sparkSession)
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         enc = encoder(path, pattern)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
+
+        def make(texts: list) -> Iterator[tuple]:
+            for text in texts:
                 ids = encode(text, enc)
                 raw = enc.decode_bytes(ids)
                 row = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
-                rows.append((*row, ids, raw) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
+                yield (*row, ids, raw) if with_ids else row
+
+        return make
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInPandas(run, SCHEMA + ", ids array<long>, decoded binary" * with_ids)
+    return per_row(id_and_text(docs, id_col, text_col), task, ADDED + ", ids array<long>, decoded binary" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ logits is the mean of one number per bucket, so a model is two small arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,6 +136,7 @@ class Trainer:
         self.v = rng.uniform(-1 / shape.dim, 1 / shape.dim, (shape.buckets, shape.dim)).astype(np.float32)
         self.w = rng.normal(0, 0.3, (shape.dim, 2)).astype(np.float32)
         self.b = np.zeros(2, np.float32)
+        self.where = np.zeros(shape.buckets, np.int64)
         self.seen = np.full(shape.buckets, 1e-4, np.float32)
         self.seen_w = np.full((shape.dim, 2), 1e-2, np.float32)
 
@@ -145,7 +146,9 @@ class Trainer:
         amount = np.ones(len(items), np.float32) if amount is None else amount.astype(np.float32)
         size = np.maximum(np.bincount(owner, amount, n), 1e-9).astype(np.float32)
         share = amount / size[owner]
-        ids, where = np.unique(items, return_inverse=True)
+        ids = np.nonzero(np.bincount(items, minlength=self.shape.buckets))[0]
+        self.where[ids] = np.arange(len(ids))
+        where = self.where[items]
         vec = self.v[ids]
         mean = np.empty((n, d), np.float32)
         for k in range(d):
@@ -184,23 +187,34 @@ def windows(sums: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
     return (s[end] - s[at]) / np.maximum(c[end] - c[at], 1)
 
 
-def labelled_sample(spark, sf_dir: str, label: str, docs, most_rows: int, most_chars: int) -> list[tuple[str, int]]:
-    """At most most_rows labelled texts of each class, from rows that aren't held out, chosen by a hash of the id.
+def stretches(words: list[str], most: int, size: int = 100) -> list[str]:
+    """All the words, or where there are more than ``most`` of them stretches of ``size`` words, dealt evenly over the whole text."""
+    if len(words) <= most:
+        return words
+    number = most // size
+    step = (len(words) - size) / (number - 1)
+    return [w for k in range(number) for w in words[int(k * step) : int(k * step) + size]]
 
-    Labels that are null or clash for one id, and texts of more than
-    most_chars (for fitting only), are left out.
+
+def labelled_sample(spark, sf_dir: str, label: str, docs, most_rows: int, most_words: int, words) -> Iterator[tuple[list[str], int]]:
+    """The words of at most most_rows labelled texts of each class, from rows that aren't held out, chosen by a hash of the id.
+
+    The executors cut a text of more than most_words words to stretches of it,
+    so what comes to the driver is bounded by the two limits, and comes a
+    partition at a time. Labels that are null or clash for one id are left out.
     """
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    from glossarium.llm.common import id_remainder
+    from glossarium.llm.common import id_remainder, per_row
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(label).alias("y"))
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (id_remainder(F.col("doc_id")) != 0))
-    labels = labels.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("doc_id", "y", F.xxhash64("doc_id").alias("o"))
+    labels = labels.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("doc_id", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id").alias("o"))
     each = [labels.filter(F.col("y") == y).orderBy("o", "doc_id").limit(most_rows) for y in (0, 1)]
     wanted = F.broadcast(each[0].unionByName(each[1]))  # 2 * most_rows ids at most
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= most_chars)).join(wanted, "doc_id")
-    rows = texts.select("o", "doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["o"], r["doc_id"], r["text"]))
-    return [(r["text"], int(r["y"])) for r in rows]
+    texts = docs.select(F.col("doc_id").alias("d"), "text").filter(F.col("text").isNotNull()).join(wanted, F.col("d") == F.col("doc_id")).select("y", "o", "doc_id", "text")
+    # repeated ids could have any number of rows: the least text of each is taken
+    texts = texts.groupBy("doc_id", "y", "o").agg(F.min("text").alias("text"))
+    rows = per_row(texts, lambda: lambda batch: ((" ".join(stretches(words(t), most_words)),) for t in batch), "words string", keep=("y", "o", "doc_id"))
+    for row in rows.orderBy("o", "doc_id").toLocalIterator():
+        yield row["words"].split(" ") if row["words"] else [], row["y"]

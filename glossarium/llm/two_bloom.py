@@ -2,9 +2,9 @@
 
 Each map task keeps its pair as sorted bit positions; pairs are merged by
 segment of the filter, where a position that two tasks have in their first
-filter goes to the second. The filters have a fixed number of positions
-whatever the input: on inputs that fill them more hashes are suspected of
-being repeats, never fewer.
+filter goes to the second. A hash has two positions. The filters have a fixed
+number of positions whatever the input: on inputs that fill them more hashes
+are suspected of being repeats, never fewer.
 """
 
 from __future__ import annotations
@@ -13,42 +13,116 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-SEGMENTS = 64
+#: Positions of a segment; each is merged by itself.
+SEGMENT = 1 << 22
+#: A segment's pairs from so many tasks are merged first, and then what comes of that.
+FAN_IN = 1000
+#: A map task sends its positions on after so many of them.
+FLUSH = 1 << 22
 
 
-def twice_seen(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits: int) -> bytes:
-    """The second filter, bits / 8 bytes. hashes gives the 64-bit hashes of a batch of rows, repeats included."""
-    span = bits // SEGMENTS
+def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two positions for each 64-bit hash."""
+    mixed = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (hashes & np.uint64(bits - 1)).astype(np.uint32), (mixed >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.uint32)
+
+
+def twice_seen(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits: int, once: bool = False) -> bytes:
+    """The second filter, bits / 8 bytes; or with ``once`` a plain filter of all hashes. hashes gives the 64-bit hashes of a batch of rows, repeats included."""
+    span = min(bits, SEGMENT)
+    segments = bits // span
+
+    def packed(found: list[np.ndarray]) -> pd.DataFrame:
+        at, times = np.unique(np.concatenate(found), return_counts=True)
+        ends = np.searchsorted(at, np.arange(1, segments + 1, dtype=np.int64) * span)
+        begins = np.concatenate([[0], ends[:-1]])
+        own, more = (at & np.uint32(span - 1)).astype("<u4"), times > 1 if not once else np.ones(len(at), bool)
+        some = np.nonzero(ends > begins)[0]
+        cells = [(own[a:b][~more[a:b]].tobytes(), own[a:b][more[a:b]].tobytes()) for a, b in zip(begins[some], ends[some])]
+        return pd.DataFrame({"segment": some, "once": [x for x, _ in cells], "twice": [x for _, x in cells]})
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [(hashes(pdf) & np.uint64(bits - 1)).astype(np.uint32) for pdf in batches]
-        at, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *found]), return_counts=True)
-        ends = np.searchsorted(at, np.arange(1, SEGMENTS + 1, dtype=np.int64) * span)
-        for k, (a, b) in enumerate(zip([0, *ends], ends)):
-            if b > a:
-                own, twice = (at[a:b] - np.uint32(k * span)).astype("<u4"), times[a:b] > 1
-                yield pd.DataFrame({"segment": [k], "once": [own[~twice].tobytes()], "twice": [own[twice].tobytes()]})
+        found, size = [], 0
+        for pdf in batches:
+            h = np.unique(hashes(pdf), return_counts=True) if not once else (np.unique(hashes(pdf)), None)
+            for at in positions(h[0], bits):
+                found += [at] if once else [at, at[h[1] > 1]]
+            size = sum(map(len, found))
+            if size > FLUSH:
+                yield packed(found)
+                found, size = [], 0
+        if size:
+            yield packed(found)
 
     def merge(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(span, bool), np.zeros(span, bool)
+        first, second = np.zeros(span, bool), np.zeros(span, bool)
         for pdf in batches:
             for a, b in zip(pdf["once"], pdf["twice"]):
                 a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                twice[a[once[a]]] = True
-                twice[b] = True
-                once[a] = True
-        yield pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(twice).tobytes()]})
+                second[a[first[a]]] = True
+                second[b] = True
+                first[a] = True
+                first[b] = True
+        yield pd.DataFrame({"segment": [key[0]], "once": [np.packbits(first).tobytes()], "twice": [np.packbits(second).tobytes()]})
 
-    parts = rows.mapInPandas(fill, "segment int, once binary, twice binary")
+    def join(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, second = np.zeros(span // 8, np.uint8), np.zeros(span // 8, np.uint8)
+        for pdf in batches:
+            for a, b in zip(pdf["once"], pdf["twice"]):
+                a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                second |= (a & first) | b
+                first |= a
+        yield pd.DataFrame({"segment": [key[0]], "twice": [second.tobytes()]})
+
+    schema = "segment int, once binary, twice binary"
+    parts = rows.mapInPandas(fill, schema).withColumn("part", F.floor(F.spark_partition_id() / FAN_IN))
+    parts = parts.groupBy("segment", "part").applyInPandas(merge, schema).groupBy("segment").applyInPandas(join, "segment int, twice binary")
     out, size = bytearray(bits // 8), span // 8
-    for row in parts.groupBy("segment").applyInPandas(merge, "segment int, bits binary").toLocalIterator():
-        out[row["segment"] * size : (row["segment"] + 1) * size] = row["bits"]
+    for row in parts.toLocalIterator():
+        out[row["segment"] * size : (row["segment"] + 1) * size] = row["twice"]
     return bytes(out)
 
 
 def has(filter_bytes: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     """Which hashes the filter knows."""
-    at = (hashes & np.uint64(bits - 1)).astype(np.int64)
-    return (filter_bytes[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    out = np.ones(len(hashes), bool)
+    for at in positions(hashes, bits):
+        out &= (filter_bytes[at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def key_filter(rows: DataFrame, column: str, bits: int) -> Broadcast:
+    """A broadcast filter of a column of 64-bit keys, bits / 8 bytes."""
+    found = twice_seen(rows.select(F.col(column).alias("k")), lambda pdf: pdf["k"].to_numpy().view(np.uint64), bits, once=True)
+    return rows.sparkSession.sparkContext.broadcast(found)
+
+
+def maybe_in(key: Column, held: Broadcast, bits: int) -> Column:
+    """Whether a 64-bit key may be in a filter; false only where it surely isn't. Python sees the key alone."""
+
+    @F.pandas_udf("boolean")
+    def known(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bytes_of = np.frombuffer(held.value, np.uint8)
+        for k in keys:
+            yield pd.Series(has(bytes_of, k.to_numpy().view(np.uint64), bits))
+
+    return known(key)
+
+
+def meet(rows: DataFrame, found: DataFrame, bits: int) -> tuple[DataFrame, Broadcast]:
+    """rows (with doc_id, th and key) left-joined to found (doc_id, th, key and further columns), and the filter used.
+
+    Only rows whose key a filter of found's keys has are shuffled; the others
+    surely have no match and pass as they are.
+    """
+    held = key_filter(found, "key", bits)
+    more = [f for f in found.schema if f.name not in ("doc_id", "th", "key")]
+    other = found.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("key").alias("_key"), *(f.name for f in more))
+    same = (F.col("key") == F.col("_key")) & (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    near = rows.filter(maybe_in(F.col("key"), held, bits)).join(other, same, "left").drop("_doc", "_th", "_key")
+    far = rows.filter(~maybe_in(F.col("key"), held, bits)).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
+    return near.unionByName(far), held
