@@ -4,19 +4,19 @@ Each stage takes (spark, docs, sf_dir) and returns the columns of documents,
 the last one the pieces of packed sequences. Every stage works on all that its
 predecessor kept; run() writes each stage's rows as a table in the shared
 folder and reads them again, so that a lost executor never costs more than the
-stage at hand.
+stage at hand. A table without rows passes through every stage, and further
+columns are kept, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossarium.llm import op3_toxicity, op6_suffix_array, op7_packing, op8_line_dedup, op10_jaccard_join
-from glossarium.llm.common import cut, prepare
+from glossarium.llm.common import cut, uncut
 
 
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,38 +27,35 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5."""
+    """Documents that score under 0.5; null and empty texts do. The labels of sf_dir teach the classifier."""
     how = op3_toxicity.Toxicity()
     model = op3_toxicity.train(spark, sf_dir, docs, how)
-    return op3_toxicity.scores(docs, model, how.width, out_col="_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    scored = op3_toxicity.scores(docs.toDF(*names), model, how.width, names[docs.columns.index("text")], "score")
+    return scored.filter("score < 0.5").select(*names).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that three or more of them have, but for the last document's."""
-    prepare(spark)
-
-    @F.pandas_udf("string")
-    def shorten(text: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([op8_line_dedup.without_lines(t, k)[0] for t, k in zip(text, keys)], dtype=object)
-
-    found = op8_line_dedup.with_keys(docs, op8_line_dedup.LineRule())
-    return counted(found.withColumn("text", shorten("text", "_keys")), docs.columns)
+    """Documents without lines that three or more of them have, but for the last document's; a text that loses nothing stays as it is, null too."""
+    return counted(op8_line_dedup.texts_without_lines(docs), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more; rows without an id stay."""
-    groups = op10_jaccard_join.jaccard_components(docs, op10_jaccard_join.Join(words=5, percent=80))
-    others = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that of the smallest id, of each group linked by five-word shingles at 0.8 or more.
+
+    A null id comes last; where ids tie the text decides, and of rows that
+    repeat id and text one stays. Rows without words are in no group and stay.
+    """
+    return op10_jaccard_join.one_of_each(docs, op10_jaccard_join.Join(words=5, percent=80))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 100 bytes or more that stand earlier in the corpus."""
+    """Documents without the passages of 100 bytes or more that stand earlier in the corpus, cut at whole characters; a null text becomes empty."""
     return counted(op6_suffix_array.texts_without_repeats(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 2048 tokens."""
+    """The pieces of the documents in sequences of 2048 tokens; a null text is one closing id, repeated rows and null ids are packed one by one."""
     return op7_packing.pack(docs)
 
 
@@ -75,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            uncut(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
