@@ -151,13 +151,16 @@ def candidates(word: str | None, most: int = 40, depth: int = 5) -> list[tuple[s
                 push(stem, cost + STEP - EARNED * len(e), f"-{rule or '어'}")
     if whole.endswith(_split("세요")) and len(word) > 2:  # verbs with 시 of their own, as 계시다
         push(whole[: -len(_split("세요"))] + _split("시"), STEP + 1 - EARNED * 4, "-세요")
+    def fits(noun: str, where: str, p: str) -> bool:
+        return where == "any" or _F(noun[-1]) == (where == "final") or noun.endswith(_L) and p == _split("로")
+
     for p, where, rule in _NOUN:
         noun = whole[: len(whole) - len(p)]
-        if whole.endswith(p) and noun and (where == "any" or _F(noun[-1]) == (where == "final")) and (_V(noun[-1]) or _F(noun[-1])):
+        if whole.endswith(p) and noun and fits(noun, where, p) and (_V(noun[-1]) or _F(noun[-1])):
             lemma(_join(noun), STEP + PARTICLE - EARNED * len(p), f"noun + {rule}")
             for q, at, other in _NOUN:  # one particle after another
                 inner = noun[: len(noun) - len(q)]
-                if noun.endswith(q) and len(inner) > 2 and (at == "any" or _F(inner[-1]) == (at == "final")):
+                if noun.endswith(q) and len(inner) > 2 and fits(inner, at, q):
                     lemma(_join(inner), 2 * STEP + PARTICLE - EARNED * (len(p) + len(q)), f"noun + {other} + {rule}")
     for adverb, tail in (("이", ""), ("히", "하")):
         if whole.endswith(_split(adverb)) and len(word) > 1:

@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
 
-SHARED = "/tmp/checkpoints"
-
-
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each node of the edges with the least node that links reach.
 
     Each round takes the least label among a node's neighbours, then that
     label's own label, so that labels travel twice as far each time. A round is
-    checkpointed in the shared folder; null ends link nothing.
+    checkpointed in the session's checkpoint folder, or where it has none in
+    one of the warehouse; null ends link nothing.
     """
-    spark = edges.sparkSession
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or SHARED)
+    context = edges.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        conf = edges.sparkSession.conf
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node IS NOT NULL AND other IS NOT NULL")
     both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct().checkpoint()
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
@@ -77,27 +77,3 @@ def pattern_counts_query(spark, d):
     return pattern_counts(table(spark, d, "documents"), PATTERNS, "lang")
 
 
-#: What wikitext loses, in this order: comments, references, templates, files, link targets, tags, quotes.
-WIKI = [
-    (r"(?s)<!--.*?-->", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""),
-    (r"\[\[(File|Category):[^\[\]]*\]\]", ""), (r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]", "$1"), (r"\[\[([^\[\]|]*)\]\]", "$1"), (r"<[^>]*>", ""), (r"'{2,}", ""),
-]
-
-WIKI_SAMPLE = ["plain", "[[File:a.png|thumb]]A '''bold''' [[word|Word]]", "x<ref name=a>cite</ref>{{cite|{{a}}}}y", "<!-- no\nline -->[[link]] <br/>", ""]
-
-
-def strip_wikitext(c):
-    for pattern, to in WIKI:
-        c = F.regexp_replace(c, pattern, to)
-    return F.trim(c)
-
-
-def _wiki_sql(c: str) -> str:
-    for pattern, to in WIKI:
-        c = f"regexp_replace({c}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
-    return f"trim({c})"
-
-
-@query("str26_strip_wikitext", f"SELECT n, {_wiki_sql('t')} AS text FROM (VALUES " + ", ".join(f"({k}, '{t.replace(chr(39), chr(39) * 2)}')" for k, t in enumerate(WIKI_SAMPLE)) + ") v(n, t)")
-def strip_wikitext_query(spark, d):
-    return spark.createDataFrame(list(enumerate(WIKI_SAMPLE)), "n int, t string").select("n", strip_wikitext(F.col("t")).alias("text"))

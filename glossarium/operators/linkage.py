@@ -134,10 +134,25 @@ def attach_unique(spark, d):
     return table(spark, d, "documents").join(u, F.col("doc_id") == F.col("t"), "left").select("doc_id", "item_id")
 
 
-@query("jn31_saved_ref_ladder", f"{W} SELECT want, id FROM (SELECT w.id AS want, e.id, row_number() OVER (PARTITION BY w.id ORDER BY CASE WHEN e.source = w.source AND e.kind = w.kind AND e.level IS NOT DISTINCT FROM w.level THEN 0 WHEN e.source = w.source AND e.kind = w.kind THEN 1 WHEN e.source = w.source THEN 2 ELSE 3 END, e.id) AS n FROM (SELECT * FROM entries WHERE id % 10 = 0) w JOIN entries e ON e.hw_norm = w.hw_norm) WHERE n = 1")
+#: The ladder's rungs, from what must agree most to least; the last is the headword alone.
+RUNGS = [["source", "kind", "level"], ["source", "kind"], ["source"], []]
+
+
+@query("jn31_saved_ref_ladder", f"{W} SELECT want, id FROM (SELECT w.id AS want, e.id, row_number() OVER (PARTITION BY w.id ORDER BY CASE WHEN e.source = w.source AND e.kind = w.kind AND e.level IS NOT DISTINCT FROM w.level THEN 0 WHEN e.source = w.source AND e.kind = w.kind THEN 1 WHEN e.source = w.source THEN 2 ELSE 3 END, e.id) AS n FROM (SELECT id + 1 AS id, hw_norm, CASE WHEN id % 7 = 0 THEN 'gone' ELSE source END AS source, CASE WHEN id % 5 = 0 THEN 'gone' ELSE kind END AS kind, CASE WHEN id % 3 = 0 THEN 99 ELSE level END AS level FROM entries) w JOIN entries e ON e.hw_norm = w.hw_norm) WHERE n = 1")
 def saved_ref_ladder(spark, d):
+    """Where saved references lead today: to the entry of the headword that agrees on the highest rung.
+
+    The saved references are all entries as they once were, some with a source, kind
+    or level that no longer exists. Each rung's least entry is aggregated first,
+    so that a headword with many entries isn't multiplied.
+    """
     e = entries(spark, d)
-    w = e.filter("id % 10 = 0").select(F.col("id").alias("want"), "hw_norm", F.col("source").alias("ws"), F.col("kind").alias("wk"), F.col("level").alias("wl"))
-    same, kind = F.col("source") == F.col("ws"), F.col("kind") == F.col("wk")
-    cls = F.when(same & kind & F.col("level").eqNullSafe(F.col("wl")), 0).when(same & kind, 1).when(same, 2).otherwise(3)
-    return w.join(e, "hw_norm").groupBy("want").agg(F.min(F.struct(cls.alias("c"), "id")).alias("best")).select("want", F.col("best.id").alias("id"))
+    gone = lambda c, k, to: F.when(F.col("id") % k == 0, F.lit(to)).otherwise(F.col(c)).alias(c)
+    w = e.select((F.col("id") + 1).alias("want"), "hw_norm", gone("source", 7, "gone"), gone("kind", 5, "gone"), gone("level", 3, 99))
+    for n, keys in enumerate(RUNGS):
+        best = e.groupBy("hw_norm", *keys).agg(F.min("id").alias(f"m{n}")).select(F.col("hw_norm").alias("_h"), f"m{n}", *(F.col(k).alias(f"_{k}") for k in keys))
+        same = F.col("hw_norm") == F.col("_h")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        w = w.join(best, same, "left").drop("_h", *(f"_{k}" for k in keys))
+    return w.select("want", F.coalesce("m0", "m1", "m2", "m3").alias("id"))

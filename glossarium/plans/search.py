@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossarium.plans.registry import query
-from glossarium.plans.tables import ENTRIES, FORMS, TERMS, entries, forms, gloss_terms, table
+from glossarium.plans.tables import ENTRIES, FORMS, TERMS, entries, forms, gloss_items, gloss_terms, quality, table
 
 W = f"WITH {ENTRIES}"
 
@@ -107,15 +107,36 @@ def by_headword(spark, d):
     return entries(spark, d).groupBy("headword").agg(F.min_by("id", F.col("rank") * 100000 + F.col("id")).alias("id"))
 
 
-@query("qry14_similar", f"{W}, {TERMS} SELECT DISTINCT a.entry_id AS id, e.headword AS other FROM (SELECT * FROM gloss_terms WHERE tier = 1 AND entry_id % 50 = 0) a JOIN gloss_terms b ON a.term = b.term AND b.tier = 1 JOIN entries e ON e.id = b.entry_id JOIN entries o ON o.id = a.entry_id WHERE e.kind = 'word' AND e.headword != o.headword AND e.pack = o.pack")
+def similar_words(e: DataFrame, per_pack: int = 40, limit: int = 6) -> DataFrame:
+    """(id, n, other): for each entry (id, pack, hw_norm, kind, gloss, score) words of other headwords that have its first gloss item as their own first, or else its second.
+
+    Candidates are a pack's best per_pack entries of a term, so that a common
+    term doesn't multiply; of a headword's candidates the best counts.
+    """
+    items = F.slice(F.filter(F.transform(gloss_items(F.col("gloss")), lambda x: F.regexp_replace(x, r"\s+", " ")), lambda x: (x != "") & (F.length(x) <= 40)), 1, 2)
+    own = e.select("id", "hw_norm", F.posexplode(items).alias("k", "term"))
+    best = e.select(F.get(F.filter(gloss_items(F.col("gloss")), lambda x: x != ""), F.lit(0)).alias("term"), "pack", "kind", F.col("hw_norm").alias("other"), "score", F.col("id").alias("other_id"))
+    best = first_n(best.filter(F.length("term") <= 40), ["term", "pack"], per_pack, "score", "other_id").filter("kind = 'word'").groupBy("term", "other").agg(F.min("score").alias("score"))
+    hits = own.join(best, "term").filter("other != hw_norm").select("id", "k", "score", "other")
+    first = hits.withColumn("first", F.min("k").over(Window.partitionBy("id"))).filter("k = first")
+    n = F.row_number().over(Window.partitionBy("id").orderBy("score", "other"))
+    return first.select("id", n.alias("n"), "other").filter(F.col("n") <= limit)
+
+
+@query(
+    "qry14_similar",
+    f"""{W}, g AS (SELECT id, pack, hw_norm, kind, [CASE WHEN id % 4 = 0 THEN headword ELSE lower(pack) END, lower(source)] AS items,
+  CASE source WHEN 'Brand#1' THEN 0 WHEN 'Brand#2' THEN 1 ELSE 2 END * 10000000 + least(rank, 9999999) AS score FROM entries),
+top AS (SELECT term, other, min(score) AS score FROM (SELECT items[1] AS term, hw_norm AS other, kind, score, row_number() OVER (PARTITION BY items[1], pack ORDER BY score, id) AS n FROM g) WHERE n <= 40 AND kind = 'word' GROUP BY ALL),
+c AS (SELECT g.id, k.k, top.other, top.score FROM g, (VALUES (1), (2)) k(k) JOIN top ON top.term = g.items[k.k] WHERE top.other != g.hw_norm)
+SELECT id, n, other FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY score, other) AS n FROM (SELECT *, min(k) OVER (PARTITION BY id) AS first FROM c) WHERE k = first) WHERE n <= 6""",
+)
 def similar(spark, d):
-    t = gloss_terms(spark, d).filter("tier = 1").select("term", "entry_id")
-    e = entries(spark, d).select("id", "headword", "pack", "kind")
-    own = t.filter("entry_id % 50 = 0").join(e.select(F.col("id").alias("entry_id"), F.col("headword").alias("h"), F.col("pack").alias("p")), "entry_id").select(F.col("entry_id").alias("a"), "term", "h", "p")
-    words = e.filter("kind = 'word'").select(F.col("id").alias("entry_id"), F.col("headword").alias("other"), "pack")
-    # one row per term and other headword before the join, so that a common term doesn't multiply
-    others = t.join(words, "entry_id").select("term", "other", "pack").distinct()
-    return own.join(others, "term").filter("other != h AND pack = p").select(F.col("a").alias("id"), "other").distinct()
+    """Over entries whose gloss begins with the pack's name, or for every fourth with the headword, which no other entry shares."""
+    e = entries(spark, d)
+    gloss = F.concat(F.when(F.col("id") % 4 == 0, F.col("headword")).otherwise(F.lower("pack")), F.lit("; "), F.lower("source"))
+    score = quality(F.col("source")).cast("long") * TIER_STEP + F.least("rank", F.lit(9_999_999))
+    return similar_words(e.select("id", "pack", "hw_norm", "kind", gloss.alias("gloss"), score.alias("score")))
 
 
 @query("qry15_sentences", "SELECT item_id FROM benchmark WHERE contains(lower(text), 'the') ORDER BY length(text), item_id LIMIT 20")
