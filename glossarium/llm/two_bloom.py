@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ SEGMENT = 1 << 22
 #: A segment's pairs from so many tasks are merged first, and then what comes of that.
 FAN_IN = 1000
 #: A map task sends its positions on after so many of them.
-FLUSH = 1 << 22
+FLUSH = 1 << 20
+#: Rows are turned into Python values about so many bytes at a time.
+ROWS_BYTES = 2 << 20
 
 
 def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,18 +39,24 @@ def twice_seen(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bi
     span = min(bits, SEGMENT)
     segments = bits // span
 
-    def packed(found: list[np.ndarray]) -> pd.DataFrame:
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
         at, times = np.unique(np.concatenate(found), return_counts=True)
         ends = np.searchsorted(at, np.arange(1, segments + 1, dtype=np.int64) * span)
         begins = np.concatenate([[0], ends[:-1]])
         own, more = (at & np.uint32(span - 1)).astype("<u4"), times > 1 if not once else np.ones(len(at), bool)
         some = np.nonzero(ends > begins)[0]
         cells = [(own[a:b][~more[a:b]].tobytes(), own[a:b][more[a:b]].tobytes()) for a, b in zip(begins[some], ends[some])]
-        return pd.DataFrame({"segment": some, "once": [x for x, _ in cells], "twice": [x for _, x in cells]})
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x for x, _ in cells], pa.binary()), pa.array([x for _, x in cells], pa.binary())], names=["segment", "once", "twice"])
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            step = max(1, batch.num_rows * ROWS_BYTES // max(batch.nbytes, 1))
+            for a in range(0, batch.num_rows, step):
+                yield batch.slice(a, step).to_pandas()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
-        for pdf in batches:
+        for pdf in frames(batches):
             h = np.unique(hashes(pdf), return_counts=True) if not once else (np.unique(hashes(pdf)), None)
             for at in positions(h[0], bits):
                 found += [at] if once else [at, at[h[1] > 1]]
@@ -79,7 +88,7 @@ def twice_seen(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bi
         yield pd.DataFrame({"segment": [key[0]], "twice": [second.tobytes()]})
 
     schema = "segment int, once binary, twice binary"
-    parts = rows.mapInPandas(fill, schema).withColumn("part", F.floor(F.spark_partition_id() / FAN_IN))
+    parts = rows.mapInArrow(fill, schema).withColumn("part", F.floor(F.spark_partition_id() / FAN_IN))
     parts = parts.groupBy("segment", "part").applyInPandas(merge, schema).groupBy("segment").applyInPandas(join, "segment int, twice binary")
     out, size = bytearray(bits // 8), span // 8
     for row in parts.toLocalIterator():
