@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from glossarium.llm.common import cut, id_and_text, join_hot, per_row, slices, uncut, with_key
 from glossarium.llm.components import components
-from glossarium.llm.two_bloom import has, key_filter, maybe_in, twice_seen
+from glossarium.llm.two_bloom import fitting, key_filter, repeated
 
 
 @dataclass(frozen=True)
@@ -62,9 +62,9 @@ class Join:
     #: A task gets regions of at most so many sets, and elements in them; larger ones are dealt to buckets.
     region_sets: int = 1000
     region_elements: int = 2_000_000
-    #: Positions of the Bloom filters.
+    #: Most positions of the Bloom filters.
     bits: int = 1 << 27
-    #: Positions of the filters of rows that stay and that go.
+    #: Most positions of the filters of rows that stay and that go.
     row_bits: int = 1 << 26
 
 
@@ -222,20 +222,21 @@ def mixed(first: pd.Series) -> np.ndarray:
 
 def with_partner(points: DataFrame, how: Join) -> DataFrame:
     """The points (node, n, first) that may have a partner among them."""
-    found = twice_seen(points.select("first"), lambda pdf: mixed(pdf["first"]), how.bits)
-    held = points.sparkSession.sparkContext.broadcast(found)  # how.bits / 8 bytes
+    size = points.agg(F.sum(F.size("first")).alias("n")).first()["n"] or 0
+    known = repeated(points.select("first"), lambda pdf: mixed(pdf["first"]), fitting(size, how.bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.frombuffer(held.value, np.uint8)
         for pdf in batches:
             if len(pdf):
                 sizes = pdf["first"].map(len).to_numpy()
                 starts = np.cumsum(sizes) - sizes
                 looked = np.arange(sizes.sum()) - np.repeat(starts, sizes) < np.repeat([partner_length(n, how.percent) for n in pdf["n"]], sizes)
-                repeated = np.add.reduceat((has(known, mixed(pdf["first"]), how.bits) & looked).astype(np.int64), starts)
-                yield pdf[repeated >= [shared_length(n, how.percent) for n in pdf["n"]]]
+                found = np.add.reduceat((known.has(mixed(pdf["first"])) & looked).astype(np.int64), starts)
+                yield pdf[found >= [shared_length(n, how.percent) for n in pdf["n"]]]
 
-    return cut(points.mapInPandas(run, points.schema), "partners")
+    out = cut(points.mapInPandas(run, points.schema), "partners")
+    known.destroy()
+    return out
 
 
 def region_links(members: DataFrame, how: Join) -> DataFrame:
@@ -273,13 +274,12 @@ def placed_nodes(regions: DataFrame, parts: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
     """(node, elements) for wanted (node, rep, digest). A filter of the wanted ids spares the other texts; no text is moved."""
-    held = key_filter(wanted.select(F.xxhash64("rep").alias("k")), "k", how.bits)
+    known = key_filter(wanted.select(F.xxhash64("rep").alias("k")), "k", how.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for part in slices(batch, "text"):
-                part = part.filter(pa.array(has(known, part.column("k").to_numpy().view(np.uint64), how.bits)))
+                part = part.filter(pa.array(known.has(part.column("k").to_numpy().view(np.uint64))))
                 sets = [shingles(t, how.words).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "elements"])
 
@@ -369,8 +369,7 @@ def one_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     again = each.join(stay.filter("one"), same, "left").filter(stay["key"].isNull() | (each["n"] > 1)).select(each["key"])
     go = cut(again, "go")  # rows that go, and those that stay once of several
     uncut(found)
-    staying, going = key_filter(stay, "key", how.row_bits), key_filter(go, "key", how.row_bits)
-    in_stay, in_go = maybe_in(F.col("key"), staying, how.row_bits), maybe_in(F.col("key"), going, how.row_bits)
+    in_stay, in_go = (key_filter(x, "key", how.row_bits).maybe(F.col("key")) for x in (stay, go))
     sure = rows.filter(in_stay & ~in_go)
     other = stay.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("key").alias("_key"), "one")
     match = (F.col("key") == F.col("_key")) & (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))

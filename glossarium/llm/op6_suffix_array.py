@@ -41,13 +41,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossarium.llm.common import cut, id_and_text, per_row, slices, uncut, with_key
 from glossarium.llm.suffix_array import equal_prefixes
-from glossarium.llm.two_bloom import has, meet, twice_seen
+from glossarium.llm.two_bloom import Known, fitting, meet, of_column, twice_seen
 
 #: Bytes of a repeat, of the hashed grams in it, and grams in it.
 LENGTH, GRAM = 100, 32
@@ -56,9 +55,9 @@ GRAMS = LENGTH - GRAM + 1
 
 @dataclass(frozen=True)
 class Rule:
-    #: Positions of the Bloom filters of 32-grams.
+    #: Most positions of the Bloom filters of 32-grams.
     bits: int = 1 << 28
-    #: Positions of the filter of documents that need a list.
+    #: Most positions of the filter of documents that need a list.
     doc_bits: int = 1 << 26
     #: The strings of a 32-gram with more different intervals than this are grouped by their bytes.
     gather: int = 1500
@@ -189,16 +188,15 @@ def place():
     return F.struct(F.col("doc").isNull().alias("nul"), "doc", "th", "lo")
 
 
-def suspects(docs: DataFrame, held: Broadcast, bits: int) -> DataFrame:
+def suspects(docs: DataFrame, known: Known) -> DataFrame:
     """Intervals (gram, bytes; doc, th, lo) of docs (doc_id, th, text) whose gram may occur elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for part in slices(batch, "text", BLOCK):
                 texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
                 own, lo, hi, _, code = intervals(texts)
-                ok = has(known, code, bits)
+                ok = known.has(code)
                 own, lo, hi = own[ok], lo[ok], hi[ok]
                 spans = [texts[i][x:y] for i, x, y in zip(own.tolist(), lo.tolist(), (hi + LENGTH).tolist())]
                 at = pa.array(own)
@@ -311,20 +309,22 @@ def grouped_strings(rows: DataFrame) -> DataFrame:
     return seen.filter("first = 0").select("doc", "th", "at")
 
 
-def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Broadcast]:
-    """For documents (doc_id, th, key, text): (doc_id, th, key, firsts, at), the starts of first intervals and of covered strings in them, for documents that have any; and the filter of the 32-grams that repeat (rule.bits / 8 bytes)."""
+def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Known]:
+    """For documents (doc_id, th, key, text): (doc_id, th, key, firsts, at), the starts of first intervals and of covered strings in them, for documents that have any; and the filter of the 32-grams that repeat."""
     spark = docs.sparkSession
-    found = twice_seen(docs.select("text"), gram_hashes, rule.bits)
-    held = spark.sparkContext.broadcast(found)
-    seen = suspects(docs, held, rule.bits)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = fitting(size * 2 // GRAMS, rule.bits)  # a 32-gram is the least of some 35 neighbours
+    found = twice_seen(docs.select("text"), gram_hashes, bits)
+    once = Known(spark.sparkContext.broadcast(found), bits)
+    seen = suspects(docs, once)
     firsts = seen.groupBy("gram", "bytes").agg(F.min(place()).alias("place"), F.count("*").alias("rows"))
     firsts = cut(firsts.select("gram", "bytes", "rows", "place.nul", "place.doc", "place.th", "place.lo"), "firsts")
     counts = firsts.groupBy("gram").agg(F.sum("rows").alias("rows"), F.count("*").alias("spans")).filter("rows > 1")
     counts = cut(counts, "grams")
-    held.destroy()
+    once.destroy()
     # grams that do repeat, and passed the first filter: what it denies is in no list
-    found = np.frombuffer(found, np.uint8) & np.frombuffer(twice_seen(counts.select("gram"), lambda pdf: pdf["gram"].to_numpy().view(np.uint64), rule.bits, once=True), np.uint8)
-    known = spark.sparkContext.broadcast(found.tobytes())
+    found = np.frombuffer(found, np.uint8) & np.frombuffer(twice_seen(counts.select("gram"), of_column("gram"), bits, once=True), np.uint8)
+    known = Known(spark.sparkContext.broadcast(found.tobytes()), bits)
 
     several = firsts.drop("rows").join(counts.filter(f"spans > 1 AND spans <= {rule.gather}").select("gram"), "gram")
     hot = F.broadcast(counts.filter(f"spans > {rule.gather}").select("gram"))  # firsts / gather grams at most
@@ -332,13 +332,7 @@ def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Broadcast
     covered = covered.unionByName(grouped_strings(firsts.drop("rows").join(hot, "gram")))
     covered = covered.groupBy("doc", "th").agg(F.collect_list("at").alias("at"))  # no more than a document's own bytes
 
-    @F.pandas_udf("boolean")
-    def repeated(gram: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bytes_of = np.frombuffer(known.value, np.uint8)
-        for g in gram:
-            yield pd.Series(has(bytes_of, g.to_numpy().view(np.uint64), rule.bits))
-
-    own = firsts.select("doc", "th", "lo", "gram").filter(repeated("gram")).groupBy("doc", "th").agg(F.collect_list("lo").alias("firsts"))
+    own = firsts.select("doc", "th", "lo", "gram").filter(known.maybe(F.col("gram"))).groupBy("doc", "th").agg(F.collect_list("lo").alias("firsts"))
     same = own["doc"].eqNullSafe(covered["doc"]) & (own["th"] == covered["th"])
     out = own.join(covered, same, "left").select(own["doc"].alias("doc_id"), own["th"], "firsts", "at")
     out = cut(out.withColumn("key", F.xxhash64("doc_id", "th")), "removals")
@@ -346,10 +340,10 @@ def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Broadcast
     return out, known
 
 
-def marks(texts: list[bytes], firsts, at, known: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+def marks(texts: list[bytes], firsts, at, known: Known) -> Iterator[np.ndarray]:
     """For each text, which bytes go."""
     own, lo, hi, _, code = intervals(texts)
-    gone = has(known, code, bits)
+    gone = known.has(code)
     ends = np.searchsorted(own, np.arange(1, len(texts) + 1))
     a = 0
     for k, data in enumerate(texts):
@@ -382,29 +376,24 @@ def without_repeats(text: str | None, mask: np.ndarray) -> str:
     return b[keep].tobytes().decode("utf-8", "surrogatepass")
 
 
-def with_removals(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Broadcast]:
+def with_removals(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Known]:
     """docs (doc_id, text, and more) with firsts and at, and the filter of 32-grams. Texts of documents that hold no first place aren't moved."""
     docs = with_key(docs)
     found, known = removals(docs, rule)
-    return meet(docs, found, rule.doc_bits)[0], known
+    return meet(docs, found, rule.doc_bits), known
 
 
 def repeated_bytes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its bytes, those removed and in how many runs, and the digest of the rest."""
     joined, known = with_removals(id_and_text(docs, id_col, text_col), rule)
 
-    def task():
-        repeated = np.frombuffer(known.value, np.uint8)
-
-        def make(texts: list, firsts: list, at: list) -> Iterator[tuple]:
-            texts = list(map(as_bytes, texts))
-            for data, mask in zip(texts, marks(texts, firsts, at, repeated, rule.bits)):
-                kept = np.frombuffer(data, np.uint8)[~mask].tobytes() if mask.any() else data
-                yield len(data), int(mask.sum()), runs(mask), hashlib.sha256(kept).hexdigest()
-
-        return make
+    def make(texts: list, firsts: list, at: list) -> Iterator[tuple]:
+        texts = list(map(as_bytes, texts))
+        for data, mask in zip(texts, marks(texts, firsts, at, known)):
+            kept = np.frombuffer(data, np.uint8)[~mask].tobytes() if mask.any() else data
+            yield len(data), int(mask.sum()), runs(mask), hashlib.sha256(kept).hexdigest()
 
-    return per_row(joined, task, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", read=("text", "firsts", "at"))
+    return per_row(joined, lambda: make, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", read=("text", "firsts", "at"))
 
 
 def texts_without_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,17 +405,11 @@ def texts_without_repeats(docs: DataFrame, rule: Rule = Rule(), id_col: str = "d
     rows = plain.select(*keep, F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     joined, known = with_removals(rows, rule)
 
-    def task():
-        repeated = np.frombuffer(known.value, np.uint8)
-
-        def make(texts: list, firsts: list, at: list) -> Iterator[tuple]:
-            gone = marks(list(map(as_bytes, texts)), firsts, at, repeated, rule.bits)
-            for t, mask in zip(texts, gone):
-                yield (without_repeats(t, mask),)
-
-        return make
+    def make(texts: list, firsts: list, at: list) -> Iterator[tuple]:
+        for t, mask in zip(texts, marks(list(map(as_bytes, texts)), firsts, at, known)):
+            yield (without_repeats(t, mask),)
 
-    made = per_row(joined, task, f"{text} string", keep=keep, read=("text", "firsts", "at"))
+    made = per_row(joined, lambda: make, f"{text} string", keep=keep, read=("text", "firsts", "at"))
     return made.select(*names).toDF(*docs.columns)
 
 

@@ -8,9 +8,9 @@ denies are unique; only the rest, suspected repeats, are shuffled, counted and
 confirmed by the key itself. Of the texts, only those of documents that lose
 lines are moved to the list of these; a third filter tells them apart.
 
-The filters have a fixed number of positions whatever the input, so what is
-broadcast is of fixed size; on inputs that fill them more lines are suspected
-and more texts moved, and the result is the same.
+The filters grow with the input up to a limit, so what is broadcast is
+bounded; on inputs that fill them more lines are suspected and more texts
+moved, and the result is the same.
 
 Defined results: a null or empty text is one empty line. A document is a
 doc_id with a text: rows that repeat both are one document and lose the same
@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossarium.llm.common import WS, cut, id_and_text, join_hot, per_row, slices, uncut, with_key
-from glossarium.llm.two_bloom import has, meet, twice_seen
+from glossarium.llm.two_bloom import fitting, meet, repeated
 
 
 @dataclass(frozen=True)
 class LineRule:
     least_chars: int = 20
     least_docs: int = 3
-    #: Positions of each filter, a power of two; 2 ** 26 positions are 8 MB.
-    bits: int = 1 << 26
-    #: Positions of the filter of documents that lose lines.
+    #: Most positions of each filter, a power of two; 2 ** 27 positions are 16 MB.
+    bits: int = 1 << 27
+    #: Most positions of the filter of documents that lose lines.
     doc_bits: int = 1 << 26
 
 
@@ -61,20 +61,18 @@ def hashes_of(keys) -> np.ndarray:
 
 def dropped_keys(docs: DataFrame, rule: LineRule) -> DataFrame:
     """(doc_id, th, key, keys) of each document (doc_id, th, key, text) that loses lines."""
-    spark = docs.sparkSession
-    least, bits = rule.least_chars, rule.bits
-    found = twice_seen(docs.select("text"), lambda pdf: hashes_of(k for t in pdf["text"] for k in keys_of(t, least)), bits)
-    held = spark.sparkContext.broadcast(found)  # rule.bits / 8 bytes
+    least = rule.least_chars
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    twice = repeated(docs.select("text"), lambda pdf: hashes_of(k for t in pdf["text"] for k in keys_of(t, least)), fitting(size // max(least, 1), rule.bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for part in slices(batch, "text"):
                 own, out = [], []
                 for k, text in enumerate(part.column("text").to_pylist()):
                     lines = list(keys_of(text, least))
                     if lines:
-                        known = [x for x, h in zip(lines, has(twice, hashes_of(lines), bits)) if h]
+                        known = [x for x, h in zip(lines, twice.has(hashes_of(lines))) if h]
                         out += known
                         own += [k] * len(known)
                 at = pa.array(own, pa.int64())
@@ -82,10 +80,10 @@ def dropped_keys(docs: DataFrame, rule: LineRule) -> DataFrame:
 
     seen = docs.select("doc_id", "th", "text").mapInArrow(suspects, "doc_id long, th binary, line string")
     seen = cut(seen.withColumn("kid", F.sha2("line", 256)), "suspects")
-    held.destroy()
+    twice.destroy()
     # a line's rows are one per doc_id, but for repeated rows and ids: those count once
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    each = seen.select("kid", "line", "doc_id").distinct() if repeated else seen
+    again = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    each = seen.select("kid", "line", "doc_id").distinct() if again else seen
     counted = each.groupBy("line").agg(F.count("*").alias("docs"), F.max(F.coalesce("doc_id", F.lit(-(2**63)))).alias("last"))
     counted = cut(counted.filter(F.col("docs") >= rule.least_docs).select(F.sha2("line", 256).alias("kid"), "docs", "last"), "repeats")
     gone = join_hot(seen.select("kid", "doc_id", "th", "line"), counted, "kid", "docs")
@@ -109,7 +107,7 @@ def without_lines(text: str | None, keys) -> tuple[str, int, int]:
 def line_dedup(docs: DataFrame, rule: LineRule = LineRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: lines before, lines dropped, digest of what stays."""
     docs = with_key(id_and_text(docs, id_col, text_col))
-    joined, _ = meet(docs, dropped_keys(docs, rule), rule.doc_bits)
+    joined = meet(docs, dropped_keys(docs, rule), rule.doc_bits)
 
     def make(texts: list, keys: list) -> Iterator[tuple]:
         for text, gone in zip(texts, keys):
@@ -125,7 +123,7 @@ def texts_without_lines(docs: DataFrame, rule: LineRule = LineRule(), id_col: st
     plain = docs.toDF(*names)
     doc, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     rows = with_key(plain.select(*(c for c in names if c != text), F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    joined, _ = meet(rows, dropped_keys(rows.select("doc_id", "th", "key", "text"), rule), rule.doc_bits)
+    joined = meet(rows, dropped_keys(rows.select("doc_id", "th", "key", "text"), rule), rule.doc_bits)
 
     def make(texts: list, keys: list) -> Iterator[tuple]:
         for t, gone in zip(texts, keys):

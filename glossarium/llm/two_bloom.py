@@ -2,14 +2,15 @@
 
 Each map task keeps its pair as sorted bit positions; pairs are merged by
 segment of the filter, where a position that two tasks have in their first
-filter goes to the second. A hash has two positions. The filters have a fixed
-number of positions whatever the input: on inputs that fill them more hashes
-are suspected of being repeats, never fewer.
+filter goes to the second. A hash has two positions. Filters grow with the
+input up to a limit, so what is broadcast is bounded: on inputs that fill them
+more hashes are suspected of being repeats, never fewer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -104,34 +105,61 @@ def has(filter_bytes: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def key_filter(rows: DataFrame, column: str, bits: int) -> Broadcast:
-    """A broadcast filter of a column of 64-bit keys, bits / 8 bytes."""
-    found = twice_seen(rows.select(F.col(column).alias("k")), lambda pdf: pdf["k"].to_numpy().view(np.uint64), bits, once=True)
-    return rows.sparkSession.sparkContext.broadcast(found)
+def fitting(n: int, most: int) -> int:
+    """Positions for n hashes: a power of two, ten a hash or more, and ``most`` at most."""
+    return min(most, max(1 << 16, 1 << (10 * n).bit_length()))
 
 
-def maybe_in(key: Column, held: Broadcast, bits: int) -> Column:
-    """Whether a 64-bit key may be in a filter; false only where it surely isn't. Python sees the key alone."""
+@dataclass(frozen=True)
+class Known:
+    """A broadcast filter, bits / 8 bytes."""
 
-    @F.pandas_udf("boolean")
-    def known(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bytes_of = np.frombuffer(held.value, np.uint8)
-        for k in keys:
-            yield pd.Series(has(bytes_of, k.to_numpy().view(np.uint64), bits))
+    held: Broadcast
+    bits: int
 
-    return known(key)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        return has(np.frombuffer(self.held.value, np.uint8), hashes, self.bits)
 
+    def maybe(self, key: Column) -> Column:
+        """Whether a column of 64-bit keys may be in the filter; false only where it surely isn't. Python sees the key alone."""
 
-def meet(rows: DataFrame, found: DataFrame, bits: int) -> tuple[DataFrame, Broadcast]:
-    """rows (with doc_id, th and key) left-joined to found (doc_id, th, key and further columns), and the filter used.
+        @F.pandas_udf("boolean")
+        def known(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for k in keys:
+                yield pd.Series(self.has(k.to_numpy().view(np.uint64)))
+
+        return known(key)
+
+    def destroy(self) -> None:
+        """Free it, once nothing that is still to run needs it."""
+        self.held.destroy()
+
+
+def repeated(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits: int) -> Known:
+    """The filter of hashes that rows have twice."""
+    return Known(rows.sparkSession.sparkContext.broadcast(twice_seen(rows, hashes, bits)), bits)
+
+
+def of_column(column: str) -> Callable[[pd.DataFrame], np.ndarray]:
+    return lambda pdf: pdf[column].to_numpy().view(np.uint64)
+
+
+def key_filter(rows: DataFrame, column: str, most: int) -> Known:
+    """The filter of a column of 64-bit keys; rows should be cheap to read twice."""
+    bits = fitting(rows.count(), most)
+    return Known(rows.sparkSession.sparkContext.broadcast(twice_seen(rows.select(column), of_column(column), bits, once=True)), bits)
+
+
+def meet(rows: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """rows (with doc_id, th and key) left-joined to found (doc_id, th, key and further columns).
 
     Only rows whose key a filter of found's keys has are shuffled; the others
     surely have no match and pass as they are.
     """
-    held = key_filter(found, "key", bits)
+    known = key_filter(found, "key", most)
     more = [f for f in found.schema if f.name not in ("doc_id", "th", "key")]
     other = found.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("key").alias("_key"), *(f.name for f in more))
     same = (F.col("key") == F.col("_key")) & (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    near = rows.filter(maybe_in(F.col("key"), held, bits)).join(other, same, "left").drop("_doc", "_th", "_key")
-    far = rows.filter(~maybe_in(F.col("key"), held, bits)).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
-    return near.unionByName(far), held
+    near = rows.filter(known.maybe(F.col("key"))).join(other, same, "left").drop("_doc", "_th", "_key")
+    far = rows.filter(~known.maybe(F.col("key"))).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
+    return near.unionByName(far)
