@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossarium.functions.hangul import FIRST
 from glossarium.plans.registry import query
 from glossarium.plans.tables import ENTRIES, entries, table
 
@@ -41,56 +40,34 @@ def clean_word(spark, d):
 
 
 #: Vowels of pinyin, and each with the four tone marks in turn.
-PINYIN_VOWELS = "aeiouü"
-TONE_MARKS = "āáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜ"
+PINYIN_VOWELS = "aeiouüAEIOUÜ"
+TONE_MARKS = "āáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜĀÁǍÀĒÉĚÈĪÍǏÌŌÓǑÒŪÚǓÙǕǗǙǛ"
 
 
 def tone_mark(syllable: Column) -> Column:
-    """Numbered pinyin with the mark over its vowel: a or e, else the o of ou, else the last vowel. Tone 5 has no mark."""
-    s = F.replace(syllable, F.lit("u:"), F.lit("ü"))
+    """Numbered pinyin with the mark over its vowel: a or e, else the o of ou, else the last vowel. Tone 5 has no mark; without a tone number only u: becomes ü."""
+    s = F.replace(F.replace(syllable, F.lit("u:"), F.lit("ü")), F.lit("U:"), F.lit("Ü"))
     base, tone = F.regexp_replace(s, "[1-5]$", ""), F.regexp_extract(s, "([1-4])$", 1)
-    last = F.regexp_extract(base, "([aeiouü])[^aeiouü]*$", 1)
-    vowel = F.when(base.contains("a"), "a").when(base.contains("e"), "e").when(base.contains("ou"), "o").otherwise(last)
-    at = (F.locate(vowel, F.lit(PINYIN_VOWELS)) if isinstance(vowel, str) else F.instr(F.lit(PINYIN_VOWELS), vowel)) - 1
-    mark = F.substring(F.lit(TONE_MARKS), at * 4 + tone.cast("int"), F.lit(1))
-    return F.when((tone == "") | (vowel == ""), base).otherwise(F.replace(base, vowel, mark))
+    plain = F.lower(base)
+    last = F.length(F.regexp_extract(plain, "^(.*[aeiouü])", 1))
+    at = F.coalesce(*(F.nullif(F.instr(plain, v), F.lit(0)) for v in ("a", "e", "ou")), last)
+    mark = F.substring(F.lit(TONE_MARKS), (F.instr(F.lit(PINYIN_VOWELS), F.substring(base, at, F.lit(1))) - 1) * 4 + tone.cast("int"), F.lit(1))
+    return F.when((tone == "") | (at == 0), base).otherwise(F.concat(F.left(base, at - 1), mark, F.substr(base, at + 1)))
 
 
-SYLLABLES = ["xue2", "xiao4", "lu:4", "gou3", "gui4", "de5", "r5", "liu2", "an1", "m2"]
+SYLLABLES = ["xue2", "xiao4", "lu:4", "gou3", "gui4", "de5", "r5", "liu2", "an1", "m2", "Zhong1", "A1", "lu:e4", "LU:3", "hao", "Ou1", "E4"]
 
 
 @query(
     "str15_tone_marks",
-    f"""SELECT n, CASE WHEN tone = '' OR v = '' THEN base ELSE replace(base, v, substr('{TONE_MARKS}', CAST((instr('{PINYIN_VOWELS}', v) - 1) * 4 + TRY_CAST(tone AS INT) AS INT), 1)) END AS marked
-FROM (SELECT *, CASE WHEN contains(base, 'a') THEN 'a' WHEN contains(base, 'e') THEN 'e' WHEN contains(base, 'ou') THEN 'o' ELSE regexp_extract(base, '([aeiouü])[^aeiouü]*$', 1) END AS v
-FROM (SELECT n, regexp_replace(replace(word, 'u:', 'ü'), '[1-5]$', '') AS base, regexp_extract(word, '([1-4])$', 1) AS tone FROM {values(SYLLABLES)}))""",
+    f"""SELECT n, CASE WHEN tone = '' OR k = 0 THEN base ELSE left(base, k - 1) || substr('{TONE_MARKS}', CAST((instr('{PINYIN_VOWELS}', base[k]) - 1) * 4 + TRY_CAST(tone AS INT) AS INT), 1) || substr(base, k + 1) END AS marked
+FROM (SELECT *, CAST(CASE WHEN instr(lower(base), 'a') > 0 THEN instr(lower(base), 'a') WHEN instr(lower(base), 'e') > 0 THEN instr(lower(base), 'e') WHEN instr(lower(base), 'ou') > 0 THEN instr(lower(base), 'ou') ELSE length(regexp_extract(lower(base), '^(.*[aeiouü])', 1)) END AS INT) AS k
+FROM (SELECT n, regexp_replace(replace(replace(word, 'u:', 'ü'), 'U:', 'Ü'), '[1-5]$', '') AS base, regexp_extract(word, '([1-4])$', 1) AS tone FROM {values(SYLLABLES)}))""",
 )
 def tone_marks(spark, d):
     return listed(spark, SYLLABLES).select("n", tone_mark(F.col("word")).alias("marked"))
 
 
-def initial_sound(word: Column) -> Column:
-    """The initial-sound rule of South Korean spelling: ㄹ and ㄴ fall before i and y sounds, ㄹ turns to ㄴ elsewhere."""
-    k = F.ascii(word) - FIRST
-    initial, vowel = F.floor(k / 588), F.floor(k % 588 / 28)
-    new = F.when(initial.isin(2, 5) & vowel.isin(2, 6, 7, 12, 17, 20), 11).when(initial == 5, 2).otherwise(initial)
-    code = F.lit(FIRST) + new * 588 + k % 588
-    first = F.decode(F.unhex(F.hex(code.cast("long"))), "UTF-16BE")
-    return F.when(word.rlike("^[가-힣]"), F.concat(first, F.substr(word, F.lit(2)))).otherwise(word)
-
-
-READINGS = ["녀자", "래일", "력사", "로인", "리유", "학교", "school", "뉴스", ""]
-
-
-@query(
-    "str16_initial_sound",
-    f"""SELECT n, CASE WHEN regexp_matches(word, '^[가-힣]') THEN chr(CAST(44032 + (CASE WHEN i IN (2, 5) AND v IN (2, 6, 7, 12, 17, 20) THEN 11 WHEN i = 5 THEN 2 ELSE i END) * 588 + k % 588 AS INT)) || substr(word, 2) ELSE word END AS word
-FROM (SELECT *, k // 588 AS i, k % 588 // 28 AS v FROM (SELECT *, unicode(word) - 44032 AS k FROM {values(READINGS)}))""",
-)
-def initial_sound_query(spark, d):
-    return listed(spark, READINGS).select("n", initial_sound(F.col("word")).alias("word"))
-
-
 @query("str21_html_parts", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\\s]+', ' ', 'g')) AS body FROM pages")
 def html_parts(spark, d):
     """Title and visible text of raw pages."""
