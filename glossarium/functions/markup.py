@@ -118,7 +118,7 @@ def gloss_case_query(spark, d):
 
 def make_gloss(items: Column, limit: int) -> Column:
     """The first items that fit within limit characters, joined; a first one that doesn't fit is cut."""
-    some = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    some = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     start = F.struct(F.lit("").alias("text"), F.lit(True).alias("going"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -53,14 +53,6 @@ def section_of(spark, d):
     return c.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("section"))
 
 
-@query("win08_streak", "WITH x AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), g AS (SELECT *, datediff('day', DATE '2024-01-01', day) - row_number() OVER (PARTITION BY user_id ORDER BY day) AS isle FROM x) SELECT user_id, max(n) AS streak FROM (SELECT user_id, isle, count(*) AS n FROM g GROUP BY ALL) GROUP BY user_id")
-def streak(spark, d):
-    x = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
-    isle = F.datediff("day", F.lit("2024-01-01")) - F.row_number().over(Window.partitionBy("user_id").orderBy("day"))
-    g = x.withColumn("isle", isle).groupBy("user_id", "isle").agg(F.count("*").alias("n"))
-    return g.groupBy("user_id").agg(F.max("n").alias("streak"))
-
-
 @query("win09_prev_next", "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def prev_next(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
