@@ -7,13 +7,16 @@ a long text counts. A misspelt insult shares most n-grams with the insult, and
 so its vectors.
 
 Training alternates: with the present vectors find the worst window of each
-labelled text, then step on those windows with the texts' labels. The first
-rounds, when no vectors are learnt yet, use random windows instead.
+toxic text and the worst few of each other one, which must all be harmless,
+then step on those windows with the texts' labels, toxic ones as often as the
+others. The first rounds, when no vectors are learnt yet, use random windows
+instead.
 
 Fitting reads at most ``Toxicity.rows`` texts of each class, whatever their
-length (see subword.labelled_sample); what of a text over ``Toxicity.words``
-words is fitted on are stretches dealt evenly over the whole of it. Scoring
-reads every whole text. The model is two arrays of fixed size.
+length (see subword.labelled_sample); of a text over ``Toxicity.words`` words
+it takes stretches dealt evenly over the whole, so that limit is far above
+most texts, as a stretch left out may be the one that the label is about.
+Scoring reads every whole text. The model is two arrays of fixed size.
 
 Defined results: null or empty texts, and texts without words, get the score
 that the bias alone gives, 0.25 at most; where the labels have one class only,
@@ -38,13 +41,15 @@ from glossarium.llm.subword import Model, Shape, Trainer, Words, in_parts, label
 
 @dataclass(frozen=True)
 class Toxicity:
-    rows: int = 3000
+    rows: int = 1500
     #: Words of one text that fitting holds at most.
-    words: int = 2000
+    words: int = 20_000
     width: int = 3
     warm_windows: int = 24
     warm_rounds: int = 2
-    rounds: int = 8
+    rounds: int = 12
+    #: So many worst windows of a text that isn't toxic are stepped on each round.
+    hard: int = 4
     batch: int = 256
     #: Small samples get more rounds, up to so many steps.
     least_steps: int = 150
@@ -66,7 +71,7 @@ def fit(rows: Iterable[tuple[list[str], int]], how: Toxicity = Toxicity()) -> Mo
     for text, y in rows:
         ids = vocabulary.number(text)
         if len(ids):
-            texts.append(ids)
+            texts.append(ids.astype(np.int32))
             labels.append(y)
     trainer = Trainer(how.shape)
     if len(set(labels)) < 2:
@@ -95,19 +100,23 @@ def fit(rows: Iterable[tuple[list[str], int]], how: Toxicity = Toxicity()) -> Mo
     for _ in range(max(how.warm_rounds, -(-how.least_steps * how.batch // (len(texts) * how.warm_windows)))):
         of = np.repeat(np.arange(len(texts)), how.warm_windows)
         steps(starts[of] + (rng.random(len(of)) * np.maximum(length[of] - how.width + 1, 1)).astype(np.int64), of)
+    number = np.concatenate([[0], np.cumsum(sizes[words])])
+    at = np.arange(len(words), dtype=np.int32)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), length)
+    place = at - starts[:-1].astype(np.int32)[text]  # in its text; and among its text's windows, worst first
+    end = np.minimum(at + how.width, starts[1:].astype(np.int32)[text])
+    short = (end - at < how.width) & (place > 0)
+    count = np.maximum(number[end] - number[at], 1).astype(np.float32)
     for _ in range(max(how.rounds, -(-how.least_steps * how.batch // len(texts)))):
         model = trainer.model()
         total = np.concatenate([[0], np.cumsum(np.add.reduceat(model.weight[items].astype(np.float64), begins[:-1])[words])])
-        number = np.concatenate([[0], np.cumsum(sizes[words])])
-        end = np.minimum(np.arange(len(words)) + how.width, np.repeat(starts[1:], length))
-        at = np.arange(len(words))
-        short = (end - at < how.width) & (at > np.repeat(starts[:-1], length))
-        mean = np.where(short, -np.inf, (total[end] - total[at]) / np.maximum(number[end] - number[at], 1))
-        top = np.maximum.reduceat(mean, starts[:-1])
-        hit = np.nonzero(mean == np.repeat(top, length))[0]
-        of = np.searchsorted(starts, hit, "right") - 1
-        keep = np.concatenate([[True], of[1:] != of[:-1]])
-        steps(hit[keep], of[keep])
+        mean = np.where(short, -np.inf, (total[end] - total[at]) / count).astype(np.float32)
+        worst = np.lexsort((-mean, text))
+        keep = (place < np.where(y[text] == 1, 1, how.hard)) & np.isfinite(mean[worst])
+        hit, of = worst[keep], text[keep]
+        toxic = np.nonzero(y[of] == 1)[0]
+        more = np.resize(toxic, max(len(hit) - 2 * len(toxic), 0))  # toxic windows again, until they are as many
+        steps(np.concatenate([hit, hit[more]]), np.concatenate([of, of[more]]))
     return trainer.model()
 
 
