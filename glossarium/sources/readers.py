@@ -18,21 +18,6 @@ def cedict(lines: DataFrame) -> DataFrame:
     return rows.select(part(1).alias("traditional"), part(2).alias("simplified"), part(3).alias("pinyin"), F.split(part(4), "/").alias("glosses"))
 
 
-def unihan(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """``U+XXXX<tab>field<tab>value`` lines as one row per character; of repeats of a field the greatest value stays."""
-    cells = F.split("value", "\t")
-    rows = lines.filter(~F.col("value").startswith("#")).select(F.get(cells, F.lit(0)).alias("code"), F.get(cells, F.lit(1)).alias("field"), F.get(cells, F.lit(2)).alias("v"))
-    rows = rows.filter(F.col("field").isin(keep) & F.col("code").rlike("^U\\+[0-9A-F]{4,6}$"))
-    return rows.withColumn("code", F.conv(F.substring("code", 3, 8), 16, 10).cast("int")).groupBy("code").pivot("field", keep).agg(F.max("v"))
-
-
-def frequency_words(lines: DataFrame) -> DataFrame:
-    """``word count`` lines: the most frequent first; equal words keep their best rank. Lines are ranked by count, which needs no file order."""
-    cells = F.split(F.trim("value"), " ")
-    rows = lines.filter(F.size(cells) == 2).select(cells[0].alias("word"), F.try_to_number(cells[1], F.lit("999999999999")).cast("long").alias("n")).dropna()
-    return rows.groupBy("word").agg(F.max("n").alias("n"))
-
-
 def kengdic(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated rows with a header and no quoting."""
     schema = "id string, surface string, hanja string, gloss string, level string, created string, source string"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
@@ -51,3 +53,58 @@ FROM e JOIN l ON l.card = e.card GROUP BY e.card""",
 )
 def reviews(spark, d):
     return decks(answers(spark, d))
+
+
+# The same as streams. A stream's checkpoint lies beside what it writes, in the session's shared folder.
+
+def _shared(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def new_items(stream: DataFrame, key: str, out: str) -> None:
+    """Append a stream's items to out, each key once, also over several runs: what a refresh brings again is dropped."""
+    once = stream.dropDuplicates([key])
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
+
+
+@query("stm03_new_items", "SELECT DISTINCT url FROM pages")
+def new_items_query(spark, d):
+    """Pages as a feed that is read twice: the second run finds nothing new."""
+    out = _shared(spark)
+    for _ in range(2):
+        schema = table(spark, d, "pages").schema
+        new_items(spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d).select("url"), "url", out)
+    return spark.read.parquet(out)
+
+
+KEPT = "box int, seen int, good int"
+
+
+def deck_updates(stream: DataFrame) -> DataFrame:
+    """The state of each card (card, at, right) after each batch of its answers, in the order of their times."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        box, seen, good = state.get if state.exists else (0, 0, 0)
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        box, due, seen, good = fold(zip(rows["at"], rows["right"]), box, seen, good)
+        state.update((box, seen, int(good)))
+        yield pd.DataFrame({"card": [key[0]], "box": [box], "due": [due], "seen": [seen], "right_answers": [int(good)]})
+
+    return stream.groupBy("card").applyInPandasWithState(step, STATE, KEPT, "update", GroupStateTimeout.NoTimeout)
+
+
+@query(
+    "stm04_review_stream",
+    "WITH e AS (SELECT user_id AS card, ts, event_type != 'error' AS ok FROM events) SELECT card, CAST(count(*) AS INT) AS seen, CAST(count(*) FILTER (ok) AS INT) AS right_answers FROM e GROUP BY card",
+)
+def review_stream(spark, d):
+    """Events as a stream of answers; each card's last state."""
+    out = _shared(spark)
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    updates = deck_updates(rows.select(F.col("user_id").alias("card"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("right")))
+    keep = lambda batch, _: batch.write.mode("append").parquet(out)
+    updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(STATE).parquet(out).groupBy("card").agg(F.max_by(F.struct("seen", "right_answers"), "seen").alias("b"))
+    return last.select("card", "b.*")

@@ -10,11 +10,6 @@ def test_cedict(spark):
     assert [(r.traditional, r.simplified, r.pinyin, r.glosses) for r in got] == [("學校", "学校", "xue2 xiao4", ["school", "CL:所[suo3]"])]
 
 
-def test_unihan(spark):
-    got = readers.unihan(lines(spark, "# x", "U+5B78\tkHangul\t학:0E", "U+5B78\tkTotalStrokes\t16", "U+5B78\tkOther\tz", "broken"), ["kHangul", "kTotalStrokes"]).collect()
-    assert [tuple(r) for r in got] == [(0x5B78, "학:0E", "16")]
-
-
 def test_jsonl_leaves_out_broken_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"word": "a", "lang_code": "ko"}\n{"word": \n{"word": "b", "lang_code": "en"}\n')
     got = readers.jsonl(spark, str(tmp_path / "x.jsonl"), "word string, lang_code string", "ko").collect()
@@ -34,10 +29,6 @@ def test_tatoeba(spark):
     assert {r.ko: r.en for r in readers.tatoeba(ko, links, en).collect()} == {"가": "go", "나": None}
 
 
-def test_frequency_words(spark):
-    assert {r.word: r.n for r in readers.frequency_words(lines(spark, "a 3", "a 5", "b x", "c")).collect()} == {"a": 5}
-
-
 def test_xml_rows(spark, tmp_path):
     (tmp_path / "x.xml").write_text("<r><item><word>가</word></item><item><word>나</word></item></r>")
     assert sorted(r.word for r in readers.xml_rows(spark, str(tmp_path / "x.xml"), "item", "word string").collect()) == ["가", "나"]
