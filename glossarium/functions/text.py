@@ -10,8 +10,12 @@ from glossarium.plans.tables import ENTRIES, entries, gloss_items, table
 
 W = f"WITH {ENTRIES}"
 
-#: Words that carry no content in English glosses.
-STOP_WORDS = ["a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with"]
+#: Words of English glosses that say little about what a word means.
+STOP_WORDS = (
+    "a an the of to and or in on for with be by as at one s sth sb someone something somebody it its is are not no from into up out off about that this which who what etc e g i ie eg very much more most other "
+    "get make do have take give go come put set let keep become being use used thing person people man state act action way kind sort type part form place time matter fact having making doing oneself certain "
+    "general good bad great small large big new old"
+).split()
 
 
 def truncate(c: Column, n: int) -> Column:
@@ -21,9 +25,9 @@ def truncate(c: Column, n: int) -> Column:
 
 def content_words(c: Column) -> Column:
     """Lower-case words of two letters or more without stop words and without a plural s, once each."""
-    words = F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 2)
-    words = F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
-    return F.array_distinct(F.transform(words, lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.regexp_replace(w, "s$", "")).otherwise(w)))
+    telling = lambda w: ~w.isin(STOP_WORDS)
+    words = F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: (F.length(w) >= 2) & telling(w))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.regexp_replace(w, "s$", "")).otherwise(w)), telling))
 
 
 @query("str01_hw_norm", f"{W} SELECT id, hw_norm FROM entries")
@@ -62,7 +66,10 @@ def norm_term(spark, d):
     return table(spark, d, "part").select("p_partkey", F.trim(F.regexp_replace(F.lower("p_name"), "\\s+", " ")).alias("term"))
 
 
-@query("str14_content_words", "SELECT item_id, array_to_string(list_sort(list_distinct([CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN regexp_replace(w, 's$', '') ELSE w END for w in regexp_split_to_array(lower(text), '[^a-z]+') if length(w) >= 2 AND w NOT IN ('a','an','and','for','in','of','on','or','the','to','with')])), ' ') AS words FROM benchmark")
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query("str14_content_words", f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END for w in regexp_split_to_array(lower(text), '[^a-z]+') if length(w) >= 2 AND w NOT IN ({_STOP})], lambda w: w NOT IN ({_STOP})))), ' ') AS words FROM benchmark")
 def content_words_query(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.sort_array(content_words(F.col("text"))), " ").alias("words"))
 
@@ -72,17 +79,6 @@ def def_key(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "\\s+", "").alias("key"))
 
 
-@query("prj02_entry_gloss", f"{W} SELECT id, coalesce(nullif(trim(string_split(gloss, ';')[1]), ''), pack) AS gloss FROM entries")
-def entry_gloss(spark, d):
-    first = F.trim(F.get(F.split("gloss", ";"), F.lit(0)))
-    return entries(spark, d).select("id", F.coalesce(F.nullif(first, F.lit("")), "pack").alias("gloss"))
-
-
-@query("prj04_gloss_items", f"{W} SELECT id, n - 1 AS n, regexp_replace(trim(lower(regexp_split_to_array(gloss, '[;,]')[n])), '^to ', '') AS item FROM (SELECT id, gloss, unnest(range(1, len(regexp_split_to_array(gloss, '[;,]')) + 1)) AS n FROM entries)")
-def gloss_items_query(spark, d):
-    return entries(spark, d).select("id", F.posexplode(gloss_items(F.col("gloss"))).alias("n", "item")).withColumn("n", F.col("n").cast("long"))
-
-
 @query("prj05_quality", f"{W} SELECT id, CASE source WHEN 'Brand#1' THEN 0 WHEN 'Brand#2' THEN 1 ELSE 2 END AS quality FROM entries")
 def quality_query(spark, d):
     return entries(spark, d).select("id", F.when(F.col("source") == "Brand#1", 0).when(F.col("source") == "Brand#2", 1).otherwise(2).alias("quality"))

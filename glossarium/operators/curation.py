@@ -45,18 +45,6 @@ def synonym_bridge(spark, d):
     return s.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "other"))).filter("n <= 6").drop("n")
 
 
-@query("jn29_homograph_fold", f"{W}, g AS (SELECT hw_norm, pack, list(DISTINCT source) AS s FROM entries WHERE level IS NOT NULL GROUP BY ALL), o AS (SELECT a.id, g.pack AS into_pack, CASE WHEN list_contains(g.s, a.source) THEN 1 ELSE 0 END + CASE WHEN g.pack = a.pack THEN 1 ELSE 0 END AS k FROM entries a JOIN g ON a.hw_norm = g.hw_norm AND a.level IS NULL), m AS (SELECT id, max(k) AS k FROM o WHERE k > 0 GROUP BY id) SELECT o.id, min(o.into_pack) AS into_pack FROM o JOIN m ON o.id = m.id AND o.k = m.k GROUP BY o.id HAVING count(*) = 1")
-def homograph_fold(spark, d):
-    """Each row without a level goes to the group of its headword that has most in common with it, if one group alone has most."""
-    e = entries(spark, d)
-    g = e.filter("level IS NOT NULL").groupBy("hw_norm", F.col("pack").alias("into_pack")).agg(F.collect_set("source").alias("s"))
-    k = F.array_contains("s", F.col("source")).cast("int") + (F.col("into_pack") == F.col("pack")).cast("int")
-    o = e.filter("level IS NULL").select("id", "hw_norm", "pack", "source").join(g, "hw_norm").select("id", "into_pack", k.alias("k")).filter("k > 0")
-    by_score = o.groupBy("id", "k").agg(F.min("into_pack").alias("into_pack"), F.count("*").alias("n"))
-    best = by_score.groupBy("id").agg(F.max(F.struct("k", "n", "into_pack")).alias("b"))
-    return best.filter("b.n = 1").select("id", F.col("b.into_pack").alias("into_pack"))
-
-
 @query("ag09_source_counts", f"{W} SELECT source, count(*) AS n FROM entries GROUP BY source")
 def source_counts(spark, d):
     return entries(spark, d).groupBy("source").agg(F.count("*").alias("n"))

@@ -110,13 +110,6 @@ def narrow(spark, d):
     return entries(spark, d).filter("kind = 'word'").select("id", "pack", "headword", "source", "kind", "level", "rank", F.lit("exact").alias("via")).orderBy("rank", "id").limit(50)
 
 
-@query("prj03_search_text", f"{W} SELECT id, array_to_string(p[1:2], ' ') AS head, array_to_string(p[3:], ' ') AS en FROM (SELECT id, [trim(x) for x in regexp_split_to_array(gloss, '[;,]')] AS p FROM entries)")
-def search_text(spark, d):
-    """The first pieces of a gloss, and all others."""
-    e = entries(spark, d).select("id", F.transform(F.split("gloss", "[;,]"), lambda x: F.trim(x)).alias("p"))
-    return e.select("id", F.array_join(F.slice("p", 1, 2), " ").alias("head"), F.array_join(F.slice("p", F.lit(3), F.size("p")), " ").alias("en"))
-
-
 @query("prj09_priority", f"{W} SELECT id, min(k.pos) AS priority FROM entries JOIN (VALUES ('cold', 0), ('hot', 1), ('gear', 2)) k(w, pos) ON contains(headword, k.w) GROUP BY id")
 def priority(spark, d):
     """The place of the first name of a hand list that a headword holds."""

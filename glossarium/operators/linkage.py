@@ -90,13 +90,6 @@ def top3_per_key(spark, d):
     return x.withColumn("n", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("source"), "id"))).filter("n <= 3").select("form", "id")
 
 
-@query("jn18_unique_fill", f"{W} SELECT e.id, coalesce(CASE WHEN e.level > 3 THEN e.pack END, u.p) AS filled FROM entries e LEFT JOIN (SELECT hw_norm, min(pack) AS p FROM entries WHERE level > 3 GROUP BY hw_norm HAVING count(DISTINCT pack) = 1) u ON u.hw_norm = e.hw_norm")
-def unique_fill(spark, d):
-    e = entries(spark, d)
-    u = e.filter("level > 3").groupBy("hw_norm").agg(F.min("pack").alias("p"), F.max("pack").alias("q")).filter("p = q").select("hw_norm", "p")
-    return e.join(u, "hw_norm", "left").select("id", F.coalesce(F.when(F.col("level") > 3, F.col("pack")), "p").alias("filled"))
-
-
 @query("jn19_three_way", "SELECT ko, min_by(en, l_linenumber) AS en FROM (SELECT c.c_name AS ko, l.l_linenumber + l.l_orderkey * 10 AS l_linenumber, s.s_name AS en FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey) GROUP BY ko")
 def three_way(spark, d):
     x = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))

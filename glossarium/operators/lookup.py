@@ -90,25 +90,12 @@ def is_sentence(spark, d):
     return table(spark, d, "benchmark").filter(~F.contains("text", F.lit("\n")) & (F.size(F.split(F.trim("text"), " ")) >= 2)).select("item_id")
 
 
-@query("flt15_markup_leak", "SELECT page_id FROM pages WHERE len(regexp_extract_all(html, '<script|<style')) > 0 OR len(regexp_extract_all(html, '&[a-z]+;')) >= 3")
-def markup_leak(spark, d):
-    n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
-    return table(spark, d, "pages").filter((n("<script|<style") > 0) | (n("&[a-z]+;") >= 3)).select("page_id")
-
-
 @query("flt18_forall", "SELECT o_orderkey FROM (SELECT l_orderkey AS o_orderkey, list(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey) WHERE len(f) > 0 AND len(list_filter(f, lambda x: x = 'N')) = len(f)")
 def forall(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.every(F.col("l_returnflag") == "N").alias("all_n"))
     return g.filter("all_n").select("o_orderkey")
 
 
-@query("flt19_script_routing", "SELECT doc_id, CASE WHEN regexp_matches(text, '[가-힣]') THEN 'hangul' WHEN regexp_matches(text, '[一-鿿]') THEN 'han' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS route FROM documents")
-def script_routing(spark, d):
-    t = F.col("text")
-    route = F.when(t.rlike("[가-힣]"), "hangul").when(t.rlike("[一-鿿]"), "han").when(t.rlike("[A-Za-z]"), "latin").otherwise("other")
-    return table(spark, d, "documents").select("doc_id", route.alias("route"))
-
-
 @query("flt20_review_gate", "SELECT d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND l.toxic = 0")
 def review_gate(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels").filter("quality = 1 AND toxic = 0"), "doc_id").select("doc_id")

@@ -70,14 +70,6 @@ def group_concat_ci(spark, d):
     return table(spark, d, "part").groupBy("p_size").agg(F.array_join(F.sort_array(F.collect_set(F.lower("p_type"))), "; ").alias("glosses"))
 
 
-@query("ag16_min_stem_rank", f"{W} SELECT stem, min(rank) AS rank FROM (SELECT left(hw_norm, length(hw_norm) - length(s)) AS stem, rank FROM entries, (VALUES ('et'), ('ar'), ('g'), ('mo')) e(s) WHERE ends_with(hw_norm, s) AND length(hw_norm) > length(s)) GROUP BY stem")
-def min_stem_rank(spark, d):
-    endings = ("et", "ar", "g", "mo")
-    h = F.col("hw_norm")
-    stems = F.array_compact(F.array(*[F.when(h.endswith(s) & (F.length(h) > len(s)), F.expr(f"left(hw_norm, length(hw_norm) - {len(s)})")) for s in endings]))
-    return entries(spark, d).select(F.explode(stems).alias("stem"), "rank").groupBy("stem").agg(F.min("rank").alias("rank"))
-
-
 @query("ag17_term_dedupe", f"{W}, {TERMS} SELECT term, entry_id, score, tier FROM gloss_terms")
 def term_dedupe(spark, d):
     return gloss_terms(spark, d).select("term", "entry_id", "score", "tier")
@@ -164,5 +156,3 @@ def candidates(spark, d):
 def merge_lines(spark, d):
     rows = F.array_sort(F.collect_list(F.struct("turn", "role")))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(rows, lambda r: r["role"]), ">").alias("roles"))
-
-

@@ -97,11 +97,6 @@ def bm25_query(spark, d):
     return bm25(docs, ["this", "was"]).select("id", F.round("score", 6).alias("score"))
 
 
-@query("qry06_fts_tokens", "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x != '')[1:8], ' ') AS q FROM benchmark")
-def fts_tokens(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("q"))
-
-
 @query("qry13_by_headword", f"{W} SELECT headword, arg_min(id, rank * 100000 + id) AS id FROM entries GROUP BY headword")
 def by_headword(spark, d):
     return entries(spark, d).groupBy("headword").agg(F.min_by("id", F.col("rank") * 100000 + F.col("id")).alias("id"))
@@ -139,24 +134,11 @@ def similar(spark, d):
     return similar_words(e.select("id", "pack", "hw_norm", "kind", gloss.alias("gloss"), score.alias("score")))
 
 
-@query("qry15_sentences", "SELECT item_id FROM benchmark WHERE contains(lower(text), 'the') ORDER BY length(text), item_id LIMIT 20")
-def sentences(spark, d):
-    b = table(spark, d, "benchmark").filter(F.contains(F.lower("text"), F.lit("the")))
-    return b.orderBy(F.length("text"), "item_id").limit(20).select("item_id")
-
-
 @query("qry16_grammar_list", "SELECT n_nationkey, n_name FROM nation ORDER BY n_regionkey, n_nationkey")
 def grammar_list(spark, d):
     return table(spark, d, "nation").orderBy("n_regionkey", "n_nationkey").select("n_nationkey", "n_name")
 
 
-@query("qry20_phrases", f"{W} SELECT DISTINCT headword FROM entries WHERE starts_with(headword, 'hot ') OR contains(' ' || headword || ' ', ' gear ')")
-def phrases(spark, d):
-    h = F.col("headword")
-    run = F.contains(F.concat(F.lit(" "), h, F.lit(" ")), F.lit(" gear "))
-    return entries(spark, d).filter(h.startswith("hot ") | run).select("headword").distinct()
-
-
 @query("qry21_related", f"{W} SELECT pack, kind, array_to_string(list_sort(list(DISTINCT headword)), ',') AS words FROM entries WHERE source = 'Brand#1' GROUP BY pack, kind")
 def related(spark, d):
     return entries(spark, d).filter("source = 'Brand#1'").groupBy("pack", "kind").agg(F.array_join(F.sort_array(F.collect_set("headword")), ",").alias("words"))

@@ -76,12 +76,6 @@ def digest_query(spark, d):
     return digest(entries(spark, d).select("headword", "id"))
 
 
-@query("snk05_meta", f"{W}, {FORMS} SELECT '{{\"entries\":' || (SELECT count(*) FROM entries) || ',\"forms\":' || (SELECT count(*) FROM forms) || '}}' AS meta")
-def meta(spark, d):
-    f = forms(spark, d).agg(F.count("*").alias("forms"))
-    return entries(spark, d).agg(F.count("*").alias("entries")).crossJoin(f).select(F.to_json(F.struct("entries", "forms")).alias("meta"))
-
-
 @query("snk07_merge_by_key", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT s_nationkey, min(s_name) FROM supplier GROUP BY s_nationkey")
 def merge_query(spark, d):
     fresh = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_name").alias("n_name"))
