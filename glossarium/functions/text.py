@@ -102,12 +102,6 @@ def vocab_map(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(F.try_element_at(names, F.col("o_orderstatus")), F.lit("unknown")).alias("state"))
 
 
-@query("prj11_bands", "SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1994 THEN 'early' WHEN year(o_orderdate) < 1997 THEN 'middle' ELSE 'late' END AS period FROM orders")
-def bands(spark, d):
-    y = F.year("o_orderdate")
-    return table(spark, d, "orders").select("o_orderkey", F.when(y < 1994, "early").when(y < 1997, "middle").otherwise("late").alias("period"))
-
-
 @query("prj17_topic_split", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS top, split_part(o_orderpriority, '-', 2) AS sub FROM orders")
 def topic_split(spark, d):
     part = lambda k: F.split_part("o_orderpriority", F.lit("-"), F.lit(k))

@@ -122,18 +122,6 @@ def provenance(spark, d):
     return table(spark, d, "documents").filter("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.to_json(F.struct("source", "lang")).alias("meta"))
 
 
-@query("jn03_sentence_hits", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE contains(lower(b.text), 'the')")
-def sentence_hits(spark, d):
-    hits = table(spark, d, "benchmark").filter(F.lower("text").contains("the")).select("item_id")
-    return hits.join(table(spark, d, "documents").select("doc_id"), F.col("doc_id") == F.col("item_id")).select("item_id", "doc_id")
-
-
-@query("jn05_curriculum", f"{W} SELECT e.id, l.l_orderkey, l.l_linenumber FROM lineitem l JOIN entries e ON e.id = l.l_partkey WHERE e.level <= 2")
-def curriculum(spark, d):
-    e = entries(spark, d).filter("level <= 2").select("id")
-    return table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber").join(e, F.col("l_partkey") == F.col("id")).select("id", "l_orderkey", "l_linenumber")
-
-
 @query("jn24_pattern_linkage", f"{W}, {FORMS}, k AS (SELECT id AS want, unnest([hw_norm, string_split(headword, ' ')[1]]) AS key, unnest([0, 1]) AS p FROM entries WHERE kind = 'idiom'), t AS (SELECT hw_norm AS key, min(id) AS id FROM entries WHERE kind = 'word' GROUP BY hw_norm UNION SELECT form, min(entry_id) FROM forms GROUP BY form) SELECT want, arg_min(t.id, (p, t.id)) AS id FROM k JOIN t ON t.key = k.key GROUP BY want")
 def pattern_linkage(spark, d):
     """Each pattern's keys in order of preference; the first key that is known gives the entry."""

@@ -71,13 +71,6 @@ def next_prefix(spark, d):
     return entries(spark, d).filter(F.col("hw_norm").startswith("col")).select("id")
 
 
-@query("flt11_facets", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1996 AND o_totalprice >= 50000 AND o_orderstatus IN ('F', 'O') AND list_contains(string_split(o_orderpriority, '-'), '1')")
-def facets(spark, d):
-    o = table(spark, d, "orders")
-    keep = F.year("o_orderdate").between(1994, 1996) & (F.col("o_totalprice") >= 50000) & F.col("o_orderstatus").isin("F", "O")
-    return o.filter(keep & F.array_contains(F.split("o_orderpriority", "-"), "1")).select("o_orderkey")
-
-
 @query("flt12_attested_semi", f"{W}, {FORMS} SELECT e.id FROM entries e WHERE EXISTS (SELECT 1 FROM forms f JOIN (SELECT DISTINCT lower(p_type) AS t FROM part UNION SELECT 'widget') c ON f.form = c.t WHERE f.entry_id = e.id)")
 def attested_semi(spark, d):
     canon = table(spark, d, "part").select(F.lower("p_type").alias("form")).unionByName(spark.createDataFrame([("widget",)], "form string")).distinct()

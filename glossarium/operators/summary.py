@@ -59,12 +59,6 @@ def first_wins(spark, d):
     return x.groupBy("form").agg(F.min(F.struct("rank", "id")).alias("b")).select("form", F.col("b.id").alias("id"))
 
 
-@query("ag12_result_groups", f"{W} SELECT hw_norm, count(*) AS n, min(level) AS level, arg_min(gloss, id) AS gloss, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM entries GROUP BY hw_norm")
-def result_groups(spark, d):
-    g = entries(spark, d).groupBy("hw_norm")
-    return g.agg(F.count("*").alias("n"), F.min("level").alias("level"), F.min_by("gloss", "id").alias("gloss"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
-
-
 @query("ag13_group_concat_ci", "SELECT p_size, string_agg(lower_type, '; ' ORDER BY lower_type) AS glosses FROM (SELECT DISTINCT p_size, lower(p_type) AS lower_type FROM part) GROUP BY p_size")
 def group_concat_ci(spark, d):
     return table(spark, d, "part").groupBy("p_size").agg(F.array_join(F.sort_array(F.collect_set(F.lower("p_type"))), "; ").alias("glosses"))
