@@ -1,6 +1,7 @@
 import pytest
 
-from glossarium.functions.writing import initial_sound, tone_mark
+from glossarium.functions.korean import initial_sound
+from glossarium.functions.writing import tone_mark
 from glossarium.sources import sinks
 
 
