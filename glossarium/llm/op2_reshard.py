@@ -35,6 +35,8 @@ from glossarium.llm.common import cut, uncut
 F_PATH = re.compile("^[a-z0-9]+:/*")
 #: About so many rows make a block of an old shard.
 BLOCK_ROWS = 200_000
+#: Tables of the plan with more rows than this are joined by shuffle; a row has some hundred bytes at most.
+BROADCAST_ROWS = 200_000
 
 
 class Flow:
@@ -155,8 +157,8 @@ def reshard(rows: DataFrame, shards: int, old_col: str = "old", capacities: list
         for j, size in own:
             runs.append((i, at, at + size, j))
             at += size
-    starts = spark.createDataFrame(begins, "old int, block int, begin long")  # a row for each block: Spark broadcasts it if it is small
-    runs_df = F.broadcast(spark.createDataFrame(runs, "old int, lo long, hi long, shard int"))  # fewer rows than old and new shards together
+    starts = small(spark, begins, "old int, block int, begin long")  # a row for each block
+    runs_df = small(spark, runs, "old int, lo long, hi long, shard int")  # fewer rows than old and new shards together
     order = Window.partitionBy("old", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_sum", F.sum("size").over(order)).join(starts, ["old", "block"])
     placed = placed.withColumn("_at", F.col("begin") + F.col("_sum") - F.col("size"))
@@ -169,7 +171,7 @@ def reshard(rows: DataFrame, shards: int, old_col: str = "old", capacities: list
     for r in parts:
         firsts.append((r["shard"], r["old"], r["block"], before.get(r["shard"], 0)))
         before[r["shard"]] = before.get(r["shard"], 0) + r["n"]
-    first_df = spark.createDataFrame(firsts, "shard int, old int, block int, first long")  # a row for each block and run
+    first_df = small(spark, firsts, "shard int, old int, block int, first long")  # a row for each block and run
     within = Window.partitionBy("old", "block", "shard").orderBy("_at")
     out = placed.withColumn("_k", F.row_number().over(within) - 1).join(first_df, ["shard", "old", "block"])
     return out.select("doc_id", "size", "text_crc32", "old", *more, "shard", (F.col("first") + F.col("_k")).alias("slot")), moves
@@ -185,28 +187,32 @@ def affected(moves: list[list[tuple[int, int]]]) -> set[int]:
     return touched
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds as a table, broadcast up to BROADCAST_ROWS of them."""
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
+
+
 def files_of(docs: DataFrame) -> DataFrame:
     """(path, file): the files of a table, numbered in order of their paths."""
     files = sorted(F_PATH.sub("/", f) for f in docs.inputFiles())
-    return docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "path string, file int")
+    return small(docs.sparkSession, list(zip(files, range(len(files)))), "path string, file int")
 
 
-def placed_in_files(docs: DataFrame) -> DataFrame:
-    """docs with file and row, the file's number and the row's in it, which name a row for good."""
-    names = docs.columns
+def placed_in_files(docs: DataFrame, columns: list) -> DataFrame:
+    """These columns of docs with file and row, the file's number and the row's in it, which name a row for good."""
     if not docs.inputFiles():
-        return docs.select("*", F.lit(0).alias("file"), F.monotonically_increasing_id().alias("row"))
-    rows = docs.select("*", F.regexp_replace(F.input_file_name(), F_PATH.pattern, "/").alias("path"), F.col("_metadata.row_index").alias("row"))
-    return rows.join(files_of(docs), "path").select(*names, "file", "row")
+        return docs.select(*columns, F.lit(0).alias("file"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(*columns, F.regexp_replace(F.input_file_name(), F_PATH.pattern, "/").alias("path"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(files_of(docs), "path").drop("path")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None) -> DataFrame:
     """Id, size and checksum of each row, where it lies, and its old shard: old_col, or else the number in order of its file."""
-    needed = [id_col, text_col, *([old_col] if old_col else [])]
-    rows = placed_in_files(docs.select(*(f"`{c}`" for c in needed))).toDF(*["doc_id", "text", "old"][: len(needed)], "file", "row")
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    old = F.col("old").cast("int") if old_col else F.col("file")
-    return rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "file", "row", old.alias("old"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    old = [F.col(f"`{old_col}`").cast("int").alias("old")] if old_col else []
+    rows = placed_in_files(docs, [F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *old])
+    return rows if old else rows.withColumn("old", F.col("file"))
 
 
 def rewrite(spark: SparkSession, root: str, placed: DataFrame, moves: list[list[tuple[int, int]]], shard_rows: int = 100_000) -> None:
@@ -222,7 +228,7 @@ def rewrite(spark: SparkSession, root: str, placed: DataFrame, moves: list[list[
         return
     docs = spark.read.parquet(root)
     new = placed.filter(F.col("shard").isin(touched)).select("file", "row", F.col("shard").alias("_shard"), "slot")
-    rows = placed_in_files(docs).filter(F.col("shard").isin(touched)).drop("shard").join(new, ["file", "row"]).drop("file", "row")
+    rows = placed_in_files(docs, [F.col(f"`{c}`") for c in docs.columns]).filter(F.col("shard").isin(touched)).drop("shard").join(new, ["file", "row"]).drop("file", "row")
     rows = rows.withColumnRenamed("_shard", "shard").withColumn("_part", F.floor(F.col("slot") / shard_rows))
     stem = uuid.uuid4().hex
     staged, aside = f"{root}/_next-{stem}", f"{root}/_old-{stem}"
