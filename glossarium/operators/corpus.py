@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
+from glossarium.sources.shared import shared_dir
+
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each node of the edges with the least node that links reach.
@@ -21,8 +23,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     context = edges.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        conf = edges.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        context.setCheckpointDir(shared_dir(edges.sparkSession))
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node IS NOT NULL AND other IS NOT NULL")
     both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct().checkpoint()
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))

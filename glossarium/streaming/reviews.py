@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
+from glossarium.sources.shared import shared_dir
 
 #: Days until the next review, by box.
 INTERVALS = [0, 1, 3, 7, 16, 35]
@@ -58,8 +59,7 @@ def reviews(spark, d):
 # The same as streams. A stream's checkpoint lies beside what it writes, in the session's shared folder.
 
 def _shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def new_items(stream: DataFrame, key: str, out: str) -> None:
