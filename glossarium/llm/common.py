@@ -8,17 +8,20 @@ plans.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from glossarium.sources.shared import cut, drop_cuts, uncut
+
+__all__ = ["cut", "drop_cuts", "uncut"]
+
 #: ASCII white space, as the contracts of this subpackage mean it.
 WS = "\x20\t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,40 +33,6 @@ SLICE_BYTES = 2 << 20
 HOT_SHARE = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or where there is none one in the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    The lineage ends there: what comes later survives lost executors without
-    running the earlier stages again, and can be read several times.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glossarium/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def uncut(*tables: DataFrame) -> None:
-    """Delete tables that cut() has made, once nothing that is still to run reads them."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete every table that cut() has left in the shared folder; for the owner of the session, once results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/glossarium")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about ``most`` bytes, so that a worker's memory doesn't grow with a batch."""
     if not batch.num_rows:
