@@ -8,9 +8,10 @@ so its vectors.
 
 Training alternates: with the present vectors find the worst window of each
 toxic text and the worst few of each other one, which must all be harmless,
-then step on those windows with the texts' labels, toxic ones as often as the
-others. The first rounds, when no vectors are learnt yet, use random windows
-instead.
+then step on those windows with the texts' labels. The first rounds, when no
+vectors are learnt yet, use random windows instead. The odds so learnt are
+those of the sample's share of toxic texts; once fitted, the bias is moved to
+equal shares, where a score of one half stands.
 
 Fitting reads at most ``Toxicity.rows`` texts of each class, whatever their
 length (see subword.labelled_sample); of a text over ``Toxicity.words`` words
@@ -47,7 +48,7 @@ class Toxicity:
     width: int = 3
     warm_windows: int = 24
     warm_rounds: int = 2
-    rounds: int = 12
+    rounds: int = 8
     #: So many worst windows of a text that isn't toxic are stepped on each round.
     hard: int = 4
     batch: int = 256
@@ -114,10 +115,9 @@ def fit(rows: Iterable[tuple[list[str], int]], how: Toxicity = Toxicity()) -> Mo
         worst = np.lexsort((-mean, text))
         keep = (place < np.where(y[text] == 1, 1, how.hard)) & np.isfinite(mean[worst])
         hit, of = worst[keep], text[keep]
-        toxic = np.nonzero(y[of] == 1)[0]
-        more = np.resize(toxic, max(len(hit) - 2 * len(toxic), 0))  # toxic windows again, until they are as many
-        steps(np.concatenate([hit, hit[more]]), np.concatenate([of, of[more]]))
-    return trainer.model()
+        steps(hit, of)
+    model = trainer.model()
+    return Model(model.weight, model.bias + float(np.log((y == 0).sum() / (y == 1).sum())), model.shape)
 
 
 def score(texts: Iterable[str | None], model: Model, width: int) -> list[float]:
