@@ -14,9 +14,11 @@ from glossarium.functions.conjugation import candidates
 from glossarium.functions.english import base_forms
 from glossarium.functions.hangul import INITIALS, initials
 from glossarium.functions.korean import modern_spellings, normalized
+from glossarium.functions.stemming import porter
 from glossarium.plans.registry import query
-from glossarium.plans.search import tokens
+from glossarium.plans.postings import Postings, asked_words, indexed, search_postings, weighted_bm25
 from glossarium.plans.tables import gloss_items, hw_norm
+from glossarium.sources.shared import cut
 
 #: Packs of Chinese words, which take part in hanja queries alone.
 CHINESE = ("cedict", "zhwikt")
@@ -29,6 +31,11 @@ QUALITY = {"krdict": 0, "wikt": 1}
 _HAN = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
 
 
+def quality(pack: Column) -> Column:
+    pairs = F.create_map(*(F.lit(x) for pair in QUALITY.items() for x in pair))
+    return F.coalesce(F.try_element_at(pairs, pack), F.lit(2))
+
+
 @dataclass
 class Lexicon:
     """Tables of a dictionary: entries (id, pack, headword, hw_norm, hanja, pos, gloss, def, rank, level, hist, cho), forms (form, id, pack), terms (term, tier, score, id, pack)."""
@@ -36,21 +43,31 @@ class Lexicon:
     entries: DataFrame
     forms: DataFrame
     terms: DataFrame
+    #: The full-text index, where it is stored; else one is planned from the entries.
+    postings: Postings | None = None
+
+    def _of(self, these: Column) -> Lexicon:
+        return Lexicon(*(t.filter(these) for t in (self.entries, self.forms, self.terms)), self.postings and self.postings.of(these))
 
     def korean(self) -> Lexicon:
-        return Lexicon(*(t.filter(~F.col("pack").isin(*CHINESE)) for t in (self.entries, self.forms, self.terms)))
+        return self._of(~F.col("pack").isin(*CHINESE))
 
     def chinese(self) -> Lexicon:
-        return Lexicon(*(t.filter(F.col("pack").isin(*CHINESE)) for t in (self.entries, self.forms, self.terms)))
+        return self._of(F.col("pack").isin(*CHINESE))
+
+    def text(self) -> Postings:
+        """The index of glosses, which count tenfold, and definitions."""
+        return self.postings or indexed(self.entries.select("id", "pack", F.col("gloss").alias("head"), F.col("def").alias("en")))
 
     def write(self, folder: str) -> None:
         """The tables as files, ordered by the column that each is looked up by, so that a lookup reads few of them."""
         for name, rows, key in (("entries", self.entries, "hw_norm"), ("forms", self.forms, "form"), ("terms", self.terms, "term")):
             rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
+        self.text().write(folder)
 
     @staticmethod
     def read(spark: SparkSession, folder: str) -> Lexicon:
-        return Lexicon(*(spark.read.parquet(f"{folder}/{name}") for name in ("entries", "forms", "terms")))
+        return Lexicon(*(spark.read.parquet(f"{folder}/{name}") for name in ("entries", "forms", "terms")), Postings.read(spark, folder))
 
 
 def lexicon(rows: DataFrame) -> Lexicon:
@@ -58,9 +75,7 @@ def lexicon(rows: DataFrame) -> Lexicon:
     e = rows.withColumns({"hw_norm": hw_norm(F.col("headword")), "cho": initials(hw_norm(F.col("headword")))})
     forms = e.select(F.explode("forms").alias("form"), "id", "pack").distinct()
     items = F.filter(gloss_items(F.col("gloss")), lambda x: x != "")
-    pairs = F.create_map(*(F.lit(x) for pair in QUALITY.items() for x in pair))
-    quality = F.coalesce(F.try_element_at(pairs, F.col("pack")), F.lit(2))
-    t = e.filter(~F.col("pack").isin(*CHINESE)).select("id", "pack", "rank", quality.alias("q"), F.posexplode(items).alias("n", "term")).filter(F.length("term") <= 40)
+    t = e.filter(~F.col("pack").isin(*CHINESE)).select("id", "pack", "rank", quality(F.col("pack")).alias("q"), F.posexplode(items).alias("n", "term")).filter(F.length("term") <= 40)
     tier = F.when(F.col("n") == 0, 0).otherwise(1)
     t = t.select("term", tier.alias("tier"), ((tier + F.col("q")).cast("long") * SCORE_UNIT + F.least("rank", F.lit(9_999_999))).alias("score"), "id", "pack")
     terms = t.groupBy("term", "id", "pack").agg(F.min("tier").alias("tier"), F.min("score").alias("score"))
@@ -121,79 +136,6 @@ def hangul_search(lex: Lexicon, q: str) -> list[DataFrame]:
     return strict(lex, q) + [_stage(per_pack(prefix, PREFIX_ROWS, "rank", "id"), 3, F.lit(0), "prefix")]
 
 
-def porter(word: str) -> str:
-    """Porter's stemmer of 1980."""
-    if len(word) <= 2:
-        return word
-    vowel = lambda w, k: w[k] in "aeiou" or w[k] == "y" and k > 0 and not vowel(w, k - 1)
-    shape = lambda w: "".join("v" if vowel(w, k) else "c" for k in range(len(w)))
-    measure = lambda w: len(re.findall("v+c+", shape(w)))
-    has_vowel = lambda w: "v" in shape(w)
-    double = lambda w: len(w) > 1 and w[-1] == w[-2] and not vowel(w, len(w) - 1)
-    short = lambda w: shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
-
-    def rules(w: str, table: str, ok) -> str:
-        for rule in table.split():
-            old, new = rule.split(":")
-            if w.endswith(old):
-                stem = w[: len(w) - len(old)]
-                return stem + new if ok(stem, old) else w
-        return w
-
-    w = rules(word, "sses:ss ies:i ss:ss s:", lambda s, _: True)
-    if w.endswith("eed"):
-        w = w[:-1] if measure(w[:-3]) > 0 else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and has_vowel(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif double(w) and w[-1] not in "lsz":
-                    w = w[:-1]
-                elif measure(w) == 1 and short(w):
-                    w += "e"
-                break
-    if w.endswith("y") and has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    positive = lambda s, _: measure(s) > 0
-    w = rules(w, "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble", positive)
-    w = rules(w, "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:", positive)
-    w = rules(w, "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ion: ou: ism: ate: iti: ous: ive: ize:", lambda s, old: measure(s) > 1 and (old != "ion" or s.endswith(("s", "t"))))
-    if w.endswith("e") and (measure(w[:-1]) > 1 or measure(w[:-1]) == 1 and not short(w[:-1])):
-        w = w[:-1]
-    return w[:-1] if measure(w) > 1 and double(w) and w.endswith("l") else w
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-    return words.map(lambda ws: [known.setdefault(w, porter(w)) for w in ws])
-
-
-def weighted_bm25(rows: DataFrame, words: list[str], weights: tuple[float, float] = (10.0, 1.0), prefix: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, pack, score) of rows (id, pack, head, en) that have the stems of all words; lower is better. Hits in the head count tenfold; with ``prefix`` the last word may go on.
-
-    The corpus' statistics are one row a pack and what is broadcast one row a word.
-    """
-    wanted = [porter(w) for w in words[:8]]
-    t = rows.select("id", "pack", stems(tokens(F.coalesce("head", F.lit("")))).alias("h"), stems(tokens(F.coalesce("en", F.lit("")))).alias("e"))
-    t = t.withColumn("len", F.size("h") + F.size("e"))
-    stats = t.groupBy("pack").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-
-    def match(k: int):
-        return lambda x: x.startswith(wanted[k]) if prefix and k == len(wanted) - 1 else x == wanted[k]
-
-    same = [match(k) for k in range(len(wanted))]
-    freq = [F.size(F.filter("h", f)) * weights[0] + F.size(F.filter("e", f)) * weights[1] for f in same]
-    hits = t.select("id", "pack", "len", F.array(*freq).alias("f"))
-    held = hits.groupBy("pack").agg(*(F.count_if(F.col("f")[k] > 0).alias(f"d{k}") for k in range(len(wanted))))
-    x = hits.filter(F.forall("f", lambda v: v > 0)).join(F.broadcast(stats.join(held, "pack")), "pack")  # a row a pack
-    idf = lambda k: F.greatest(F.log((F.col("n") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5)), F.lit(1e-6))
-    part = [idf(k) * F.col("f")[k] * (k1 + 1) / (F.col("f")[k] + k1 * (1 - b + b * F.col("len") / F.col("mean"))) for k in range(len(wanted))]
-    return x.select("id", "pack", (-sum(part[1:], part[0])).alias("score"))
-
-
 def english_search(lex: Lexicon, q: str, limit: int = 100) -> list[DataFrame]:
     """Gloss items that are the query, then items that begin with it, and where those are few the full text of glosses and definitions."""
     term = re.sub("^to (?=.)", "", q)
@@ -211,14 +153,48 @@ def english_search(lex: Lexicon, q: str, limit: int = 100) -> list[DataFrame]:
     words = re.findall("[a-z0-9]+", q)
     few = glossed.limit(TEXT_BELOW).count()
     if words and (few < TEXT_BELOW if len(term) >= 3 else few == 0):
-        texts = lex.entries.select("id", "pack", F.col("gloss").alias("head"), F.col("def").alias("en"))
-        scored = per_pack(weighted_bm25(texts, words, prefix=len(words[-1]) >= 3), TEXT_ROWS, "score", "id")
-        pairs = F.create_map(*(F.lit(x) for pair in QUALITY.items() for x in pair))
-        quality = F.coalesce(F.try_element_at(pairs, F.col("pack")), F.lit(2))
-        out.append(_stage(scored.join(ranks, ["id", "pack"]), 1, F.col("score") * (1 - 0.15 * quality), "fts"))
+        scored = per_pack(weighted_bm25(lex.text(), words, prefix=len(words[-1]) >= 3), TEXT_ROWS, "score", "id")
+        out.append(_stage(scored.join(ranks, ["id", "pack"]), 1, F.col("score") * (1 - 0.15 * quality(F.col("pack"))), "fts"))
     return out
 
 
+def english_many(lex: Lexicon, asked: DataFrame, limit: int = 100, stemmed: bool = True) -> DataFrame:
+    """(q, n, pack, id, via) for a table of normalised queries (q): english_search, with base forms of single words, as one plan for all of them.
+
+    Stages are joins of the queries to the tables by term, by the first three
+    letters of terms that go on, and to the postings; the limits are windows
+    by query and pack, so no query waits for another. The queries and the rows
+    of the first stages are tables in the shared folder, as several steps read
+    them.
+    """
+    asked = asked.select("q").distinct()
+    terms = lex.terms.filter(~F.col("pack").isin(*CHINESE))
+    based = base_forms(asked, terms.select("term"))
+    asked = asked.join(based, "q", "left").select("q", F.coalesce("base", "q").alias("own"))
+    asked = cut(asked.select("q", "own", F.regexp_replace("own", "^to (?=.)", "").alias("term")), "asked")
+
+    def first(rows: DataFrame, n: int, *order) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy("q", "pack").orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+    # a term's best rows are chosen before queries meet them, so that a common term gives a query no more than it can use
+    best = terms.withColumn("_n", F.row_number().over(Window.partitionBy("term", "pack").orderBy("score", "id"))).filter(F.col("_n") <= GLOSS_ROWS)
+    exact = asked.join(best, "term").groupBy("q", "id", "pack").agg(F.min("score").alias("key"))
+    begun = asked.filter(F.length("term") >= 3).select("q", F.col("term").alias("begin"), F.left("term", F.lit(3)).alias("three"))
+    longer = terms.withColumn("three", F.left("term", F.lit(3))).join(begun, "three").filter(F.col("term").startswith(F.col("begin")) & (F.col("term") != F.col("begin")))
+    longer = first(longer, GLOSS_SCAN, "term", "score", "id").join(exact.select("q", "id", "pack"), ["q", "id", "pack"], "left_anti")
+    longer = first(longer.groupBy("q", "id", "pack").agg(F.min(F.col("score") + (2 - F.col("tier")) * SCORE_UNIT).alias("key")), GLOSS_PREFIX_ROWS, "key", "id")
+    glossed = cut(exact.unionByName(longer), "glossed")  # the two limits a query and pack at most
+    few = asked.join(glossed.groupBy("q").agg(F.count("*").alias("few")), "q", "left").withColumn("few", F.coalesce("few", F.lit(0)))
+    few = few.filter(F.when(F.length("term") >= 3, F.col("few") < TEXT_BELOW).otherwise(F.col("few") == 0))
+    found = search_postings(lex.text(), asked_words(few.select("q", F.col("own").alias("text")), stemmed)).withColumn("score", F.round("score", 9))  # sums in another order tie
+    found = first(found, TEXT_ROWS, "score", "id")
+    parts = glossed.select("q", "id", "pack", F.lit(0).alias("stage"), F.col("key").cast("double").alias("key"))
+    parts = parts.unionByName(found.select("q", "id", "pack", F.lit(1).alias("stage"), F.round(F.col("score") * (1 - 0.15 * quality(F.col("pack"))), 9).alias("key")))
+    one = parts.groupBy("q", "pack", "id").agg(F.min(F.struct("stage", "key")).alias("b")).join(lex.entries.select("id", "pack", "rank"), ["id", "pack"])
+    n = F.row_number().over(Window.partitionBy("q").orderBy("b.stage", "b.key", "rank", "pack", "id"))
+    return one.select("q", n.alias("n"), "pack", "id", F.lit("fts").alias("via")).filter(F.col("n") <= limit)
+
+
 def hanja_search(lex: Lexicon, q: str) -> list[DataFrame]:
     """Words written so, words that begin so, words that hold it."""
     e = lex.entries.filter(F.col("hanja").contains(q))
@@ -400,9 +376,3 @@ TAPS = [(1, "푸른 바다를 보았다", 4), (2, "𠀀 學生會의 일", 4), (
 @query("qry23_lookup_in_text")
 def lookup_query(spark, d):
     return lookup_in_text(small_lexicon(spark), spark.createDataFrame(TAPS, "tap int, text string, offset int"))
-
-
-@query("qry07_weighted_bm25")
-def weighted_bm25_query(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("lang").alias("pack"), F.col("source").alias("head"), F.col("text").alias("en"))
-    return weighted_bm25(docs, ["this", "was"]).select("id", "pack", F.round("score", 6).alias("score"))
