@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossarium.functions.values import day_pick, mix_sql
+from glossarium.operators.numbering import numbered
 from glossarium.plans.registry import query
 from glossarium.plans.tables import ENTRIES, FORMS, TERMS, entries, forms, gloss_terms, table
 
@@ -80,8 +81,8 @@ _POOL = "pool AS (SELECT id, hw_norm, row_number() OVER (ORDER BY id) - 1 AS n F
 
 @query("qry17_word_of_day", f"{W}, {_POOL}, days AS ({mix_sql('(SELECT range AS day, (SELECT count(*) FROM pool) AS size FROM range(60))', 'day', 'size')}) SELECT day, id, hw_norm FROM days JOIN pool ON n = pick")
 def word_of_day(spark, d):
-    """Each day's word: a seeded cycle over the numbered pool, which is a small list by definition of the level."""
-    pool = entries(spark, d).filter("level = 3 AND kind = 'word'").select("id", "hw_norm", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("pick"))
+    """Each day's word: a seeded cycle over the numbered pool."""
+    pool = numbered(entries(spark, d).filter("level = 3 AND kind = 'word'").select("id", "hw_norm"), ["id"], name="pick")
     days = spark.range(0, 60).select(F.col("id").alias("day")).crossJoin(pool.agg(F.count("*").alias("size")))
     return days.filter("size > 0").select("day", day_pick(F.col("day"), F.col("size")).alias("pick")).join(pool, "pick").select("day", "id", "hw_norm")
 
@@ -95,8 +96,8 @@ def text_words(spark, d):
 
 @query("srt08_grammar_order", f"{W} SELECT id, row_number() OVER (PARTITION BY kind ORDER BY source, right(hw_norm, 1), coalesce(level, 4), rank, id) AS n FROM entries")
 def grammar_order(spark, d):
-    w = Window.partitionBy("kind").orderBy("source", F.right("hw_norm", F.lit(1)), F.coalesce("level", F.lit(4)), "rank", "id")
-    return entries(spark, d).select("id", F.row_number().over(w).alias("n"))
+    e = entries(spark, d).select("id", "kind", "source", F.right("hw_norm", F.lit(1)).alias("last"), F.coalesce("level", F.lit(4)).alias("level"), "rank")
+    return numbered(e, ["source", "last", "level", "rank", "id"], by=["kind"]).select("id", (F.col("n") + 1).alias("n"))
 
 
 @query("srt18_collated", f"{W} SELECT headword, min(id) AS id FROM entries GROUP BY headword ORDER BY headword")
@@ -192,5 +193,4 @@ def active_packs(spark, d):
 
 @query("utl21_batches", f"{W} SELECT id, (row_number() OVER (PARTITION BY pack ORDER BY id) - 1) // 20 AS batch FROM entries")
 def batches(spark, d):
-    n = F.row_number().over(Window.partitionBy("pack").orderBy("id"))
-    return entries(spark, d).select("id", F.floor((n - 1) / 20).alias("batch"))
+    return numbered(entries(spark, d).select("id", "pack"), ["id"], by=["pack"]).select("id", F.floor(F.col("n") / 20).alias("batch"))

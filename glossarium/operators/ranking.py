@@ -1,10 +1,11 @@
-"""Windows, order, limits, paging and choices. Global ordinals are computed from partition counts only where a table is small."""
+"""Windows, order, limits, paging and choices. Global ordinals come from ranges of keys and counts by partition (numbering)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from glossarium.operators.numbering import numbered
 from glossarium.plans.registry import query
 from glossarium.plans.tables import ENTRIES, FORMS, entries, forms, table
 
@@ -14,12 +15,12 @@ W = f"WITH {ENTRIES}"
 @query("win01_wotd", f"{W} SELECT row_number() OVER (ORDER BY id) - 1 AS n, id FROM entries WHERE source = 'Brand#1' AND level = 3 AND kind = 'word' AND trim(gloss) != ''")
 def wotd(spark, d):
     rows = entries(spark, d).filter("source = 'Brand#1' AND level = 3 AND kind = 'word' AND trim(gloss) != ''").select("id")
-    return rows.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("n"), "id")
+    return numbered(rows, ["id"]).select("n", "id")
 
 
 @query("win02_sort_ordinal", "SELECT n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_name) AS sort FROM nation")
 def sort_ordinal(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.row_number().over(Window.orderBy("n_regionkey", "n_name")).cast("long").alias("sort"))
+    return numbered(table(spark, d, "nation"), ["n_regionkey", "n_name"]).select("n_nationkey", (F.col("n") + 1).alias("sort"))
 
 
 @query("win03_rank_in_term", f"{W}, {FORMS} SELECT f.form, e.id, row_number() OVER (PARTITION BY f.form ORDER BY e.rank, e.id) - 1 AS n FROM forms f JOIN entries e ON e.id = f.entry_id")
@@ -35,9 +36,10 @@ def paragraphs(spark, d):
 
 @query("win05_global_rank", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN row_number() OVER (PARTITION BY s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey) END AS rank FROM supplier")
 def global_rank(spark, d):
-    good = F.col("s_acctbal") > 0
-    w = Window.partitionBy(good).orderBy(F.desc("s_acctbal"), "s_suppkey")
-    return table(spark, d, "supplier").select("s_suppkey", F.when(good, F.row_number().over(w)).cast("long").alias("rank"))
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    good = F.coalesce(F.col("s_acctbal") > 0, F.lit(False))
+    ranked = numbered(s.filter(good), [F.desc("s_acctbal"), "s_suppkey"]).select("s_suppkey", (F.col("n") + 1).alias("rank"))
+    return ranked.unionByName(s.filter(~good).select("s_suppkey", F.lit(None).cast("long").alias("rank")))
 
 
 @query("win06_topk_per_pack", f"{W} SELECT id, pack FROM (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY rank, id) AS n FROM entries) WHERE n <= 50")
