@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from glossarium.sources.shared import cut
 
@@ -19,6 +20,12 @@ from glossarium.sources.shared import cut
 _PLACE = (1 << 33) - 1
 
 
+def _laid(df: DataFrame, keys: Sequence[Column], part: str, place: str) -> DataFrame:
+    """df in order, as a table, with each row's partition and its place there."""
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return cut(laid.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))), "numbered")
+
+
 def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "n", total: str | None = None) -> DataFrame:
     """df with its rows' positions, from 0, in the order of ``order`` among rows with the same ``by`` (null is a value), and their number as ``total``.
 
@@ -31,8 +38,7 @@ def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (
     mark = uuid.uuid4().hex[:8]
     part, place, rows, before, first = (f"_{x}_{mark}" for x in ("part", "place", "rows", "before", "first"))
     keys = [*(F.col(f"`{c}`").asc_nulls_first() for c in by), *(F.col(f"`{c}`").asc() if isinstance(c, str) else c for c in order)]
-    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    laid = cut(laid.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))), "numbered")
+    laid = _laid(df, keys, part, place)
     group = [F.col(f"`{c}`").alias(f"_g{k}_{mark}") for k, c in enumerate(by)]
     counted = laid.groupBy(*group, part).agg(F.count("*").alias(rows), F.min(place).alias(first))
     names = [f"_g{k}_{mark}" for k in range(len(by))]
@@ -58,3 +64,25 @@ def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (
     if total:
         added.append(F.col(f"_all_{mark}").alias(total))
     return out.select(*(F.col(f"`{c}`") for c in df.columns), *added)
+
+
+def carried(df: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
+    """df with ``name``: the last value that isn't null, at the row or before it in the order; null where there is none.
+
+    Only the last value of each partition passes through the driver.
+    """
+    mark = uuid.uuid4().hex[:8]
+    part, place, before = (f"_{x}_{mark}" for x in ("part", "place", "before"))
+    laid = _laid(df, [F.col(f"`{c}`").asc() if isinstance(c, str) else c for c in order], part, place)
+    ends = laid.filter(F.col(f"`{value}`").isNotNull()).groupBy(part).agg(F.max_by(F.col(f"`{value}`"), place).alias("end"))
+    last = sorted(ends.collect(), key=lambda r: r[part])  # a row for each partition
+    # a partition without a value gets that of the one before it too: ranges [from, to) of partitions with one value
+    known = [r[part] for r in last]
+    spans = [(a, b, r["end"]) for a, b, r in zip(known, [*known[1:], 1 << 30], last)]
+    parts = [r[part] for r in laid.select(part).distinct().collect()]
+    carry = [(p, end) for p in parts for a, b, end in spans if a < p <= b]
+    kind = StructType([StructField(f"{part}_", IntegerType()), StructField(before, df.schema[value].dataType)])
+    out = laid.join(F.broadcast(df.sparkSession.createDataFrame(carry, kind)), F.col(part) == F.col(f"{part}_"), "left")
+    w = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.coalesce(F.last(F.col(f"`{value}`"), ignorenulls=True).over(w), F.col(before))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), found.alias(name))
