@@ -21,7 +21,8 @@ from glossarium.plans.tables import table
 MOST_CHARS = 40
 #: Letters and digits of ASCII and what lies beyond it make words.
 _IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-WORD_STARTS = f"(?<!{_IN_WORD})(?={_IN_WORD})"
+#: Behind a character of ASCII, so that no pair of surrogates is split.
+WORD_STARTS = f"(?<={_IN_WORD.replace('^', '')})(?={_IN_WORD})"
 EVERY_PLACE = ""  # Spark splits by characters then
 
 
