@@ -6,11 +6,10 @@ the odds of good quality. Words keep their case and punctuation, which carry
 much of what sets junk apart. All pairs of a word with itself share one bucket
 of their own, so that repetition is seen whatever word it is that repeats.
 
-Fitting reads at most ``Quality.rows`` texts of each class, whatever their
-length (see subword.labelled_sample); what of a text over ``Quality.words``
-words is fitted on are stretches dealt evenly over the whole of it. Scoring
-reads every whole text. The model is one array of fixed size. The sample holds the classes in the same number as far as
-they have it, so the odds are those of equal classes; with the usual threshold
+Fitting reads at most ``Quality.rows`` labelled rows of each class, each of
+them whole: executors count a text's buckets, and what comes to the driver is
+a row for each bucket that it has. Scoring reads every whole text. The model is
+one array of fixed size. The sample holds the classes in the same number as far as they have it, so the odds are those of equal classes; with the usual threshold
 of 0.3 a document is called bad only where that is clearly likelier.
 
 Defined results: null texts, empty ones and those without words score 0; where
@@ -30,14 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossarium.llm.common import WORD, id_remainder, per_row
-from glossarium.llm.subword import Model, Shape, Trainer, Words, in_parts, labelled_sample, ngram_buckets, sigmoid, spread, word_buckets, word_sums
+from glossarium.llm.subword import Model, Shape, Trainer, in_parts, labelled_rows, ngram_buckets, sigmoid, word_buckets, word_sums
+
+
+#: A text's buckets are counted so many words at a time.
+PART_WORDS = 50_000
 
 
 @dataclass(frozen=True)
 class Quality:
+    #: Most labelled rows of each class that fitting reads.
     rows: int = 2000
-    #: Words of one text that fitting holds at most.
-    words: int = 1000
     rounds: int = 4
     batch: int = 64
     #: Small samples get more rounds, up to so many steps.
@@ -58,29 +60,35 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text or "")
 
 
-def fit(rows: Iterable[tuple[list[str], int]], how: Quality = Quality()) -> Model:
-    """rows: the words of each text, and its label."""
-    vocabulary = Words(how.shape)
-    texts, labels = [], []
-    for text, y in rows:
-        ids = vocabulary.number(text)
-        if len(ids):
-            texts.append(ids)
+def bag(text: str | None, how: Quality) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text, each once and ascending, and how often it has them: no more than there are buckets."""
+    words, total = words_of(text), np.zeros(how.shape.buckets + how.pairs, np.int64)
+    for k in range(0, len(words), PART_WORDS):
+        part = words[k : k + PART_WORDS]
+        found, _ = ngram_buckets(part, how.shape)
+        for bucket, ok in found:
+            total += np.bincount(bucket[ok], minlength=len(total))
+        own = word_buckets(words[k : k + PART_WORDS + 1], how.shape)  # with the next part's first word, for the pair over the border
+        total += np.bincount(own[: len(part)], minlength=len(total)) + np.bincount(pair_buckets(own, how), minlength=len(total))
+    at = np.nonzero(total)[0]
+    return at.astype(np.int32), total[at]
+
+
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], how: Quality = Quality()) -> Model:
+    """rows: the buckets of each text and how often it has them (bag), and its label."""
+    bags, labels = [], []
+    for items, times, y in rows:
+        if len(items):
+            bags.append((items, times))
             labels.append(y)
     both = Shape(how.shape.buckets + how.pairs, how.shape.dim, how.shape.least, how.shape.most, how.shape.word, how.shape.seed)
     if len(set(labels)) < 2:
         return Model(np.zeros(both.buckets, np.float32), -30.0 if not sum(labels) else 30.0, how.shape)
     y = np.array(labels)
-    items, begins = vocabulary.flat()
-    own = word_buckets(list(vocabulary.ids), how.shape)
     trainer = Trainer(both)
-    bags = []
-    for t in texts:  # each text's buckets, once each, and how often it has them
-        place, _ = spread(begins, t)
-        bags.append(np.unique(np.concatenate([items[place], pair_buckets(own[t], how)]).astype(np.int32), return_counts=True))
     rng = np.random.default_rng(how.shape.seed)
-    for _ in range(max(how.rounds, -(-how.least_steps * how.batch // len(texts)))):
-        order = rng.permutation(len(texts))
+    for _ in range(max(how.rounds, -(-how.least_steps * how.batch // len(bags)))):
+        order = rng.permutation(len(bags))
         for k in range(0, len(order), how.batch):
             picked = order[k : k + how.batch]
             owner = np.repeat(np.arange(len(picked)), [len(bags[i][0]) for i in picked])
@@ -119,7 +127,12 @@ def scores(docs: DataFrame, model: Model, how: Quality = Quality(), text_col: st
 
 
 def train(spark: SparkSession, sf_dir: str, docs: DataFrame, how: Quality = Quality()) -> Model:
-    return fit(labelled_sample(spark, sf_dir, "quality", docs, how.rows, how.words, words_of), how)
+    def packed(text: str) -> tuple[bytes, bytes]:
+        items, times = bag(text, how)
+        return items.tobytes(), times.tobytes()
+
+    rows = labelled_rows(spark, sf_dir, "quality", docs, how.rows, packed, "items binary, times binary")
+    return fit(((np.frombuffer(r["items"], np.int32), np.frombuffer(r["times"], np.int64), r["y"]) for r in rows), how)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

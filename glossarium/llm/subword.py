@@ -11,7 +11,7 @@ logits is the mean of one number per bucket, so a model is two small arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,12 +196,13 @@ def stretches(words: list[str], most: int, size: int = 100) -> list[str]:
     return [w for k in range(number) for w in words[int(k * step) : int(k * step) + size]]
 
 
-def labelled_sample(spark, sf_dir: str, label: str, docs, most_rows: int, most_words: int, words) -> Iterator[tuple[list[str], int]]:
-    """The words of at most most_rows labelled texts of each class, from rows that aren't held out, chosen by a hash of the id.
+def labelled_rows(spark, sf_dir: str, label: str, docs, most_rows: int, made: Callable[[str], tuple], added: str) -> Iterator:
+    """What made() gives for each of at most most_rows labelled rows of each class, from rows that aren't held out, with the label ``y``.
 
-    The executors cut a text of more than most_words words to stretches of it,
-    so what comes to the driver is bounded by the two limits, and comes a
-    partition at a time. Labels that are null or clash for one id are left out.
+    Ids are chosen by a hash, and of the rows of one id each different text is
+    a row; rows beyond the limit are passed over as they come. Executors apply
+    made() to whole texts, and its columns come to the driver a partition at a
+    time. Labels that are null or clash for one id are left out.
     """
     from pyspark.sql import functions as F
 
@@ -213,8 +214,16 @@ def labelled_sample(spark, sf_dir: str, label: str, docs, most_rows: int, most_w
     each = [labels.filter(F.col("y") == y).orderBy("o", "doc_id").limit(most_rows) for y in (0, 1)]
     wanted = F.broadcast(each[0].unionByName(each[1]))  # 2 * most_rows ids at most
     texts = docs.select(F.col("doc_id").alias("d"), "text").filter(F.col("text").isNotNull()).join(wanted, F.col("d") == F.col("doc_id")).select("y", "o", "doc_id", "text")
-    # repeated ids could have any number of rows: the least text of each is taken
-    texts = texts.groupBy("doc_id", "y", "o").agg(F.min("text").alias("text"))
-    rows = per_row(texts, lambda: lambda batch: ((" ".join(stretches(words(t), most_words)),) for t in batch), "words string", keep=("y", "o", "doc_id"))
-    for row in rows.orderBy("o", "doc_id").toLocalIterator():
+    texts = texts.withColumn("th", F.sha2("text", 256)).dropDuplicates(["doc_id", "th"])
+    rows = per_row(texts, lambda: lambda batch: map(made, batch), added, keep=("y", "o", "doc_id", "th"))
+    had = [0, 0]
+    for row in rows.orderBy("o", "doc_id", "th").toLocalIterator():
+        if had[row["y"]] < most_rows:
+            had[row["y"]] += 1
+            yield row
+
+
+def labelled_sample(spark, sf_dir: str, label: str, docs, most_rows: int, most_words: int, words) -> Iterator[tuple[list[str], int]]:
+    """The words of labelled rows; of a text with more than most_words words, stretches dealt evenly over the whole of it."""
+    for row in labelled_rows(spark, sf_dir, label, docs, most_rows, lambda t: (" ".join(stretches(words(t), most_words)),), "words string"):
         yield row["words"].split(" ") if row["words"] else [], row["y"]

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from glossarium.llm import op1_compression_bands as op1
@@ -216,10 +217,60 @@ def test_quality_learns():
     rng = random.Random(2)
     junk = lambda: " ".join(w + "$$$" for w in words(rng, 50).split())
     rows = [(words(rng, 50), 1) for _ in range(80)] + [(junk(), 0) for _ in range(80)]
-    s = op4.score([words(rng, 70), junk(), None], op4.fit((op4.words_of(t), y) for t, y in rows))
+    s = op4.score([words(rng, 70), junk(), None], op4.fit((*op4.bag(t, op4.Quality()), y) for t, y in rows))
     assert s[0] >= 0.3 > s[1] and s[2] == 0
 
 
+def naive_buckets(word, shape):
+    """The buckets of one word's n-grams, character by character."""
+    out, marked = [], "<" + word + ">"
+    shift = 32 - (shape.buckets.bit_length() - 1)
+    for a in range(len(marked)):
+        h = shape.seed + 1
+        for size in range(1, shape.most + 1):
+            if a + size > len(marked):
+                break
+            h = (h + ord(marked[a + size - 1])) * 0x9E3779B1 & 0xFFFFFFFF
+            h ^= h >> 15
+            if size >= shape.least:
+                out.append((h * 0x85EBCA77 & 0xFFFFFFFF) >> shift)
+    return out + ([xxhash.xxh32_intdigest(word, shape.seed + 1) % shape.buckets] if shape.word else [])
+
+
+SCORED = ["one stupid text with worthless words", "x", "a b", "aa aa aa bb", "é " * 40, "long " * 300 + "stupid", None, "", " \n "]
+
+
+def test_toxicity_scores_by_brute_force():
+    rng = np.random.default_rng(1)
+    shape = op3.Toxicity().shape
+    model = op3.Model(rng.normal(0, 2, shape.buckets).astype(np.float32), -1.5, shape)
+    width = op3.Toxicity().width
+    for text, got in zip(SCORED, op3.score(SCORED, model, width)):
+        bags = [naive_buckets(w, shape) for w in op3.tokens(text)]
+        windows = [[b for x in bags[k : k + width] for b in x] for k in range(max(len(bags) - width + 1, 1))]
+        means = [sum(float(model.weight[b]) for b in w) / len(w) for w in windows if w]
+        want = 1 / (1 + np.exp(-(model.bias + max(means)))) if means else min(1 / (1 + np.exp(-model.bias)), 0.25)
+        assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_quality_scores_and_bags_by_brute_force(monkeypatch):
+    how = op4.Quality()
+    monkeypatch.setattr(op4, "PART_WORDS", 7)
+    rng = np.random.default_rng(2)
+    model = op4.Model(rng.normal(0, 2, how.shape.buckets + how.pairs).astype(np.float32), 0.3, how.shape)
+    for text, got in zip(SCORED, op4.score(SCORED, model, how)):
+        words = op4.words_of(text)
+        own = [xxhash.xxh32_intdigest(w, how.shape.seed + 1) % how.shape.buckets for w in words]
+        all_buckets = [b for w in words for b in naive_buckets(w, how.shape)]
+        for a, b in zip(own, own[1:]):
+            mixed = ((a * 0x9E3779B97F4A7C15 + b) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> 33
+            all_buckets.append(how.shape.buckets + (0 if a == b else 1 + mixed % (how.pairs - 1)))
+        items, times = op4.bag(text, how)
+        assert dict(zip(items.tolist(), times.tolist())) == Counter(all_buckets)
+        want = 1 / (1 + np.exp(-(model.bias + sum(float(model.weight[b]) for b in all_buckets) / len(all_buckets)))) if words else 0
+        assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_exact_duplicates(docs, odd):
     def normal(t):
         return "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
