@@ -255,16 +255,17 @@ def link_targets(text: Column, title: Column) -> Column:
 
 
 def page_kind(title: Column, text: Column, plain: Column, subpages: Column) -> Column:
-    """Why a page only lists others: a template of versions, links to several editions, almost no text; null for a page of its own."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(r"\{\{([^|}\n]*)"), F.lit(1)), lambda n: F.lower(F.trim(n)))
-    versions = F.exists(names, lambda n: F.reduce(F.array(*map(F.lit, VERSION_TEMPLATES)), F.lit(False), lambda seen, v: seen | F.contains(n, v)))
-    edition = lambda t: F.reduce(F.array(*map(F.lit, EDITION_WORDS)), F.lit(False), lambda seen, w: seen | F.contains(F.lower(t), w))
-    related = F.filter(link_targets(text, title), lambda t: (t != title) & F.contains(t, title))
-    editions = F.size(F.filter(related, edition)) + F.size(F.filter(subpages, edition))
-    return F.when(versions, "versions template").when((editions >= 2) & (F.length(plain) < 3000), "links to several editions").when((F.length(plain) < 10) & (F.size(subpages) == 0), "page is almost empty")
+    """The code of a page that only lists others, or null: ``versions`` by a template, ``editions`` where a short page and its subpages name two or more, ``stub`` for next to no text."""
+    of = lambda values, seen: F.exists(F.array(*map(F.lit, values)), lambda v: F.contains(F.lower(seen), v))
+    templates = F.regexp_extract_all(text, F.lit(r"\{\{([^|}\n]*)"), F.lit(1))
+    own = F.filter(link_targets(text, title), lambda t: (t != title) & F.contains(t, title))
+    editions = F.size(F.filter(F.concat(own, subpages), lambda t: of(EDITION_WORDS, t)))
+    length = F.length(plain)
+    kinds = [("versions", F.exists(templates, lambda n: of(VERSION_TEMPLATES, n))), ("editions", (length < 3000) & (editions > 1)), ("stub", (length < 10) & (F.size(subpages) == 0))]
+    return F.coalesce(*(F.when(on, code) for code, on in kinds))
 
 
-@query("utl06_page_kind", f"{W} SELECT id, CASE WHEN id % 5 = 0 THEN 'versions template' WHEN id % 5 = 1 THEN 'links to several editions' WHEN id % 5 = 2 THEN 'page is almost empty' END AS why FROM entries")
+@query("utl06_page_kind", f"{W} SELECT id, CASE WHEN id % 5 = 0 THEN 'versions' WHEN id % 5 = 1 THEN 'editions' WHEN id % 5 = 2 THEN 'stub' END AS why FROM entries")
 def page_kind_query(spark, d):
     """Pages made from entries, one of each kind in turn."""
     h, k = F.col("headword"), F.col("id") % 5

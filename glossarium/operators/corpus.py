@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossarium.operators.longest import all_hits, lower
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
 from glossarium.sources.shared import shared_dir
@@ -43,30 +41,30 @@ def components_query(spark, d):
     return connected_components(table(spark, d, "part").filter("p_size % 3 = 0").select("p_partkey", (F.col("p_partkey") * 2).alias("double")), "p_partkey", "double")
 
 
-def pattern_counts(docs: DataFrame, patterns: list[str], by: str, text: str = "text") -> DataFrame:
-    """(by, pattern, n, n_docs): all hits, overlapping ones too, in one pass over each text; counted in every batch before they are shuffled."""
+def pattern_counts(docs: DataFrame, patterns: DataFrame, by: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(by, pattern, n, n_docs): all hits of the patterns (key) in docs, overlapping ones too, by the longest-match join; ids are distinct."""
+    own = docs.select(F.col(key).alias("id"), F.col(by).alias("by"), F.col(text).alias("text"))
+    hits = all_hits(own.select("id", "text"), patterns).groupBy("id", "key").agg(F.count("*").alias("k"))
+    counted = hits.join(own.select("id", "by"), "id").groupBy("by", "key").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
+    return counted.select(F.col("by").alias(by), F.col("key").alias("pattern"), "n", "n_docs")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for p in patterns:
-            found.add_word(p, p)
-        found.make_automaton()
-        for pdf in batches:
-            n: dict[tuple, list[int]] = {}
-            for key, t in zip(pdf[by], pdf[text]):
-                own: dict[str, int] = {}
-                for _, p in found.iter(t or ""):
-                    own[p] = own.get(p, 0) + 1
-                for p, k in own.items():
-                    at = n.setdefault((key, p), [0, 0])
-                    at[0] += k
-                    at[1] += 1
-            yield pd.DataFrame([(key, p, *v) for (key, p), v in n.items()], columns=[by, "pattern", "n", "n_docs"])
+def study(texts: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((corpus, pid, whole, part), (corpus, tokens, syllables, texts)) of texts (id, corpus, text) and patterns (pid, key, partial).
 
-    kind = docs.schema[by].dataType.simpleString()
-    return docs.select(by, text).mapInPandas(count, f"{by} {kind}, pattern string, n long, n_docs long").groupBy(by, "pattern").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    whole counts the places where a key of a pattern stands, part those where
+    only a partial key of it does: each place of a text counts once for a
+    pattern. Tokens are runs without white space, syllables characters without
+    it. Ids are distinct.
+    """
+    hits = all_hits(texts.select("id", "text"), patterns)
+    places = hits.join(patterns, "key").groupBy("id", "pid", "start").agg(F.max((~F.col("partial")).cast("int")).alias("whole"))
+    own = places.groupBy("id", "pid").agg(F.sum("whole").alias("whole"), F.sum(1 - F.col("whole")).alias("part"))
+    counts = own.join(texts.select("id", "corpus"), "id").groupBy("corpus", "pid").agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    tokens = F.size(F.filter(F.split(bare, " "), lambda w: w != ""))
+    totals = texts.groupBy("corpus").agg(F.sum(tokens).alias("tokens"), F.sum(F.length(F.replace(bare, F.lit(" "), F.lit("")))).alias("syllables"), F.count("*").alias("texts"))
+    return counts, totals
 
 
 #: Patterns for the query: some lie inside others, none overlaps itself.
@@ -75,6 +73,31 @@ PATTERNS = ["the", "then", "her", "en", "ation", "st"]
 
 @query("ag21_pattern_counts", "SELECT lang, pattern, CAST(sum(k) AS BIGINT) AS n, count(*) AS n_docs FROM (SELECT lang, pattern, (length(text) - length(replace(text, pattern, ''))) // length(pattern) AS k FROM documents, (VALUES " + ", ".join(f"('{p}')" for p in PATTERNS) + ") p(pattern)) WHERE k > 0 GROUP BY lang, pattern")
 def pattern_counts_query(spark, d):
-    return pattern_counts(table(spark, d, "documents"), PATTERNS, "lang")
+    return pattern_counts(table(spark, d, "documents"), spark.createDataFrame([(p,) for p in PATTERNS], "key string"), "lang")
+
+
+_STUDY = r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+')) AS w FROM benchmark),
+p AS MATERIALIZED (SELECT w AS pid, w AS key, length(w) AS n, false AS partial FROM w WHERE length(w) BETWEEN 5 AND 12 UNION ALL SELECT w, left(w, 4), 4, true FROM w WHERE length(w) BETWEEN 5 AND 12),
+t AS (SELECT doc_id AS id, lang AS corpus, text FROM documents),
+c AS (SELECT id, corpus, unnest(range(1, length(text) + 1)) AS k, text FROM t WHERE text IS NOT NULL),
+s AS (SELECT id, corpus, k, substr(text, CAST(k AS INT), 12) AS win FROM c),
+h AS (SELECT s.id, s.corpus, s.k, p.pid, max(CASE WHEN partial THEN 0 ELSE 1 END) AS whole FROM (SELECT s.*, l.n, left(win, l.n) AS key FROM s, (SELECT DISTINCT n FROM p) l) s JOIN p ON p.key = s.key AND p.n = s.n GROUP BY ALL)"""
+
+
+@query("ag21_study", f"{_STUDY} SELECT corpus, pid, CAST(sum(whole) AS BIGINT) AS whole, CAST(sum(1 - whole) AS BIGINT) AS part FROM h GROUP BY corpus, pid")
+def study_query(spark, d):
+    """Words of the benchmark's items as patterns, their first four letters as partial ones, over all documents by language."""
+    return study(*_study(spark, d))[0]
+
+
+@query("ag21_totals", r"WITH t AS (SELECT lang, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) SELECT lang AS corpus, CAST(sum(len(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS BIGINT) AS tokens, CAST(sum(length(replace(t, ' ', ''))) AS BIGINT) AS syllables, count(*) AS texts FROM t GROUP BY lang")
+def totals_query(spark, d):
+    return study(*_study(spark, d))[1]
+
+
+def _study(spark, d) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("corpus"), "text")
+    words = table(spark, d, "benchmark").select(F.explode(F.split(lower(F.col("text")), "[^a-z]+")).alias("pid")).distinct().filter(F.length("pid").between(5, 12))
+    return texts, words.select("pid", F.col("pid").alias("key"), F.lit(False).alias("partial")).unionByName(words.select("pid", F.left("pid", F.lit(4)).alias("key"), F.lit(True).alias("partial")))
 
 

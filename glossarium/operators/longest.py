@@ -38,20 +38,20 @@ def chains(keys: DataFrame) -> DataFrame:
     return begun.join(own.select(F.col("key").alias("begin")), "begin", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("n")).alias("chain"))
 
 
-def longest_beginnings(windows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(window, len): for each distinct window the length of the longest key that it begins with; windows without one are left out."""
+def beginnings(windows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(window, lens): for each distinct window the lengths of the keys that it begins with, ascending; windows without one are left out."""
     known = chains(keys).select(F.col("key").alias("at"), F.lit(0).alias("kind"), F.struct("key", "chain").alias("own"))
     asked = windows.select(F.col("window").alias("at")).distinct().withColumn("kind", F.lit(1)).withColumn("own", F.lit(None).cast(known.schema["own"].dataType))
     near = carried(known.unionByName(asked), ["at", "kind"], "own", "before").filter("kind = 1 AND before IS NOT NULL")
     shared = F.filter("before.chain", lambda n: F.left("at", n) == F.left("before.key", n))
-    return near.select(F.col("at").alias("window"), F.array_max(shared).alias("len")).filter("len IS NOT NULL")
+    return near.select(F.col("at").alias("window"), shared.alias("lens")).filter(F.size("lens") > 0)
 
 
-def windows_of(texts: DataFrame, starts: str = WORD_STARTS) -> DataFrame:
-    """(id, start, window) of texts (id, text): what follows each place where the pattern splits a text that is a place to start, by code points from 0."""
+def windows_of(texts: DataFrame, starts: str = WORD_STARTS, size: int = MOST_CHARS) -> DataFrame:
+    """(id, start, window) of texts (id, text): ``size`` characters from each place where the pattern splits a text that is a place to start, by code points from 0."""
     # the pieces are a column of their own: within the function of each piece they would be split again
     split = texts.filter("text IS NOT NULL").select("id", F.filter(F.split("text", starts), lambda p: p != "").alias("pieces"))
-    cut = F.transform("pieces", lambda p, k: F.struct(F.length(p).alias("size"), F.left(F.array_join(F.slice("pieces", k + 1, MOST_CHARS), ""), F.lit(MOST_CHARS)).alias("window")))
+    cut = F.transform("pieces", lambda p, k: F.struct(F.length(p).alias("size"), F.left(F.array_join(F.slice("pieces", k + 1, size), ""), F.lit(size)).alias("window")))
     each = split.select("id", F.posexplode(cut).alias("k", "p")).select("id", "k", "p.*")
     before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.select("id", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), "window")
@@ -61,10 +61,27 @@ def windows_of(texts: DataFrame, starts: str = WORD_STARTS) -> DataFrame:
 def matches(texts: DataFrame, keys: DataFrame, starts: str = WORD_STARTS) -> DataFrame:
     """(id, start, len, key): at each place of texts (id, text; ids are distinct) the longest of the keys (key) that stands there."""
     windows = windows_of(texts, starts)
-    found = windows.join(longest_beginnings(windows, keys), "window")
+    found = windows.join(beginnings(windows, keys).select("window", F.array_max("lens").alias("len")), "window")
     return found.select("id", "start", "len", F.left("window", F.col("len")).alias("key"))
 
 
+def all_hits(texts: DataFrame, keys: DataFrame, first: int = 3) -> DataFrame:
+    """(id, start, key): every place of texts (id, text) where a key (key) stands, hits in hits too.
+
+    Only places whose first characters begin a key are sorted: as many
+    characters as the shortest key has, and ``first`` at most.
+    """
+    known = keys.select("key").filter((F.length("key") > 0) & (F.length("key") <= MOST_CHARS)).distinct()
+    sizes = known.agg(F.min(F.length("key")).alias("least"), F.max(F.length("key")).alias("most")).first()
+    if sizes["least"] is None:
+        return texts.select("id", F.lit(0).cast("long").alias("start"), F.lit("").alias("key")).limit(0)
+    q = F.lit(min(first, sizes["least"]))
+    grams = known.select(F.left("key", q).alias("gram")).distinct()
+    windows = windows_of(texts, EVERY_PLACE, sizes["most"]).withColumn("gram", F.left("window", q)).join(grams, "gram", "left_semi").drop("gram")
+    found = windows.join(beginnings(windows, known), "window")
+    return found.select("id", "start", F.explode(F.transform("lens", lambda n: F.left("window", n))).alias("key"))
+
+
 def leftmost(found: DataFrame) -> DataFrame:
     """Of matches (id, start, len, key) those that a reader takes from the left: each next one begins where the last has ended, or later.
 

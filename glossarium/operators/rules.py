@@ -110,15 +110,16 @@ LICENCE_HEADINGS = ["## 라이선스", "## 저작권", "## License", "## Copyrig
 
 
 def raw_problem(paragraphs: Column) -> Column:
-    """Why a text must not be packed: wiki markup, a licence heading, question marks in the place of lost letters, nothing but headings; null where it may."""
-    leaks = F.exists(paragraphs, lambda p: F.exists(F.array(*map(F.lit, LEAKS)), lambda x: F.contains(p, x)))
-    licence = F.exists(paragraphs, lambda p: F.trim(p).isin(LICENCE_HEADINGS))
-    lost = F.aggregate(paragraphs, F.lit(0), lambda n, p: n + F.regexp_count(p, F.lit(r"\?(?=[가-힣])")))
-    text = F.exists(paragraphs, lambda p: ~F.ltrim(p).startswith("## ") & (F.trim(p) != ""))
-    return F.when(leaks, "wiki markup").when(licence, "licence section kept").when(lost >= 3, "characters lost in transcription").when(~text, "only section headings, no text")
+    """The code of what keeps a text from being packed, or null: ``markup`` of a wiki, a ``licence`` heading, three or more ``lost`` letters that became question marks, no ``text`` besides headings."""
+    lines = F.array_join(paragraphs, "\n")
+    leaks = F.exists(F.array(*map(F.lit, LEAKS)), lambda x: F.contains(lines, x))
+    headed = F.arrays_overlap(F.transform(paragraphs, lambda p: F.trim(p)), F.array(*map(F.lit, LICENCE_HEADINGS)))
+    bare = F.forall(paragraphs, lambda p: F.ltrim(p).startswith("## ") | (F.trim(p) == ""))
+    found = [("markup", leaks), ("licence", headed), ("lost", F.regexp_count(lines, F.lit(r"\?(?=[가-힣])")) >= 3), ("text", bare)]
+    return F.get(F.filter(F.array(*(F.when(on, code) for code, on in found)), lambda x: x.isNotNull()), F.lit(0))
 
 
-@query("flt15_markup_leak", "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'wiki markup' WHEN 2 THEN 'licence section kept' WHEN 3 THEN 'characters lost in transcription' WHEN 4 THEN 'only section headings, no text' END AS problem FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) WHERE NOT list_bool_or([contains(x, '{{') OR contains(x, '}}') OR contains(x, '[[') OR contains(x, ']]') OR contains(x, '<pages') OR contains(x, '<ref') OR contains(x, '__TOC__') OR contains(x, 'PD-old') OR contains(x, '==') for x in p]) AND list_bool_or([trim(x) <> '' AND NOT starts_with(ltrim(x), '## ') for x in p])")
+@query("flt15_markup_leak", "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'markup' WHEN 2 THEN 'licence' WHEN 3 THEN 'lost' WHEN 4 THEN 'text' END AS problem FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) WHERE NOT list_bool_or([contains(x, '{{') OR contains(x, '}}') OR contains(x, '[[') OR contains(x, ']]') OR contains(x, '<pages') OR contains(x, '<ref') OR contains(x, '__TOC__') OR contains(x, 'PD-old') OR contains(x, '==') for x in p]) AND list_bool_or([trim(x) <> '' AND NOT starts_with(ltrim(x), '## ') for x in p])")
 def raw_problem_query(spark, d):
     """Documents with one fault added to each by turns, where they have none of their own."""
     p = F.split("text", "\n")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from glossarium.operators import longest
+from glossarium.operators import corpus, longest
 from glossarium.operators.numbering import carried
 
 KEYS = ["a", "ab", "abc", "b c", "bc", "바", "바다", "바다표범", "學", "學生", "cab cab", "x" * 40, "", "𠀀𠀀", "aa", "aaaa"]
@@ -81,3 +81,24 @@ def test_carried(spark):
         assert got[k] == last
     assert carried(spark.createDataFrame([], "k long, v string"), ["k"], "v", "last").count() == 0
     assert carried(spark.createDataFrame([(2, None), (1, None)], "k long, v string"), [F.desc("k")], "v", "last").filter("last IS NULL").count() == 2
+
+
+def test_all_hits_and_study(spark):
+    df = spark.createDataFrame([(i, "pq"[i % 2], t) for i, t in texts()], "id long, corpus string, text string")
+    for keys in (KEYS, ["abc", "bc a", "바다표범", "aaaa"], ["zzz"], []):
+        want = {(i, k, x) for i, t in texts() for x in keys for k in range(len(t or "")) if x and t.startswith(x, k)}
+        assert {(r.id, r.start, r.key) for r in longest.all_hits(df, spark.createDataFrame([(k,) for k in keys], "key string")).collect()} == want
+    patterns = [(1, "abc", False), (1, "ab", True), (2, "aa", False), (2, "aaaa", False), (3, "바", True), (4, "b c", True), (4, "c", False)]
+    counts, totals = corpus.study(df, spark.createDataFrame(patterns, "pid int, key string, partial boolean"))
+    want = {}
+    for i, t in texts():
+        for pid in (1, 2, 3, 4):
+            at = lambda kind: {k for p, x, part in patterns if p == pid and part == kind for k in range(len(t or "")) if t.startswith(x, k)}
+            if at(False) | at(True):
+                own = want.setdefault(("pq"[i % 2], pid), [0, 0])
+                own[0] += len(at(False))
+                own[1] += len(at(True) - at(False))
+    assert {(r.corpus, r.pid): [r.whole, r.part] for r in counts.collect()} == want
+    for r in totals.collect():
+        own = [t or "" for i, t in texts() if "pq"[i % 2] == r.corpus]
+        assert (r.tokens, r.syllables, r.texts) == (sum(len(t.split()) for t in own), sum(len("".join(t.split())) for t in own), len(own))
