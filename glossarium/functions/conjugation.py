@@ -26,6 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from glossarium.functions.writing import listed
 from glossarium.plans.registry import query
 
 
@@ -193,17 +194,17 @@ def lemmas(word: Column, most: int = 5) -> Column:
     return F.transform(F.slice(deconjugate(word), 1, most), lambda c: c["lemma"])
 
 
-#: Words that the queries below look up; no test table holds Hangul.
+#: Words that the queries below look up, alone and beside names of parts.
 SAMPLE = ["먹어요", "추워요", "몰랐어요", "갑니다", "공부했어요", "학교에서는", "먹고 싶어요", "많이", "school", ""]
 
 
 @query("ud01_deconjugate")
 def deconjugate_query(spark, d):
-    words = spark.createDataFrame([(k, w) for k, w in enumerate(SAMPLE)], "n int, word string")
+    words = listed(spark, d, SAMPLE)
     return words.select("n", F.posexplode(deconjugate(F.col("word"))).alias("place", "c")).select("n", "place", "c.lemma", "c.rule")
 
 
 @query("ud02_grammar_hints")
 def grammar_hints(spark, d):
-    words = spark.createDataFrame([(k, w) for k, w in enumerate(SAMPLE)], "n int, word string")
+    words = listed(spark, d, SAMPLE)
     return words.select("n", F.array_distinct(F.transform(F.slice(deconjugate(F.col("word")), 1, 3), lambda c: c["rule"])).alias("patterns"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glossarium.functions.writing import listed, values
 from glossarium.plans.registry import query
 
 #: The initial consonants, in the order of the code points.
@@ -18,11 +19,7 @@ FIRST, LAST = 0xAC00, 0xD7A3
 SAMPLE = ["학교", "가다", "춥다", "닭고기", "school", "학교 가다", "", "값", "읽다", "ㄱ"]
 
 
-def sample(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, w) for k, w in enumerate(SAMPLE)], "n int, word string")
-
-
-_VALUES = "(VALUES " + ", ".join(f"({k}, '{w}')" for k, w in enumerate(SAMPLE)) + ") t(n, word)"
+_VALUES = values(SAMPLE)
 
 
 def chars(word: Column) -> Column:
@@ -55,20 +52,20 @@ def has_final(word: Column) -> Column:
 
 @query("str06_choseong", f"SELECT n, CASE WHEN regexp_full_match(word, '[가-힣]+') THEN array_to_string([substr('{INITIALS}', CAST((unicode(c) - 44032) // 588 + 1 AS INT), 1) for c in string_split(word, '')], '') END AS cho FROM {_VALUES}")
 def choseong_query(spark, d):
-    return sample(spark).select("n", initials(F.col("word")).alias("cho"))
+    return listed(spark, d, SAMPLE).select("n", initials(F.col("word")).alias("cho"))
 
 
 @query("str07_scripts", f"SELECT n, regexp_matches(word, '[가-힣]') AS hangul, regexp_matches(word, '[一-鿿]') AS han, regexp_matches(word, '[A-Za-z]') AS latin FROM {_VALUES}")
 def scripts(spark, d):
     w = F.col("word")
-    return sample(spark).select("n", w.rlike("[가-힣]").alias("hangul"), w.rlike("[一-鿿]").alias("han"), w.rlike("[A-Za-z]").alias("latin"))
+    return listed(spark, d, SAMPLE).select("n", w.rlike("[가-힣]").alias("hangul"), w.rlike("[一-鿿]").alias("han"), w.rlike("[A-Za-z]").alias("latin"))
 
 
 @query("str08_jamo", f"SELECT n, coalesce(array_to_string([CASE WHEN regexp_matches(c, '[가-힣]') THEN substr('{INITIALS}', CAST((unicode(c) - 44032) // 588 + 1 AS INT), 1) || substr('{VOWELS}', CAST((unicode(c) - 44032) % 588 // 28 + 1 AS INT), 1) || trim(substr('{FINALS}', CAST((unicode(c) - 44032) % 28 + 1 AS INT), 1)) ELSE c END for c in string_split(word, '')], ''), '') AS jamo FROM {_VALUES}")
 def jamo_query(spark, d):
-    return sample(spark).select("n", jamo(F.col("word")).alias("jamo"))
+    return listed(spark, d, SAMPLE).select("n", jamo(F.col("word")).alias("jamo"))
 
 
 @query("str08_batchim", f"SELECT n, CASE WHEN regexp_matches(right(word, 1), '[가-힣]') THEN (unicode(right(word, 1)) - 44032) % 28 != 0 END AS final FROM {_VALUES}")
 def batchim_query(spark, d):
-    return sample(spark).select("n", has_final(F.col("word")).alias("final"))
+    return listed(spark, d, SAMPLE).select("n", has_final(F.col("word")).alias("final"))

@@ -56,9 +56,10 @@ def mix_sql(rows: str, keep: str, out: str) -> str:
     return f"SELECT {keep}, CAST(xor(z, z >> 31) % {out} AS BIGINT) AS pick FROM ({c})"
 
 
-@query("srt16_day_pick", mix_sql("(SELECT range AS day FROM range(400))", "day", "97"))
+@query("srt16_day_pick", mix_sql("(SELECT o_orderkey AS day FROM orders)", "day", "97"))
 def day_pick_query(spark, d):
-    days = spark.range(0, 400).select(F.col("id").alias("day"))
+    """A day's place in a cycle of 97, for the keys of orders as days."""
+    days = table(spark, d, "orders").select(F.col("o_orderkey").alias("day"))
     return days.select("day", day_pick(F.col("day"), F.lit(97)).alias("pick"))
 
 

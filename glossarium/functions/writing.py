@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossarium.plans.registry import query
@@ -11,12 +11,27 @@ from glossarium.plans.tables import ENTRIES, entries, table
 W = f"WITH {ENTRIES}"
 
 
-def listed(spark, words: list[str]):
-    return spark.createDataFrame([(k, w) for k, w in enumerate(words)], "n int, word string")
+#: The test tables hold no Hangul: letters of names stand for syllables, one for one.
+LETTERS, SYLLABLES_OF = "abcdefghijklmnopqrstuvwxyz", "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+
+
+def hangul_of(c: Column) -> Column:
+    return F.translate(F.lower(c), LETTERS, SYLLABLES_OF)
+
+
+def listed(spark, d: str, words: list[str]) -> DataFrame:
+    """(n, word) for each part: one of the words by its key, alone, behind the part's name in Hangul or before it."""
+    p, n = table(spark, d, "part"), F.col("p_partkey")
+    word = F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    name, kind = hangul_of(F.col("p_name")), F.floor(n / len(words)) % 3
+    return p.select(n.alias("n"), F.when(kind == 1, F.concat(name, word)).when(kind == 2, F.concat(word, name)).otherwise(word).alias("word"))
 
 
 def values(words: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({k}, '{w}')" for k, w in enumerate(words)) + ") t(n, word)"
+    """The same for DuckDB."""
+    quoted = ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    name = f"translate(lower(p_name), '{LETTERS}', '{SYLLABLES_OF}')"
+    return f"(SELECT n, CASE kind WHEN 1 THEN name || w WHEN 2 THEN w || name ELSE w END AS word FROM (SELECT p_partkey AS n, [{quoted}][p_partkey % {len(words)} + 1] AS w, {name} AS name, p_partkey // {len(words)} % 3 AS kind FROM part)) t"
 
 
 POINTERS = ["(가고, 가니)→ 가다 1", "→ 나다", "no pointer", "→춥다2", ""]
@@ -26,7 +41,7 @@ POINTERS = ["(가고, 가니)→ 가다 1", "→ 나다", "no pointer", "→춥
 def parse_pointer(spark, d):
     """Inflected forms, lemma and homonym number of a cross-reference; empty where there is none."""
     part = lambda k: F.regexp_extract("word", r"^(?:\(([^)]*)\))?\s*→\s*([^0-9 ]+)\s*([0-9]*)$", k)
-    return listed(spark, POINTERS).select("n", part(1).alias("forms"), part(2).alias("lemma"), F.nullif(part(3), F.lit("")).cast("int").alias("homonym"))
+    return listed(spark, d, POINTERS).select("n", part(1).alias("forms"), part(2).alias("lemma"), F.nullif(part(3), F.lit("")).cast("int").alias("homonym"))
 
 
 BRACKETED = ["학교(學校)", "가다 [동사]", "school", "나무", "(x)", "물고기(fish)들"]
@@ -36,7 +51,7 @@ BRACKETED = ["학교(學校)", "가다 [동사]", "school", "나무", "(x)", "
 def clean_word(spark, d):
     """A word without bracketed parts; null unless Hangul alone is left."""
     w = F.trim(F.regexp_replace("word", r"\([^()]*\)|\[[^\[\]]*\]", ""))
-    return listed(spark, BRACKETED).select("n", F.when(w.rlike("^[가-힣]+( [가-힣]+)*$"), w).alias("word"))
+    return listed(spark, d, BRACKETED).select("n", F.when(w.rlike("^[가-힣]+( [가-힣]+)*$"), w).alias("word"))
 
 
 #: Vowels of pinyin, and each with the four tone marks in turn.
@@ -65,7 +80,7 @@ FROM (SELECT *, CAST(CASE WHEN instr(lower(base), 'a') > 0 THEN instr(lower(base
 FROM (SELECT n, regexp_replace(replace(replace(word, 'u:', 'ü'), 'U:', 'Ü'), '[1-5]$', '') AS base, regexp_extract(word, '([1-4])$', 1) AS tone FROM {values(SYLLABLES)}))""",
 )
 def tone_marks(spark, d):
-    return listed(spark, SYLLABLES).select("n", tone_mark(F.col("word")).alias("marked"))
+    return listed(spark, d, SYLLABLES).select("n", tone_mark(F.col("word")).alias("marked"))
 
 
 @query("str21_html_parts", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\\s]+', ' ', 'g')) AS body FROM pages")
@@ -96,7 +111,7 @@ def dates(spark, d):
     """The first date of a free text; null where there is none or no such day."""
     part = lambda k: F.regexp_extract("word", _DATE, k)
     day = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-    return listed(spark, DATES).select("n", day.try_cast("date").alias("day"))
+    return listed(spark, d, DATES).select("n", day.try_cast("date").alias("day"))
 
 
 VIEWS = ["학교에, 간다!", "a 학교 b", "", "가  나"]
@@ -105,7 +120,7 @@ VIEWS = ["학교에, 간다!", "a 학교 b", "", "가  나"]
 @query("str27_views", f"SELECT n, regexp_replace(word, '[^가-힣]', '', 'g') AS compact, trim(regexp_replace(word, '[^가-힣]+', ' ', 'g')) AS spaced FROM {values(VIEWS)}")
 def views(spark, d):
     """Text for matching without and with word boundaries."""
-    return listed(spark, VIEWS).select("n", F.regexp_replace("word", "[^가-힣]", "").alias("compact"), F.trim(F.regexp_replace("word", "[^가-힣]+", " ")).alias("spaced"))
+    return listed(spark, d, VIEWS).select("n", F.regexp_replace("word", "[^가-힣]", "").alias("compact"), F.trim(F.regexp_replace("word", "[^가-힣]+", " ")).alias("spaced"))
 
 
 @query("str29_gap", f"{W} SELECT id, replace(gloss, headword, '____') AS question, headword AS answer FROM entries WHERE contains(gloss, headword)")
@@ -118,7 +133,7 @@ STEMS = ["가다", "학교", "춥다", "다", ""]
 
 @query("str30_stem_of", f"SELECT n, CASE WHEN length(word) > 1 THEN regexp_replace(word, '다$', '') ELSE word END AS stem FROM {values(STEMS)}")
 def stem_of(spark, d):
-    return listed(spark, STEMS).select("n", F.when(F.length("word") > 1, F.regexp_replace("word", "다$", "")).otherwise(F.col("word")).alias("stem"))
+    return listed(spark, d, STEMS).select("n", F.when(F.length("word") > 1, F.regexp_replace("word", "다$", "")).otherwise(F.col("word")).alias("stem"))
 
 
 @query("str31_url_encode", f"{W} SELECT id, url_encode(headword) AS encoded FROM entries")

@@ -71,9 +71,10 @@ def words_with(spark, d):
     return entries(spark, d).filter(F.instr("headword", "g") > 0).select("rank", "pack", "id").orderBy("rank", "pack", "id").offset(10).limit(20)
 
 
-@query("fn04_splitmix", mix_sql("(SELECT range AS day FROM range(1000))", "day", "1009"))
+@query("fn04_splitmix", mix_sql("(SELECT l_orderkey * 10 + l_linenumber AS day FROM lineitem)", "day", "1009"))
 def splitmix(spark, d):
-    return spark.range(0, 1000).select(F.col("id").alias("day")).select("day", day_pick(F.col("day"), F.lit(1009)).alias("pick"))
+    days = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("day"))
+    return days.select("day", day_pick(F.col("day"), F.lit(1009)).alias("pick"))
 
 
 _POOL = "pool AS (SELECT id, hw_norm, row_number() OVER (ORDER BY id) - 1 AS n FROM entries WHERE level = 3 AND kind = 'word')"

@@ -48,7 +48,7 @@ def _letter_sql(text: str, k: str) -> str:
 
 @query("str05_romanize", "SELECT n, coalesce(array_to_string([CASE WHEN regexp_matches(c, '[가-힣]') THEN " + " || ".join((_letter_sql(ROMAN_INITIALS, "(unicode(c) - 44032) // 588"), _letter_sql(ROMAN_VOWELS, "(unicode(c) - 44032) % 588 // 28"), _letter_sql(ROMAN_FINALS, "(unicode(c) - 44032) % 28"))) + f" WHEN c = '-' THEN '' ELSE c END for c in string_split(word, '')], ''), '') AS roman FROM {values(ROMANIZED)}")
 def romanize_query(spark, d):
-    return listed(spark, ROMANIZED).select("n", romanize(F.col("word")).alias("roman"))
+    return listed(spark, d, ROMANIZED).select("n", romanize(F.col("word")).alias("roman"))
 
 
 PAIRS = [("gajida", "가지다"), ("-aseo", "-아서"), ("school", "학교"), ("hakgyo", "학교"), ("hagkyo", "학교"), ("Hakgyo", "학교"), ("x", "abc"), ("", "가")]

@@ -261,4 +261,4 @@ FORMS_BY_RANK = ["먹어요", "먹고", "말했어요", "말해", "시작했다"
 
 @query("ag16_min_stem_rank", f"WITH e AS (SELECT unnest([{', '.join(f"'{e}'" for e in dict.fromkeys(ENDINGS))}]) AS rest), c AS (SELECT n AS rank, left(word, k) AS stem, substr(word, k + 1) AS tail FROM (SELECT n, word, unnest(range(1, length(word))) AS k FROM {values(FORMS_BY_RANK)})), s AS (SELECT rank, stem FROM c WHERE tail IN (SELECT rest FROM e) UNION ALL SELECT rank, stem || '하' FROM c WHERE tail[1] IN ('해', '했') AND (substr(tail, 2) = '' OR substr(tail, 2) IN (SELECT rest FROM e))) SELECT stem, min(rank) AS rank FROM s GROUP BY stem")
 def stem_ranks_query(spark, d):
-    return stem_ranks(listed(spark, FORMS_BY_RANK).select("word", F.col("n").alias("rank")))
+    return stem_ranks(listed(spark, d, FORMS_BY_RANK).select("word", F.col("n").alias("rank")))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossarium.functions.english import _lemmas_sql
+from glossarium.functions.writing import LETTERS, SYLLABLES_OF, hangul_of
 from glossarium.plans.postings import Postings, indexed
 from glossarium.plans.registry import query
-from glossarium.plans.router import Lexicon, english_many, lexicon
+from glossarium.plans.router import Lexicon, english_many, lexicon, lookup_in_text, search
 from glossarium.plans.tables import table
 from glossarium.sources.shared import own_dir
 
@@ -86,3 +87,38 @@ SELECT q, CAST(n AS INT) AS n, pack, id, 'fts' AS via FROM r WHERE n <= 100"""
 def search_english(spark, d):
     """search_english's whole rule for a table of queries, over a dictionary written as files; words aren't stemmed, so that SQL can say the same."""
     return english_many(stored_lexicon(spark, d, False), box_queries(spark, d), stemmed=False)
+
+
+def korean_lexicon(spark, d) -> Lexicon:
+    """Parts as entries whose headwords are their names in Hangul, some of them verbs, with English glosses; written as files."""
+    p = table(spark, d, "part")
+    rows = part_rows(spark, d).drop("headword", "forms").join(p.select(F.col("p_partkey").cast("long").alias("id"), hangul_of(F.col("p_name")).alias("headword"), "p_name"), "id")
+    rows = rows.withColumn("headword", F.when(F.col("id") % 7 == 0, F.concat("headword", F.lit("다"))).otherwise(F.col("headword"))).withColumn("forms", F.split("headword", " "))
+    folder = f"{own_dir(spark)}/lexicon-{uuid.uuid4().hex}"
+    lexicon(rows.drop("p_name")).write(folder)
+    return Lexicon.read(spark, folder)
+
+
+#: Names, their beginnings, initials, mixed scripts and English, as typed; letters stand for syllables as in the lexicon.
+TYPED = ["cold ring", "small", "re", "hot gearda"]
+BESIDE = ["ring", "to economy", "brand#1", "Ｂｒａｎｄ", ""]
+
+
+@query("qry01_search")
+def search_query(spark, d):
+    lex = korean_lexicon(spark, d)
+    mapped = str.maketrans(LETTERS, SYLLABLES_OF)
+    typed = [w.translate(mapped) for w in TYPED]
+    out = None
+    for q in [*typed, typed[1] + " ring", *BESIDE]:
+        got = search(lex, q).select(F.lit(q).alias("q"), "n", "pack", "id", "via")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("qry23_lookup_in_text")
+def lookup_query(spark, d):
+    """A tap into each part's name in Hangul, with a particle behind it, at a place that its key decides."""
+    p = table(spark, d, "part")
+    taps = p.select(F.col("p_partkey").alias("tap"), F.concat(hangul_of(F.col("p_name")), F.lit("는 "), F.lower("p_type")).alias("text"), (F.col("p_partkey") % 12).cast("int").alias("offset"))
+    return lookup_in_text(korean_lexicon(spark, d), taps)

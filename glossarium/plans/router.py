@@ -15,7 +15,6 @@ from glossarium.functions.english import base_forms
 from glossarium.functions.hangul import INITIALS, initials
 from glossarium.functions.korean import modern_spellings, normalized
 from glossarium.functions.stemming import porter
-from glossarium.plans.registry import query
 from glossarium.plans.postings import Postings, asked_words, indexed, search_postings, weighted_bm25
 from glossarium.plans.tables import gloss_items, hw_norm
 from glossarium.sources.shared import cut
@@ -324,7 +323,7 @@ def lookup_in_text(lex: Lexicon, taps: DataFrame, rows: int = 20) -> DataFrame:
     return one.select("tap", n.alias("n"), "begin", "end", "pack", "id").filter(F.col("n") <= rows)
 
 
-# A small dictionary of this project's own; the test tables hold no Korean.
+# A small dictionary of this project's own, for tests; the test tables hold no Korean.
 
 WORDS = [
     # id, pack, headword, hanja, pos, gloss, def, rank, level, old, forms
@@ -357,22 +356,4 @@ def small_lexicon(spark: SparkSession) -> Lexicon:
     return lexicon(rows.withColumn("forms", F.filter(F.split("forms", " "), lambda x: x != "")))
 
 
-QUERIES = ["바다", "ㅂㄷ", "걸어요", "바다 student", "學生", "studied", "to close", "Ｓｅａ", "가까워서", ""]
-
-
-@query("qry01_search")
-def search_query(spark, d):
-    lex = small_lexicon(spark)
-    out = None
-    for q in QUERIES:
-        got = search(lex, q).select(F.lit(q).alias("q"), "n", "pack", "id", "via")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 TAPS = [(1, "푸른 바다를 보았다", 4), (2, "𠀀 學生會의 일", 4), (3, "셔울 가다", 1), (4, "연필로", 2), (5, "hello", 1), (6, "가온", 2), (7, "바다표범이", 0), (8, "걸어서 가요", 3)]
-
-
-@query("qry23_lookup_in_text")
-def lookup_query(spark, d):
-    return lookup_in_text(small_lexicon(spark), spark.createDataFrame(TAPS, "tap int, text string, offset int"))
