@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("operators.lookup", "operators.linkage", "operators.summary", "operators.ranking", "operators.sets", "operators.curation", "operators.corpus", "functions.text", "functions.hangul", "functions.conjugation", "functions.values", "plans.search", "sources.readers", "streaming.reviews", "functions.writing", "operators.desk", "sources.sinks", "functions.english", "functions.korean", "functions.markup", "sources.dictionaries", "operators.lessons", "plans.postings", "plans.router", "plans.lexica", "sources.exports", "operators.rules", "operators.library", "operators.longest", "operators.claims", "operators.capped", "operators.similar", "operators.bridge", "operators.hanja")
+_MODULES = ("operators.lookup", "operators.linkage", "operators.summary", "operators.ranking", "operators.sets", "operators.curation", "operators.corpus", "functions.text", "functions.hangul", "functions.conjugation", "functions.values", "plans.search", "sources.readers", "streaming.reviews", "functions.writing", "operators.desk", "sources.sinks", "functions.english", "functions.korean", "functions.markup", "sources.dictionaries", "operators.lessons", "plans.postings", "plans.router", "plans.lexica", "sources.exports", "sources.archives", "operators.rules", "operators.library", "operators.longest", "operators.claims", "operators.capped", "operators.similar", "operators.bridge", "operators.hanja")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
