@@ -2,11 +2,12 @@
 
 Rows choose among options one after the other. Instead of a loop over rows,
 each round lets every open row of every group propose its best option under
-the claims known so far. Up to the first row of a group whose proposal is a new
-claim nothing can change any more, so those rows are settled; the claim is
-noted, and the next round goes on behind it. There are as many rounds as a
-group has options that anyone claims, whatever its number of rows; a group's
-rows are never in one task, only its claims are one short list.
+the claims known so far. Before the first row of a group whose proposal is a
+new claim nothing can change any more, so those rows are settled. From that row
+on, a block of the group's next rows is folded in order, which claims more; the
+next round goes on behind it. Once a group's options are claimed, all its other
+rows settle at once. No task has more of a group than a block of its rows and
+the list of its claims.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossarium.functions.korean import hint_score, pos_fit
+from glossarium.operators.capped import first_of
 from glossarium.operators.corpus import connected_components
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
@@ -25,6 +27,8 @@ HINT, LEVEL, HOMONYM, CLAIMED = 5, 8, 3, 15
 #: The fit of a part of speech, or else of the hint, that a choice needs.
 FIT, HINT_FIT = 30, 3
 DERIVED = ("하다", "되다")
+#: Rows of a group that a round folds in order.
+BLOCK = 256
 
 
 def _choice(options: Column, claimed: Column) -> Column:
@@ -38,6 +42,18 @@ def _choice(options: Column, claimed: Column) -> Column:
     return F.get(F.filter(first, lambda o: o["fits"]), F.lit(0))["id"]
 
 
+def _fold(rows: Column, claimed: Column) -> Column:
+    """(claimed, chosen) after a block of rows, one after the other."""
+    start = F.struct(claimed.alias("claimed"), F.array().cast("array<struct<row:bigint,id:bigint>>").alias("chosen"))
+
+    def step(acc: Column, x: Column) -> Column:
+        # the choice is computed once: as the only element of an array
+        picked = F.transform(F.array(_choice(x["options"], acc["claimed"])), lambda i: F.struct(F.when(i.isNull() | F.array_contains(acc["claimed"], i), acc["claimed"]).otherwise(F.concat(acc["claimed"], F.array(i))).alias("claimed"), F.concat(acc["chosen"], F.array(F.struct(x["row"].alias("row"), i.alias("id")))).alias("chosen")))
+        return F.get(picked, F.lit(0))
+
+    return F.aggregate(rows, start, step)
+
+
 def choose(rows: DataFrame, options: DataFrame) -> DataFrame:
     """(row, id) for rows (row, ord): the id that each chooses in the order of ord, or null.
 
@@ -60,15 +76,19 @@ def choose(rows: DataFrame, options: DataFrame) -> DataFrame:
         proposed = left.join(claims, "grp", "left").withColumn("claimed", F.coalesce("claimed", F.array().cast("array<long>")))
         proposed = cut(proposed.withColumn("id", _choice(F.col("options"), F.col("claimed"))), "proposed")
         fresh = proposed.filter(F.col("id").isNotNull() & ~F.array_contains("claimed", F.col("id")))
-        first = cut(fresh.groupBy("grp").agg(F.min(F.struct("ord", "id", "claimed")).alias("f")).select("grp", F.col("f.ord").alias("until"), F.concat("f.claimed", F.array("f.id")).alias("next")), "first")
-        both = proposed.join(first, "grp", "left")
-        settled.append(cut(both.filter("until IS NULL OR ord <= until").select("row", "id"), "settled"))
-        rest = cut(both.filter("ord > until").select("row", "ord", "grp", "options"), "open")
-        claims = cut(first.select("grp", F.col("next").alias("claimed")), "claims")
-        uncut(left, proposed, first)
-        left = rest
-        if left.isEmpty():
+        both = proposed.join(fresh.groupBy("grp").agg(F.min("ord").alias("until")), "grp", "left")
+        settled.append(cut(both.filter("until IS NULL OR ord < until").select("row", "id"), "settled"))
+        open_rows = cut(both.filter("ord >= until").select("row", "ord", "grp", "options", "claimed"), "open")
+        uncut(left)
+        if open_rows.isEmpty():
             break
+        block = first_of(open_rows, ["grp"], ["ord"], BLOCK)
+        block = block.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("ord", "row", "options"))).alias("rows"), F.first("claimed").alias("claimed"))
+        block = cut(block.select("grp", F.element_at("rows", -1)["ord"].alias("last"), _fold(F.col("rows"), F.col("claimed")).alias("f")), "block")
+        settled.append(block.select(F.explode("f.chosen").alias("x")).select("x.row", "x.id"))
+        claims = block.select("grp", F.col("f.claimed").alias("claimed"))
+        left = cut(open_rows.join(block.select("grp", "last"), "grp").filter("ord > last").select("row", "ord", "grp", "options"), "open")
+        uncut(proposed, open_rows)
     out = nothing
     for s in settled:
         out = out.unionByName(s)
