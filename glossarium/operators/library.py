@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossarium.functions.writing import listed, values
+from glossarium.functions.writing import LETTERS, SYLLABLES_OF, hangul_of, listed, values
 from glossarium.plans.registry import query
 from glossarium.plans.tables import ENTRIES, FORMS, entries, forms, table
 
@@ -46,18 +46,34 @@ def _letter_sql(text: str, k: str) -> str:
     return "[" + ", ".join(f"'{x}'" for x in _roman(text)) + f"][CAST({k} AS INT) + 1]"
 
 
-@query("str05_romanize", "SELECT n, coalesce(array_to_string([CASE WHEN regexp_matches(c, '[가-힣]') THEN " + " || ".join((_letter_sql(ROMAN_INITIALS, "(unicode(c) - 44032) // 588"), _letter_sql(ROMAN_VOWELS, "(unicode(c) - 44032) % 588 // 28"), _letter_sql(ROMAN_FINALS, "(unicode(c) - 44032) % 28"))) + f" WHEN c = '-' THEN '' ELSE c END for c in string_split(word, '')], ''), '') AS roman FROM {values(ROMANIZED)}")
+def _roman_sql(word: str) -> str:
+    letters = " || ".join((_letter_sql(ROMAN_INITIALS, "(unicode(c) - 44032) // 588"), _letter_sql(ROMAN_VOWELS, "(unicode(c) - 44032) % 588 // 28"), _letter_sql(ROMAN_FINALS, "(unicode(c) - 44032) % 28")))
+    return f"coalesce(array_to_string([CASE WHEN regexp_matches(c, '[가-힣]') THEN {letters} WHEN c = '-' THEN '' ELSE c END for c in string_split({word}, '')], ''), '')"
+
+
+@query("str05_romanize", f"SELECT n, {_roman_sql('word')} AS roman FROM {values(ROMANIZED)}")
 def romanize_query(spark, d):
     return listed(spark, d, ROMANIZED).select("n", romanize(F.col("word")).alias("roman"))
 
 
-PAIRS = [("gajida", "가지다"), ("-aseo", "-아서"), ("school", "학교"), ("hakgyo", "학교"), ("hagkyo", "학교"), ("Hakgyo", "학교"), ("x", "abc"), ("", "가")]
+_NAME = f"translate(lower(replace(p_name, ' ', '')), '{LETTERS}', '{SYLLABLES_OF}')"
 
 
-@query("str05_looks_romanized", "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, false), (5, false), (6, false), (7, false)) t(n, romanized)")
+@query(
+    "str05_looks_romanized",
+    f"""WITH h AS (SELECT p_partkey AS id, {_NAME} AS headword, {_roman_sql(_NAME)} AS roman, replace(p_name, ' ', '') AS name FROM part),
+l AS (SELECT id, headword, CASE id % 6 WHEN 0 THEN roman WHEN 1 THEN '-' || roman || '-' WHEN 2 THEN 'x' || substr(roman, 2) WHEN 3 THEN name WHEN 4 THEN upper(roman) ELSE replace(roman, 'a', 'oo') END AS lemma FROM h),
+b AS (SELECT *, regexp_replace(trim(lemma), '^-+|-+$', '', 'g') AS bare FROM l)
+SELECT id, regexp_full_match(bare, '[a-z]+') AND headword <> '' AND levenshtein({_roman_sql('headword')}, bare) <= greatest(length(bare) // 4, 1) AS romanized FROM b""",
+)
 def looks_romanized_query(spark, d):
-    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(PAIRS)], "n int, lemma string, headword string")
-    return rows.select("n", looks_romanized(F.col("lemma"), F.col("headword")).alias("romanized"))
+    """Names of parts in Hangul beside their romanisation as it is, with hyphens, with a letter or many changed, in capitals, and beside another word."""
+    p = table(spark, d, "part")
+    name = F.replace("p_name", F.lit(" "), F.lit(""))
+    x = p.select(F.col("p_partkey").alias("id"), hangul_of(name).alias("headword"), name.alias("name")).withColumn("roman", romanize(F.col("headword")))
+    k, roman = F.col("id") % 6, F.col("roman")
+    lemma = F.when(k == 0, roman).when(k == 1, F.concat(F.lit("-"), roman, F.lit("-"))).when(k == 2, F.concat(F.lit("x"), F.substr("roman", F.lit(2)))).when(k == 3, F.col("name")).when(k == 4, F.upper("roman")).otherwise(F.replace(roman, F.lit("a"), F.lit("oo")))
+    return x.select("id", looks_romanized(lemma, F.col("headword")).alias("romanized"))
 
 
 # Study lists
