@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossarium.functions.english import _lemmas_sql
 from glossarium.functions.writing import LETTERS, SYLLABLES_OF, hangul_of
-from glossarium.plans.postings import Postings, indexed
+from glossarium.plans.postings import indexed
 from glossarium.plans.registry import query
 from glossarium.plans.router import Lexicon, english_many, lexicon, lookup_in_text, search
 from glossarium.plans.tables import table

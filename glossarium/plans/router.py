@@ -8,13 +8,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from glossarium.functions.conjugation import candidates
 from glossarium.functions.english import base_forms
 from glossarium.functions.hangul import INITIALS, initials
 from glossarium.functions.korean import modern_spellings, normalized
-from glossarium.functions.stemming import porter
+from glossarium.functions.stemming import porter  # noqa: F401
 from glossarium.plans.postings import Postings, asked_words, indexed, search_postings, weighted_bm25
 from glossarium.plans.tables import gloss_items, hw_norm
 from glossarium.sources.shared import cut

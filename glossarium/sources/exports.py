@@ -7,7 +7,6 @@ import zipfile
 from xml.etree import ElementTree
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,37 +64,51 @@ def import_chunks(spark: SparkSession, path: str, manifest: DataFrame, schema: s
 # Digests
 
 def strong_digest(df: DataFrame) -> DataFrame:
-    """One row: how many rows, and 128 bits over them that don't depend on their order: the exclusive or, and the sum, of a hash of each row's typed cells."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(df.columns)]
-    h = F.xxhash64(*cells)
-    both = df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
-    return both.select("n", F.concat(F.hex(F.coalesce("x", F.lit(0))), F.lit("-"), F.coalesce("s", F.lit(0)).cast("string")).alias("digest"))
+    """One row: how many rows, and two sums over them that don't depend on their order, of two parts of the SHA-256 of a row's cells.
 
+    A cell is its type, the number of its bytes and its text, or its type alone
+    for null, so that no other cells or types give the same row.
+    """
+    kinds = dict(df.dtypes)
 
-@query("snk04_strong_digest")
-def strong_digest_query(spark, d):
-    return strong_digest(entries(spark, d))
+    def cell(c: str) -> Column:
+        text = F.col(f"`{c}`").cast("string")
+        return F.concat(F.lit(f"{kinds[c]}:"), F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
 
+    h = F.sha2(F.concat(*(cell(c) for c in sorted(df.columns))), 256)
+    part = lambda k: F.sum(F.conv(F.substring(h, k, 15), 16, 10).cast("decimal(38,0)"))
+    both = df.agg(F.count("*").alias("n"), part(1).alias("a"), part(16).alias("b"))
+    return both.select("n", F.concat_ws("-", F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string")).alias("digest"))
 
-_FNV = (1469598103934665603, 1099511628211)
 
+_CELL = lambda kind, c: f"'{kind}:' || coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
 
-def fnv1a(text: Column) -> Column:
-    """The 64-bit FNV-1a hash of a text's UTF-8 bytes, unsigned, as text."""
 
-    @F.pandas_udf("string")
-    def of(words: pd.Series) -> pd.Series:
-        def one(w: str | None) -> str | None:
-            if w is None:
-                return None
-            h = _FNV[0]
-            for b in w.encode():
-                h = (h ^ b) * _FNV[1] & 0xFFFFFFFFFFFFFFFF
-            return str(h)
+@query("snk04_strong_digest", f"{W}, h AS (SELECT sha256(" + " || ".join(_CELL(kind, c) for c, kind in sorted({"id": "bigint", "pack": "string", "source": "string", "headword": "string", "hw_norm": "string", "kind": "string", "level": "int", "rank": "bigint", "gloss": "string"}.items())) + ") AS h FROM entries) SELECT count(*) AS n, CAST(sum(CAST('0x' || h[1:15] AS HUGEINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || h[16:30] AS HUGEINT)) AS VARCHAR) AS digest FROM h")
+def strong_digest_query(spark, d):
+    return strong_digest(entries(spark, d))
+
 
-        return words.map(one).astype(object)
+#: Fixed values of the hash: its start, in halves of 32 bits, and what is left of its factor, 2 ** 40 + 435.
+_FNV_HIGH, _FNV_LOW, _FNV_FACTOR = 0x14650FB0, 0x739D0383, 435
+_HALF = 0xFFFFFFFF
+_FNV = (_FNV_HIGH << 32 | _FNV_LOW, (1 << 40) + _FNV_FACTOR)
 
-    return of(text)
+
+def fnv1a(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes, unsigned, as text; in halves, for a long has no room for the product."""
+    raw = F.hex(text.cast("binary"))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), lambda k: k <= F.octet_length(text))
+    half = lambda c: c.bitwiseAND(F.lit(_HALF).cast("long"))
+
+    def step(acc: Column, k: Column) -> Column:
+        low = acc["low"].bitwiseXOR(F.conv(F.substr(raw, 2 * k - 1, F.lit(2)), 16, 10).cast("long"))
+        product = low * _FNV_FACTOR
+        return F.struct(half(acc["high"] * _FNV_FACTOR + F.shiftright(product, 32) + F.shiftleft(low, 8)).alias("high"), half(product).alias("low"))
+
+    start = F.struct(F.lit(_FNV_HIGH).cast("long").alias("high"), F.lit(_FNV_LOW).cast("long").alias("low"))
+    h = F.aggregate(places, start, step)
+    return F.when(text.isNotNull(), (h["high"].cast("decimal(20,0)") * F.lit(1 << 32) + h["low"]).cast("decimal(20,0)").cast("string"))
 
 
 @query("fn04_fnv1a", f"{W} SELECT headword, CAST(list_reduce(list_prepend({_FNV[0]}::UHUGEINT, [unicode(c)::UHUGEINT for c in string_split(headword, '')]), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::UHUGEINT * {_FNV[1]}::UHUGEINT) % 18446744073709551616::UHUGEINT) AS VARCHAR) AS h FROM (SELECT DISTINCT headword FROM entries)")

@@ -140,6 +140,17 @@ def test_digest_sees_every_cell_and_no_order(spark):
     b = spark.createDataFrame([(2, None), (1, "x"), (2, None)], "k int, w string")
     c = spark.createDataFrame([(2, None), (1, "x"), (2, "")], "k int, w string")
     assert exports.strong_digest(a).first() == exports.strong_digest(b).first() != exports.strong_digest(c).first()
+    cells = lambda kind, *rows: exports.strong_digest(spark.createDataFrame([(x,) for x in rows], f"v {kind}")).first()["digest"]
+    assert len({cells("string", None), cells("string", "\x00"), cells("string", "-"), cells("string", ""), cells("string", "1"), cells("int", 1), cells("long", 1), cells("string", "1", "1"), cells("string")}) == 9
+    odd = ["", "a", "é學🙂", "x" * 300]
+    h = {}
+    for w in odd:
+        v = 1469598103934665603
+        for b in w.encode():
+            v = (v ^ b) * 1099511628211 % (1 << 64)
+        h[w] = str(v)
+    got = spark.createDataFrame([(w,) for w in [*odd, None]], "w string").select("w", exports.fnv1a(exports.F.col("w")).alias("h")).collect()
+    assert {r.w: r.h for r in got} == {**h, None: None}
 
 
 def test_catalogue(spark):
