@@ -47,8 +47,8 @@ def test_runs(name, spark):
     assert registry.queries()[name](spark, DATA).count() > 0
 
 
-def test_prefix_reaches_the_scan(spark):
-    plan = registry.queries()["flt14_is_sentence"](spark, DATA)._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<item_id" in plan
-    plan = registry.queries()["flt05_like_escape"](spark, DATA)._jdf.queryExecution().toString()
-    assert "Python" not in plan
+def test_plans_read_few_columns_and_stay_in_the_jvm(spark):
+    plan = registry.queries()["flt14_is_sentence"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<item_id" in plan and "Python" not in plan
+    for name in ("flt05_like_escape", "fn04_fnv1a", "str17_hun_eum", "ag15_interacting_caps"):
+        assert "Python" not in registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
