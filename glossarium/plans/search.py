@@ -159,7 +159,9 @@ def overview(spark, d):
 
 @query("qry27_game_words", f"{W} SELECT headword, arg_min(id, CAST(coalesce(level, 9) AS BIGINT) * 1000000000 + rank * 1000 + id % 1000) AS id FROM entries WHERE kind = 'word' AND length(gloss) <= 60 GROUP BY headword")
 def game_words(spark, d):
+    """Of words that tie the least id, which is the first in the table."""
     key = F.coalesce("level", F.lit(9)).cast("long") * 1_000_000_000 + F.col("rank") * 1000 + F.col("id") % 1000
+    key = F.when(key.isNotNull(), F.struct(key.alias("key"), "id"))
     return entries(spark, d).filter((F.col("kind") == "word") & (F.length("gloss") <= 60)).groupBy("headword").agg(F.min_by("id", key).alias("id"))
 
 

@@ -32,3 +32,9 @@ def parts(rows):
 def test_curriculum_keeps_kinds_without_homonym_apart(same_as_sql):
     rows = same_as_sql("src17_curriculum", part=parts([(1, "cold ring", "Brand#1", "SMALL", 1, 9.5), (7, "cold ring", "Brand#1", "SMALL", 2, 9.5), (13, "cold ring", "Brand#1", "SMALL", 4, 9.5), (19, "cold ring", "Brand#1", "SMALL", 3, 9.5)]))
     assert sorted(r[-1] for r in rows) == [1, 1, 2]
+
+
+def test_game_words_that_tie(same_as_sql):
+    # 1024 and 4024 differ in nothing that orders them; two files' worth of rows would leave it to chance
+    rows = same_as_sql("qry27_game_words", part=parts([(1024 + 3000 * k, "cold ring", "Brand#1", "SMALL", 3, 9.5) for k in range(40)] + [(5, "hot ring", "Brand#1", "SMALL", 3, None)]))
+    assert dict(rows)["cold ring"] == min(i for i in (1024 + 3000 * k for k in range(40)) if i % 6 == 4 and i % 1000 == 24)
