@@ -92,9 +92,12 @@ def top3_per_key(spark, d):
 
 @query("jn19_three_way", "SELECT ko, min_by(en, l_linenumber) AS en FROM (SELECT c.c_name AS ko, l.l_linenumber + l.l_orderkey * 10 AS l_linenumber, s.s_name AS en FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey) GROUP BY ko")
 def three_way(spark, d):
-    x = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Of lines that tie the first in the table's files, as a reader of one thread finds it."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    x = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     x = x.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    return x.groupBy(F.col("c_name").alias("ko")).agg(F.min_by("s_name", F.col("l_linenumber") + F.col("l_orderkey") * 10).alias("en"))
+    key = F.col("l_linenumber") + F.col("l_orderkey") * 10
+    return x.groupBy(F.col("c_name").alias("ko")).agg(F.min_by("s_name", F.when(key.isNotNull(), F.struct(key.alias("key"), "file", "row"))).alias("en"))
 
 
 @query("jn20_lookup_ladder", f"{W} SELECT e.id, coalesce(a.g, b.g) AS english FROM entries e LEFT JOIN (SELECT hw_norm, kind, pack, min(gloss) AS g FROM entries WHERE source = 'Brand#2' GROUP BY ALL) a ON a.hw_norm = e.hw_norm AND a.kind = e.kind AND a.pack = e.pack LEFT JOIN (SELECT hw_norm, kind, min(gloss) AS g FROM entries WHERE source = 'Brand#2' GROUP BY ALL HAVING count(*) = 1) b ON b.hw_norm = e.hw_norm AND b.kind = e.kind")

@@ -38,3 +38,18 @@ def test_game_words_that_tie(same_as_sql):
     # 1024 and 4024 differ in nothing that orders them; two files' worth of rows would leave it to chance
     rows = same_as_sql("qry27_game_words", part=parts([(1024 + 3000 * k, "cold ring", "Brand#1", "SMALL", 3, 9.5) for k in range(40)] + [(5, "hot ring", "Brand#1", "SMALL", 3, None)]))
     assert dict(rows)["cold ring"] == min(i for i in (1024 + 3000 * k for k in range(40)) if i % 6 == 4 and i % 1000 == 24)
+
+
+def test_three_way_takes_the_first_of_lines_that_tie(same_as_sql, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        rows = same_as_sql(
+            "jn19_three_way",
+            customer="SELECT i AS c_custkey, 'c' || i % 9 AS c_name FROM range(12) t(i)",
+            orders="SELECT i AS o_orderkey, i % 12 AS o_custkey FROM range(60) t(i)",
+            lineitem="SELECT i * 7 % 60 AS l_orderkey, CAST(CASE WHEN i % 11 = 0 THEN NULL ELSE 1 + i // 300 END AS INT) AS l_linenumber, i * 13 % 50 AS l_suppkey FROM range(600) t(i)",
+            supplier="SELECT i AS s_suppkey, 's' || i AS s_name FROM range(50) t(i)",
+        )
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 9
