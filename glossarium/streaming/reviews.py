@@ -62,6 +62,11 @@ def _shared(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
+def _feed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is a file or a folder of files: a pattern may name either, a plain path only a folder."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def new_items(stream: DataFrame, key: str, out: str) -> None:
     """Append a stream's items to out, each key once, also over several runs: what a refresh brings again is dropped."""
     once = stream.dropDuplicates([key])
@@ -73,9 +78,8 @@ def new_items_query(spark, d):
     """Pages as a feed that is read twice: the second run finds nothing new."""
     out = _shared(spark)
     for _ in range(2):
-        schema = table(spark, d, "pages").schema
-        new_items(spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d).select("url"), "url", out)
-    return spark.read.parquet(out)
+        new_items(_feed(spark, d, "pages").select("url"), "url", out)
+    return spark.read.schema("url string").parquet(out)
 
 
 KEPT = "box int, seen int, good int"
@@ -101,8 +105,7 @@ def deck_updates(stream: DataFrame) -> DataFrame:
 def review_stream(spark, d):
     """Events as a stream of answers; each card's last state."""
     out = _shared(spark)
-    schema = table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = _feed(spark, d, "events")
     updates = deck_updates(rows.select(F.col("user_id").alias("card"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("right")))
     keep = lambda batch, _: batch.write.mode("append").parquet(out)
     updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()

@@ -53,3 +53,11 @@ def test_three_way_takes_the_first_of_lines_that_tie(same_as_sql, spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(rows) == 9
+
+
+def test_feeds_of_folders(spark, tmp_path):
+    url = [(f"u{k % 7}", k) for k in range(30)]
+    spark.createDataFrame(url, "url string, page_id long").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.url for r in registry.queries()["stm03_new_items"](spark, str(tmp_path)).collect()) == [f"u{k}" for k in range(7)]
+    spark.sql("SELECT id AS event_id, id % 3 AS user_id, timestamp_seconds(id) AS ts, CASE WHEN id % 4 = 0 THEN 'error' ELSE 'view' END AS event_type FROM range(40)").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted((r.card, r.seen) for r in registry.queries()["stm04_review_stream"](spark, str(tmp_path)).collect()) == [(0, 14), (1, 13), (2, 13)]
