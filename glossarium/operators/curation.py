@@ -18,13 +18,21 @@ def contains(spark, d):
 
 @query("jn22_scored_linkage", f"{W} SELECT want, arg_min(id, (-score, id)) AS id, max(score) AS score FROM (SELECT w.id AS want, e.id, CASE WHEN e.kind = w.kind THEN 4 ELSE 0 END + CASE WHEN e.pack = w.pack THEN 5 ELSE 0 END + CASE WHEN e.level = w.level THEN 8 ELSE 0 END AS score FROM entries w JOIN entries e ON e.hw_norm = w.hw_norm AND e.source <> w.source WHERE w.source = 'Brand#1') GROUP BY want")
 def scored_linkage(spark, d):
-    """The best candidate of each wanted row by fit of kind, pack and level; earlier claims on a candidate don't count."""
+    """The best candidate of each wanted row by fit of kind, pack and level; earlier claims on a candidate don't count.
+
+    Rows that agree in what the score sees are one class, wanted ones and
+    candidates alike, so a name that many rows have doesn't multiply them.
+    """
     e = entries(spark, d)
-    w = e.filter("source = 'Brand#1'").select(F.col("id").alias("want"), "hw_norm", F.col("source").alias("ws"), F.col("kind").alias("wk"), F.col("pack").alias("wp"), F.col("level").alias("wl"))
+    wanted = e.filter("source = 'Brand#1'").select(F.col("id").alias("want"), "hw_norm", F.col("kind").alias("wk"), F.col("pack").alias("wp"), F.col("level").alias("wl"))
+    same = ["hw_norm", "wk", "wp", "wl"]
+    w = wanted.select(same).distinct()
+    e = e.filter("source <> 'Brand#1'").groupBy("hw_norm", "kind", "pack", "level").agg(F.min("id").alias("id"))
     part = lambda on, n: F.when(on, n).otherwise(0)
     score = part(F.col("kind") == F.col("wk"), 4) + part(F.col("pack") == F.col("wp"), 5) + part(F.col("level") == F.col("wl"), 8)
-    best = w.join(e, "hw_norm").filter("source <> ws").groupBy("want").agg(F.min(F.struct((-score).alias("s"), "id")).alias("b"))
-    return best.select("want", F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
+    best = w.join(e, "hw_norm").groupBy(same).agg(F.min(F.struct((-score).alias("s"), "id")).alias("b")).alias("best")
+    on = [F.col(f"wanted.{c}").eqNullSafe(F.col(f"best.{c}")) for c in same]
+    return wanted.alias("wanted").join(best, on).select("want", F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
 
 
 @query("jn25_resolution_ladder", f"{W}, {FORMS}, k AS (SELECT DISTINCT form AS w FROM forms UNION SELECT DISTINCT hw_norm FROM entries WHERE kind = 'idiom') SELECT k.w, coalesce(a.level, b.level) AS level, CASE WHEN a.w IS NOT NULL THEN 'headword' WHEN b.w IS NOT NULL THEN 'form' END AS via FROM k LEFT JOIN (SELECT hw_norm AS w, min(level) AS level FROM entries WHERE kind = 'word' GROUP BY 1) a ON a.w = k.w LEFT JOIN (SELECT f.form AS w, min(e.level) AS level FROM forms f JOIN entries e ON e.id = f.entry_id GROUP BY 1) b ON b.w = k.w")

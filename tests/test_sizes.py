@@ -61,3 +61,11 @@ def test_feeds_of_folders(spark, tmp_path):
     assert sorted(r.url for r in registry.queries()["stm03_new_items"](spark, str(tmp_path)).collect()) == [f"u{k}" for k in range(7)]
     spark.sql("SELECT id AS event_id, id % 3 AS user_id, timestamp_seconds(id) AS ts, CASE WHEN id % 4 = 0 THEN 'error' ELSE 'view' END AS event_type FROM range(40)").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     assert sorted((r.card, r.seen) for r in registry.queries()["stm04_review_stream"](spark, str(tmp_path)).collect()) == [(0, 14), (1, 13), (2, 13)]
+
+
+def test_linkage_by_classes(same_as_sql, spark):
+    rows = same_as_sql("jn22_scored_linkage", part="SELECT i AS p_partkey, 'cold ring ' || i % 3 AS p_name, 'Brand#' || (i % 4 + 1) AS p_brand, ['SMALL', 'LARGE'][i % 2 + 1] AS p_type, CAST(i * 5 % 50 AS INT) AS p_size, 9.5 AS p_retailprice FROM range(4000) t(i)")
+    assert len(rows) == 1000
+    # candidates met by name are classes: the join of 4000 rows makes fewer than one of theirs a row
+    plan = registry.queries()["jn22_scored_linkage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3
