@@ -1,8 +1,11 @@
 """What larger tables have and the small ones lack: ties, folders of files, names with many rows."""
 
+import random
+
 import duckdb
 import pytest
 
+from glossarium.operators import corpus, longest
 from glossarium.plans import registry
 
 
@@ -69,3 +72,26 @@ def test_linkage_by_classes(same_as_sql, spark):
     # candidates met by name are classes: the join of 4000 rows makes fewer than one of theirs a row
     plan = registry.queries()["jn22_scored_linkage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") >= 3
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    return [line for line in plan.split("\n") if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_places_are_looked_up_where_the_text_lies(spark):
+    # only keys are grouped, by their first characters
+    assert all("_groupingexpression" in line for line in exchanges(registry.queries()["srt14_longest_spans"](spark, "/root/testdata/sf0.001")))
+
+
+@pytest.mark.parametrize("parts", [(64, 8, 3), (1 << 15, 1 << 11, 1 << 7)])
+def test_sorted_keys_and_parts_of_texts_give_the_same_matches(spark, monkeypatch, parts):
+    monkeypatch.setattr(longest, "PARTS", parts)
+    text = "".join(random.Random(7).choice(["a", "ab", "바다", " ", "𠀀", "c-", "학"]) for _ in range(900))
+    keys = ["a", "ab", "aba", "바다", "𠀀𠀀", "다 ", *("a" * k for k in range(2, 30))]
+    df = spark.createDataFrame([(1, text, "p"), (2, "", "q"), (3, "학" * 200 + "ab", "q")], "id long, text string, more string")
+    k = spark.createDataFrame([(x,) for x in keys], "key string")
+    want = {(i, at, max((x for x in keys if t.startswith(x, at)), key=len), more) for i, t, more in [tuple(r) for r in df.collect()] for at in range(len(t)) if any(t.startswith(x, at) for x in keys)}
+    for most in (50_000, 0):
+        monkeypatch.setattr(longest, "MOST_KEYS", most)
+        assert {(r.id, r.start, r.key, r.more) for r in longest.matches(df, k, longest.EVERY_PLACE).collect()} == want
