@@ -95,3 +95,10 @@ def test_sorted_keys_and_parts_of_texts_give_the_same_matches(spark, monkeypatch
     for most in (50_000, 0):
         monkeypatch.setattr(longest, "MOST_KEYS", most)
         assert {(r.id, r.start, r.key, r.more) for r in longest.matches(df, k, longest.EVERY_PLACE).collect()} == want
+
+
+def test_spans_move_once_and_without_their_keys(spark):
+    moved = exchanges(registry.queries()["qry23_leftmost_spans"](spark, "/root/testdata/sf0.001"))
+    assert moved and not any("window" in line or "key" in line for line in moved)
+    plan = registry.queries()["qry23_leftmost_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "key#" not in plan.split("Window ")[0]
