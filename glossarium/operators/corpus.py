@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossarium.operators.longest import all_hits, lower
+from glossarium.operators.longest import EVERY_PLACE, all_hits, chains, lower, matches
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
 from glossarium.sources.shared import shared_dir
@@ -49,22 +49,31 @@ def pattern_counts(docs: DataFrame, patterns: DataFrame, by: str, text: str = "t
     return counted.select(F.col("by").alias(by), F.col("key").alias("pattern"), "n", "n_docs")
 
 
-def study(texts: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((corpus, pid, whole, part), (corpus, tokens, syllables, texts)) of texts (id, corpus, text) and patterns (pid, key, partial).
+def study_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(corpus, pid, whole, part) of texts (id, corpus, text) and patterns (pid, key, partial).
 
     whole counts the places where a key of a pattern stands, part those where
     only a partial key of it does: each place of a text counts once for a
-    pattern. Tokens are runs without white space, syllables characters without
-    it. Ids are distinct.
+    pattern. The longest key of a place tells all that stand there, so places
+    are counted by it, and only those counts meet the patterns.
     """
-    hits = all_hits(texts.select("id", "text"), patterns)
-    places = hits.join(patterns, "key").groupBy("id", "pid", "start").agg(F.max((~F.col("partial")).cast("int")).alias("whole"))
-    own = places.groupBy("id", "pid").agg(F.sum("whole").alias("whole"), F.sum(1 - F.col("whole")).alias("part"))
-    counts = own.join(texts.select("id", "corpus"), "id").groupBy("corpus", "pid").agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
+    places = matches(texts, patterns, EVERY_PLACE).groupBy("corpus", "key").agg(F.count("*").alias("n"))
+    begun = chains(patterns).select("key", F.explode("chain").alias("k")).select("key", F.left("key", F.col("k")).alias("begin"))
+    shown = begun.join(patterns.withColumnRenamed("key", "begin"), "begin").groupBy("key", "pid").agg(F.max((~F.col("partial")).cast("int")).alias("whole"))
+    x = places.join(shown, "key")
+    return x.groupBy("corpus", "pid").agg(F.sum(F.col("n") * F.col("whole")).alias("whole"), F.sum(F.col("n") * (1 - F.col("whole"))).alias("part"))
+
+
+def study_totals(texts: DataFrame) -> DataFrame:
+    """(corpus, tokens, syllables, texts) of texts (corpus, text): tokens are runs without white space, syllables characters without it."""
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
     tokens = F.size(F.filter(F.split(bare, " "), lambda w: w != ""))
-    totals = texts.groupBy("corpus").agg(F.sum(tokens).alias("tokens"), F.sum(F.length(F.replace(bare, F.lit(" "), F.lit("")))).alias("syllables"), F.count("*").alias("texts"))
-    return counts, totals
+    return texts.groupBy("corpus").agg(F.sum(tokens).alias("tokens"), F.sum(F.length(F.replace(bare, F.lit(" "), F.lit("")))).alias("syllables"), F.count("*").alias("texts"))
+
+
+def study(texts: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both; neither runs the other."""
+    return study_counts(texts, patterns), study_totals(texts)
 
 
 #: Patterns for the query: some lie inside others, none overlaps itself.
@@ -87,12 +96,12 @@ h AS (SELECT s.id, s.corpus, s.k, p.pid, max(CASE WHEN partial THEN 0 ELSE 1 END
 @query("ag21_study", f"{_STUDY} SELECT corpus, pid, CAST(sum(whole) AS BIGINT) AS whole, CAST(sum(1 - whole) AS BIGINT) AS part FROM h GROUP BY corpus, pid")
 def study_query(spark, d):
     """Words of the benchmark's items as patterns, their first four letters as partial ones, over all documents by language."""
-    return study(*_study(spark, d))[0]
+    return study_counts(*_study(spark, d))
 
 
 @query("ag21_totals", r"WITH t AS (SELECT lang, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) SELECT lang AS corpus, CAST(sum(len(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS BIGINT) AS tokens, CAST(sum(length(replace(t, ' ', ''))) AS BIGINT) AS syllables, count(*) AS texts FROM t GROUP BY lang")
 def totals_query(spark, d):
-    return study(*_study(spark, d))[1]
+    return study_totals(_study(spark, d)[0])
 
 
 def _study(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -102,3 +102,8 @@ def test_spans_move_once_and_without_their_keys(spark):
     assert moved and not any("window" in line or "key" in line for line in moved)
     plan = registry.queries()["qry23_leftmost_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "key#" not in plan.split("Window ")[0]
+
+
+def test_study_counts_places_where_they_are(spark):
+    # what moves are counts by language and key, never places
+    assert not any("start" in line or "doc_id" in line or "id#" in line.replace("pid#", "").replace("plan_id", "") for line in exchanges(registry.queries()["ag21_study"](spark, "/root/testdata/sf0.001")))
