@@ -44,8 +44,7 @@ def components_query(spark, d):
 def pattern_counts(docs: DataFrame, patterns: DataFrame, by: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(by, pattern, n, n_docs): all hits of the patterns (key) in docs, overlapping ones too, by the longest-match join; ids are distinct."""
     own = docs.select(F.col(key).alias("id"), F.col(by).alias("by"), F.col(text).alias("text"))
-    hits = all_hits(own.select("id", "text"), patterns).groupBy("id", "key").agg(F.count("*").alias("k"))
-    counted = hits.join(own.select("id", "by"), "id").groupBy("by", "key").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
+    counted = all_hits(own, patterns).groupBy("id", "by", "key").agg(F.count("*").alias("k")).groupBy("by", "key").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
     return counted.select(F.col("by").alias(by), F.col("key").alias("pattern"), "n", "n_docs")
 
 

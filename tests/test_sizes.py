@@ -107,3 +107,9 @@ def test_spans_move_once_and_without_their_keys(spark):
 def test_study_counts_places_where_they_are(spark):
     # what moves are counts by language and key, never places
     assert not any("start" in line or "doc_id" in line or "id#" in line.replace("pid#", "").replace("plan_id", "") for line in exchanges(registry.queries()["ag21_study"](spark, "/root/testdata/sf0.001")))
+
+
+def test_pattern_counts_move_once_by_document(spark):
+    plan = registry.queries()["ag21_pattern_counts"](spark, "/root/testdata/sf0.001")
+    assert len([line for line in exchanges(plan) if "id#" in line.replace("plan_id", "")]) == 1
+    assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
