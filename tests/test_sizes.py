@@ -113,3 +113,13 @@ def test_pattern_counts_move_once_by_document(spark):
     plan = registry.queries()["ag21_pattern_counts"](spark, "/root/testdata/sf0.001")
     assert len([line for line in exchanges(plan) if "id#" in line.replace("plan_id", "")]) == 1
     assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_look_for_no_pattern(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("totals need no matches")
+
+    for module in (corpus, longest):
+        monkeypatch.setattr(module, "matches", never)
+        monkeypatch.setattr(module, "all_hits", never)
+    assert registry.queries()["ag21_totals"](spark, "/root/testdata/sf0.001").count() > 0
