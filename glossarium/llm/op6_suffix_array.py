@@ -5,8 +5,8 @@ times (figures in README), so the sort is kept for where it decides something:
 
 1. Every 100-byte string is assigned to its least 32-gram by hash (the
    leftmost of equals), which depends on the string alone. The strings of a
-   document that share one make an interval. Two Bloom filters tell the
-   32-grams that the corpus has once; their strings repeat nowhere.
+   document that share one make an interval. A Bloom filter of the 32-grams
+   that the corpus has twice tells the others; their strings repeat nowhere.
 2. The other intervals are grouped by their bytes; all but the first of a
    group are covered.
 3. The first ones whose 32-gram has other intervals too are brought together
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from glossarium.llm.common import cut, id_and_text, per_row, slices, uncut, with_key
 from glossarium.llm.suffix_array import equal_prefixes
-from glossarium.llm.two_bloom import Known, fitting, meet, of_column, twice_seen
+from glossarium.llm.two_bloom import Known, meet, repeated_alone, shortened, twice_seen
 
 #: Bytes of a repeat, of the hashed grams in it, and grams in it.
 LENGTH, GRAM = 100, 32
@@ -313,18 +313,17 @@ def removals(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Known]:
     """For documents (doc_id, th, key, text): (doc_id, th, key, firsts, at), the starts of first intervals and of covered strings in them, for documents that have any; and the filter of the 32-grams that repeat."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    bits = fitting(size * 2 // GRAMS, rule.bits)  # a 32-gram is the least of some 35 neighbours
-    found = twice_seen(docs.select("text"), gram_hashes, bits)
-    once = Known(spark.sparkContext.broadcast(found), bits)
+    once = repeated_alone(docs.select("text"), gram_hashes, size * 2 // GRAMS, rule.bits)  # a 32-gram is the least of some 35 neighbours
     seen = suspects(docs, once)
     firsts = seen.groupBy("gram", "bytes").agg(F.min(place()).alias("place"), F.count("*").alias("rows"))
     firsts = cut(firsts.select("gram", "bytes", "rows", "place.nul", "place.doc", "place.th", "place.lo"), "firsts")
     counts = firsts.groupBy("gram").agg(F.sum("rows").alias("rows"), F.count("*").alias("spans")).filter("rows > 1")
     counts = cut(counts, "grams")
-    once.destroy()
     # grams that do repeat, and passed the first filter: what it denies is in no list
-    found = np.frombuffer(found, np.uint8) & np.frombuffer(twice_seen(counts.select("gram"), of_column("gram"), bits, once=True), np.uint8)
-    known = Known(spark.sparkContext.broadcast(found.tobytes()), bits)
+    found = twice_seen(counts.select("gram"), lambda pdf: shortened(pdf["gram"].to_numpy().view(np.uint64)), once.bits, once=True)
+    found = np.frombuffer(once.held.value, np.uint8) & np.frombuffer(found, np.uint8)
+    known = Known(spark.sparkContext.broadcast(found.tobytes()), once.bits, short=True)
+    once.destroy()
 
     several = firsts.drop("rows").join(counts.filter(f"spans > 1 AND spans <= {rule.gather}").select("gram"), "gram")
     hot = F.broadcast(counts.filter(f"spans > {rule.gather}").select("gram"))  # firsts / gather grams at most

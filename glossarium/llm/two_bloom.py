@@ -5,6 +5,11 @@ segment of the filter, where a position that two tasks have in their first
 filter goes to the second. A hash has two positions. Filters grow with the
 input up to a limit, so what is broadcast is bounded: on inputs that fill them
 more hashes are suspected of being repeats, never fewer.
+
+Where most hashes of a very large table occur once, these would fill the pair.
+``repeated_alone`` leaves them out: each map task sends its different hashes on
+as 32-bit numbers by their leading bits, those with the same leading bits meet
+in one task, and only hashes that are there twice go into one plain filter.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ FAN_IN = 1000
 FLUSH = 1 << 20
 #: Rows are turned into Python values about so many bytes at a time.
 ROWS_BYTES = 2 << 20
+#: Leading bits of a hash that repeated_alone looks at, and about how many hashes meet in one of its tasks.
+CODE, MEET = 40, 1 << 21
 
 
 def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +42,13 @@ def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & np.uint64(bits - 1)).astype(np.uint32), (mixed >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.uint32)
 
 
+def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        step = max(1, batch.num_rows * ROWS_BYTES // max(batch.nbytes, 1))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step).to_pandas()
+
+
 def twice_seen(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits: int, once: bool = False) -> bytes:
     """The second filter, bits / 8 bytes; or with ``once`` a plain filter of all hashes. hashes gives the 64-bit hashes of a batch of rows, repeats included."""
     span = min(bits, SEGMENT)
@@ -49,12 +63,6 @@ def twice_seen(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bi
         cells = [(own[a:b][~more[a:b]].tobytes(), own[a:b][more[a:b]].tobytes()) for a, b in zip(begins[some], ends[some])]
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x for x, _ in cells], pa.binary()), pa.array([x for _, x in cells], pa.binary())], names=["segment", "once", "twice"])
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            step = max(1, batch.num_rows * ROWS_BYTES // max(batch.nbytes, 1))
-            for a in range(0, batch.num_rows, step):
-                yield batch.slice(a, step).to_pandas()
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for pdf in frames(batches):
@@ -116,9 +124,11 @@ class Known:
 
     held: Broadcast
     bits: int
+    #: Whether it was filled with shortened hashes.
+    short: bool = False
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        return has(np.frombuffer(self.held.value, np.uint8), hashes, self.bits)
+        return has(np.frombuffer(self.held.value, np.uint8), shortened(hashes) if self.short else hashes, self.bits)
 
     def maybe(self, key: Column) -> Column:
         """Whether a column of 64-bit keys may be in the filter; false only where it surely isn't. Python sees the key alone."""
@@ -140,6 +150,59 @@ def repeated(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits
     return Known(rows.sparkSession.sparkContext.broadcast(twice_seen(rows, hashes, bits)), bits)
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """The hashes with well mixed leading bits."""
+    return (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+
+
+def shortened(hashes: np.ndarray) -> np.ndarray:
+    """A hash of the leading bits of each."""
+    return (spread(hashes) >> np.uint64(64 - CODE)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def twice_there(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], n: int) -> DataFrame:
+    """(codes), the leading bits of hashes that rows have twice or more, of about n, as cells of 64-bit numbers."""
+    lead = max(CODE - 32, (n // MEET).bit_length())
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        at, times = np.unique(np.concatenate(found), return_counts=True)
+        some, begins = np.unique(at >> np.uint64(32), return_index=True)
+        own, more = at.astype("<u4"), times > 1
+        cells = [(own[a:b][~more[a:b]].tobytes(), own[a:b][more[a:b]].tobytes()) for a, b in zip(begins, [*begins[1:], len(at)])]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x for x, _ in cells], pa.binary()), pa.array([x for _, x in cells], pa.binary())], names=["lead", "once", "twice"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for pdf in frames(batches):
+            found.append(spread(hashes(pdf)) >> np.uint64(32 - lead))
+            size += len(found[-1])
+            if size > FLUSH:
+                yield packed(found)
+                found, size = [], 0
+        if size:
+            yield packed(found)
+
+    def meet_again(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = [np.frombuffer(x, "<u4") for pdf in batches for c in ("once", "twice", "twice") for x in pdf[c]]
+        own, times = np.unique(np.concatenate(cells), return_counts=True)
+        again = ((np.uint64(key[0]) << np.uint64(32)) | own[times > 1]) >> np.uint64(32 + lead - CODE)
+        yield pd.DataFrame({"codes": [again.astype("<u8").tobytes()]})
+
+    return rows.mapInArrow(send, "lead int, once binary, twice binary").groupBy("lead").applyInPandas(meet_again, "codes binary")
+
+
+def of_cells(pdf: pd.DataFrame) -> np.ndarray:
+    """The shortened hashes of the cells of twice_there."""
+    codes = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in pdf["codes"])])
+    return codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def repeated_alone(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], n: int, most: int) -> Known:
+    """The filter of hashes that rows have twice, of about n; those that are there once don't fill it."""
+    bits = fitting(n, most)
+    return Known(rows.sparkSession.sparkContext.broadcast(twice_seen(twice_there(rows, hashes, n), of_cells, bits, once=True)), bits, short=True)
+
+
 def of_column(column: str) -> Callable[[pd.DataFrame], np.ndarray]:
     return lambda pdf: pdf[column].to_numpy().view(np.uint64)
 
