@@ -6,11 +6,11 @@ triangle inequality about any third set, the pivot. Equal sets are one point.
 1. Candidates. Sets within r share k of their first n - ceil((1 - r) n) + k
    elements in any common order of elements; rarer elements come first in the
    order used (rarity from a bounded sample; the order affects speed only).
-   With k = n - ceil((1 - r) n) + 1, two Bloom filters tell which sets can't
-   have a partner, as too few of those elements occur in any other set; the
-   same is asked once more among the sets left. A set's partner may have those
-   k elements further back, so each set puts as many of its own into the
-   filters as its largest admissible partner may need.
+   With k = n - ceil((1 - r) n) + 1, a Bloom filter of the elements that occur
+   twice tells which sets can't have a partner, as too few of those elements
+   occur in any other set; the same is asked once more among the sets left. A
+   set's partner may have those k elements further back, so each set puts as
+   many of its own into the filter as its largest admissible partner may need.
 2. Pivots. With k = 1, each element that several sets have names a pivot, the
    least set that has it. Sets with no such element are linked to nothing.
 3. Regions. A set belongs to the region of every pivot that one of its
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from glossarium.llm.common import cut, id_and_text, join_hot, per_row, slices, uncut, with_key
 from glossarium.llm.components import components
-from glossarium.llm.two_bloom import fitting, key_filter, repeated
+from glossarium.llm.two_bloom import key_filter, repeated_alone
 
 
 @dataclass(frozen=True)
@@ -223,7 +223,7 @@ def mixed(first: pd.Series) -> np.ndarray:
 def with_partner(points: DataFrame, how: Join) -> DataFrame:
     """The points (node, n, first) that may have a partner among them."""
     size = points.agg(F.sum(F.size("first")).alias("n")).first()["n"] or 0
-    known = repeated(points.select("first"), lambda pdf: mixed(pdf["first"]), fitting(size, how.bits))
+    known = repeated_alone(points.select("first"), lambda pdf: mixed(pdf["first"]), size, how.bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
