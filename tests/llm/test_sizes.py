@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from glossarium.llm.op10_jaccard_join import Join, with_partner
 from glossarium.llm.two_bloom import repeated_alone
 
 
@@ -14,3 +15,11 @@ def test_hashes_that_occur_once_fill_no_filter(spark, n):
     known = repeated_alone(rows, lambda pdf: pdf["h"].to_numpy().view(np.uint64), n, 1 << 13)
     assert known.has(again).all()
     assert known.has(h[100:]).mean() < 0.05
+
+
+def test_sets_without_partners_stay_out_however_small_the_filter(spark):
+    # 4000 sets of elements of their own and two that are alike; the filter has fewer positions than there are elements
+    sets = [(k, 20, list(range(20 * k, 20 * k + 20))) for k in range(4000)]
+    points = spark.createDataFrame([*sets, (4000, 20, sets[7][2])], "node long, n long, first array<long>").repartition(5)
+    assert {7, 4000} <= (left := {r.node for r in with_partner(points, Join(words=5, percent=80, bits=1 << 13)).collect()})
+    assert len(left) < 200
