@@ -4,9 +4,11 @@ Postings (term, pack, id, weight, len) are made once, ordered by term and
 dealt by ranges of term and id, so that a common term lies in many files and a
 query's terms in few. Counts of documents by term are a table of their own.
 
-A query's rarest word names its candidates; only those meet the postings of
-its other words, by term and document. So what a query reads grows with its
-rarest word, and no step has a row for each document and query.
+A word's documents are gathered once for all queries that have it, whatever
+the number of terms that go on from it. A query's rarest word names its
+candidates; only those meet the documents of its other words, by word and
+document, so no step has a row for each document and query, or for each
+candidate and term.
 """
 
 from __future__ import annotations
@@ -56,9 +58,10 @@ class Postings:
 def indexed(rows: DataFrame, weights: tuple[float, float] = (10.0, 1.0), stemmed: bool = True) -> Postings:
     """The index of rows (id, pack, head, en), one for each id of a pack; a word counts by the weight of its column."""
     words = [tokens(F.coalesce(c, F.lit(""))) for c in ("head", "en")]
+    size = F.size(words[0]) + F.size(words[1])  # stems are as many
     if stemmed:
         words = [stems(w) for w in words]
-    t = rows.select("id", "pack", words[0].alias("h"), words[1].alias("e")).withColumn("len", F.size("h") + F.size("e"))
+    t = rows.select("id", "pack", words[0].alias("h"), words[1].alias("e"), size.alias("len"))
 
     def heavy(c: str, weight: float) -> Column:
         return F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(weight).alias("weight")))
@@ -84,30 +87,29 @@ def search_postings(ix: Postings, asked: DataFrame, k1: float = 1.2, b: float =
     with ``begins`` any term that begins so.
     """
     vocabulary = ix.terms.select("term").distinct()
+    words = asked.select("word", "begins").distinct()
 
     def going_on(words: DataFrame, letters: int) -> DataFrame:
-        """(q, k, term) of terms that begin so; they meet by their first letters."""
-        own = words.select("q", "k", "word", F.left("word", F.lit(letters)).alias("start"))
-        return own.join(vocabulary.withColumn("start", F.left("term", F.lit(letters))), "start").filter(F.col("term").startswith(F.col("word"))).select("q", "k", "term")
+        """(word, begins, term) of terms that begin so; they meet by their first letters."""
+        own = words.select("word", "begins", F.left("word", F.lit(letters)).alias("start"))
+        return own.join(vocabulary.withColumn("start", F.left("term", F.lit(letters))), "start").filter(F.col("term").startswith(F.col("word"))).select("word", "begins", "term")
 
     # a stem may be shorter than what was typed
-    opened = asked.filter("begins")
+    opened = words.filter("begins")
     longer = going_on(opened.filter(F.length("word") >= LEAST_PREFIX), LEAST_PREFIX).unionByName(going_on(opened.filter(F.length("word") < LEAST_PREFIX), 1))
-    wanted = asked.filter("NOT begins").select("q", "k", F.col("word").alias("term")).unionByName(longer)
-    wanted = cut(wanted, "wanted")
-    sizes = wanted.join(ix.terms, "term").groupBy("q", "k").agg(F.sum("df").alias("df"))
+    wanted = cut(words.filter("NOT begins").withColumn("term", F.col("word")).unionByName(longer), "wanted")
+    held = ix.postings.select("term", "pack", "id", "weight", "len").join(wanted, "term").groupBy("word", "begins", "pack", "id", "len").agg(F.sum("weight").alias("f"))
+    held = cut(held, "held")
+    counts = asked.join(held.groupBy("word", "begins", "pack").agg(F.count("*").alias("df")), ["word", "begins"]).select("q", "k", "pack", "df")
+    counts = cut(counts, "counts")
     whole = asked.groupBy("q").agg(F.count("*").alias("words"))
     # a query with a word that nothing has is left out here
-    rarest = sizes.groupBy("q").agg(F.min_by("k", F.struct("df", "k")).alias("first"), F.count("*").alias("known")).join(whole, "q").filter("known = words").drop("known")
-    wanted = cut(wanted.join(rarest, "q"), "wanted")
-    posting = ["term", "pack", "id", "weight", "len"]
-    first = wanted.filter("k = first").join(ix.postings.select(*posting), "term").groupBy("q", "k", "words", "pack", "id", "len").agg(F.sum("weight").alias("f"))
-    others = first.select("q", "pack", "id").join(wanted.filter("k <> first").select("q", "k", "words", "term"), "q")
-    others = others.join(ix.postings.select(*posting), ["term", "pack", "id"]).groupBy("q", "k", "words", "pack", "id", "len").agg(F.sum("weight").alias("f"))
-    # documents of a pack that have word k: counted before for single terms, over the postings for beginnings
-    held = asked.filter("NOT begins").select("q", "k", F.col("word").alias("term")).join(ix.terms, "term").select("q", "k", "pack", "df")
-    any_of = longer.join(ix.postings.select("term", "pack", "id"), "term").groupBy("q", "k", "pack").agg(F.countDistinct("id").alias("df"))
-    x = first.unionByName(others).join(held.unionByName(any_of), ["q", "k", "pack"]).join(ix.packs, "pack")
+    rarest = counts.groupBy("q", "k").agg(F.sum("df").alias("df")).groupBy("q").agg(F.min_by("k", F.struct("df", "k")).alias("first"), F.count("*").alias("known")).join(whole, "q").filter("known = words").drop("known")
+    own = cut(asked.join(rarest, "q"), "own")
+    part_of = ["q", "k", "words", "pack", "id", "len", "f"]
+    first = own.filter("k = first").join(held, ["word", "begins"]).select(*part_of)
+    others = first.select("q", "pack", "id").join(own.filter("k <> first"), "q").join(held, ["word", "begins", "pack", "id"]).select(*part_of)
+    x = first.unionByName(others).join(counts, ["q", "k", "pack"]).join(ix.packs, "pack")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = x.groupBy("q", "words", "pack", "id").agg(F.count("*").alias("have"), (-F.sum(part)).alias("score"))
