@@ -1,10 +1,13 @@
 """Pairs of similar sets, exactly, without meeting all sets that share an element.
 
 Sets that are equal are one class. Elements are ordered by how many classes
-have them, rarest first. Two sets with Jaccard similarity t or more share one
-of the first |s| - ceil(t * |s|) + 1 elements of each, so only those make
-candidates, of sizes that can be that similar; candidates are verified by all
-their elements.
+have them, rarest first, and numbered. Two sets with Jaccard similarity t or
+more share one of the first |s| - ceil(t * |s|) + 1 elements of each, so only
+those make candidates, of sizes that can be that similar. Behind the last
+element that two sets share there, they share no more than either has left.
+Bits that only one of two sets has an element for show how many elements they
+don't share at least. Both rule most candidates out before any set is moved;
+the others are verified by all their elements.
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ from pyspark.sql import functions as F
 from glossarium.operators.claims import choose
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
-from glossarium.sources.shared import cut
+from glossarium.sources.shared import cut, uncut
+
+#: Numbers of 64 bits that tell different sets apart before these meet.
+WORDS = 16
 
 
 def classes(sets: DataFrame) -> DataFrame:
@@ -26,20 +32,41 @@ def classes(sets: DataFrame) -> DataFrame:
     return own.join(least, "_key").select("id", "cls", "items")
 
 
+def reaches(shared: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether sets of na and nb elements, so many of which are shared at most, may be similar."""
+    return 100 * shared >= percent * (na + nb - shared)
+
+
+def bits(xs: Column) -> Column:
+    """WORDS numbers of 64 bits, in which each element sets the bit that its hash names."""
+    at = F.transform(xs, lambda x: F.pmod(F.xxhash64(x), F.lit(64 * WORDS)))
+    own = lambda k: F.filter(at, lambda x: F.floor(x / 64) == k)
+    return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.aggregate(own(k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int")))))
+
+
 def similar_sets(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """((id, cls) of every set, and (a, b, shared, na, nb) of classes with 100 * shared >= percent * union, a < b)."""
     members = cut(classes(sets), "classes")
     own = members.filter("id = cls").select(F.col("cls").alias("id"), "items").dropDuplicates(["id"])
     each = own.select("id", F.size("items").alias("n"), F.explode("items").alias("x"))
-    often = each.groupBy("x").agg(F.count("*").alias("often"))
-    ordered = each.join(often, "x").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "x"))), lambda s: s["x"]).alias("xs"))
-    ordered = cut(ordered, "ordered")
+    often = cut(each.groupBy("x").agg(F.count("*").alias("often")).withColumn("no", F.monotonically_increasing_id()), "often")
+    ordered = each.join(often, "x").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "no"))), lambda s: s["no"]).alias("xs"))
+    ordered = cut(ordered.withColumn("bits", bits(F.col("xs"))), "ordered")
+    uncut(often)
     # ceil(percent * n / 100) in integers
     need = lambda n: F.floor((percent * n + 99) / 100).cast("int")
-    first = ordered.select("id", "n", F.explode(F.slice("xs", F.lit(1), F.col("n") - need(F.col("n")) + 1)).alias("x"))
-    a, b = first.toDF("a", "na", "x"), first.toDF("b", "nb", "x")
+    first = ordered.select("id", "n", F.posexplode(F.slice("xs", F.lit(1), F.col("n") - need(F.col("n")) + 1)).alias("at", "x"))
+    a, b = first.toDF("a", "na", "ia", "x"), first.toDF("b", "nb", "ib", "x")
     near = a.join(b, "x").filter((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))))
-    near = near.select("a", "b").distinct()
+    # of one element alone: what both have before it may be shared as well, and no more behind it than either has left
+    near = near.filter(reaches(F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1, F.col("na"), F.col("nb"), percent))
+    near = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    near = near.filter(reaches(F.col("k") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1, F.col("na"), F.col("nb"), percent))
+    marked = ordered.select("id", "bits")
+    near = near.select("a", "b", "na", "nb").join(marked.toDF("a", "ba"), "a").join(marked.toDF("b", "bb"), "b")
+    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    near = near.filter(reaches(F.floor((F.col("na") + F.col("nb") - apart) / 2), F.col("na"), F.col("nb"), percent))
+    near = cut(near.select("a", "b"), "near")
     sets_of = ordered.select("id", "xs")
     met = near.join(sets_of.toDF("a", "xa"), "a").join(sets_of.toDF("b", "xb"), "b")
     met = met.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("shared"), F.size("xa").alias("na"), F.size("xb").alias("nb"))
