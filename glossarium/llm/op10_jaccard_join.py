@@ -221,7 +221,7 @@ def mixed(first: pd.Series) -> np.ndarray:
 
 
 def with_partner(points: DataFrame, how: Join) -> DataFrame:
-    """The points (node, n, first) that may have a partner among them."""
+    """The rows (n, first, and more) that may have a partner among them, copies of one set included."""
     size = points.agg(F.sum(F.size("first")).alias("n")).first()["n"] or 0
     known = repeated_alone(points.select("first"), lambda pdf: mixed(pdf["first"]), size, how.bits)
 
@@ -291,14 +291,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
 def row_components(docs: DataFrame, how: Join) -> DataFrame:
     """For docs (doc_id, text, and more): all but the text, n_shingles, component_id, and component, a number that is null without words."""
     table = cut(shingle_table(docs, how, element_order(docs, how)), "shingles")
-    points = table.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("first").alias("first"))
+    points = table.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
     points = cut(points.withColumn("node", F.monotonically_increasing_id()), "points")
 
-    some = with_partner(points.select("node", "digest", "rep", "n", "first"), how)
-    chosen = with_partner(some, how)
+    # first elements of one row of each set, and of the few more that the filter lets pass, are looked at where they lie
+    one = key_filter(points.select(F.xxhash64("digest", "rep").alias("k")), "k", how.row_bits)
+    rows = table.filter("n_shingles > 0").filter(one.maybe(F.xxhash64("digest", "doc_id"))).select("digest", F.col("n_shingles").alias("n"), "first")
+    some = with_partner(rows, how)
+    one.destroy()
+    wide, table = table, cut(table.drop("first"), "rows")
+    uncut(wide)
+    found = with_partner(some, how)
     uncut(some)
     least_first = F.slice("first", 1, (F.col("n") + F.floor(F.lit(-how.percent) * F.col("n") / 100) + 1).cast("int"))
-    elements = chosen.select("node", F.explode(least_first).alias("e"))
+    chosen = found.select("digest", "n", least_first.alias("first")).dropDuplicates(["digest"])
+    chosen = cut(chosen.join(points.select("digest", "node", "rep"), "digest"), "chosen")
+    uncut(found)
+    elements = chosen.select("node", F.explode("first").alias("e"))
     named = cut(elements.groupBy("e").agg(F.count("*").alias("sets"), F.min("node").alias("pivot")).filter("sets > 1"), "named")
     regions = cut(join_hot(elements, named, "e", "sets").select("node", "pivot").distinct().join(chosen.select("node", "n"), "node"), "regions")
     parts = regions.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / how.region_sets), F.ceil(F.sum("n") / how.region_elements), F.lit(1)).cast("int").alias("buckets"), F.count("*").alias("members"))
