@@ -8,16 +8,25 @@ on, a block of the group's next rows is folded in order, which claims more; the
 next round goes on behind it. Once a group's options are claimed, all its other
 rows settle at once. No task has more of a group than a block of its rows and
 the list of its claims.
+
+Where many rows and many options are alike, choose_alike works on their kinds
+and classes: of a class the least id that is left goes first, so a class is a
+place in the list of its ids. Options that can't win whatever is claimed are
+left out, which makes groups small, and a group's rows are read in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossarium.functions.korean import hint_score, pos_fit
 from glossarium.operators.capped import first_of
 from glossarium.operators.corpus import connected_components
+from glossarium.operators.numbering import numbered
 from glossarium.plans.registry import query
 from glossarium.plans.tables import table
 from glossarium.sources.shared import cut, uncut
@@ -29,6 +38,8 @@ FIT, HINT_FIT = 30, 3
 DERIVED = ("하다", "되다")
 #: Rows of a group that a round folds in order.
 BLOCK = 256
+#: Rows of a group that one task of choose_alike reads, and ids of a class that it has.
+TURN = 1 << 16
 
 
 def _choice(options: Column, claimed: Column) -> Column:
@@ -95,6 +106,106 @@ def choose(rows: DataFrame, options: DataFrame) -> DataFrame:
     return out
 
 
+def may_win(options: DataFrame) -> DataFrame:
+    """Those of options (kind, alt, cls, score, loss, fits) that some state of the claims makes a kind's choice, or lets stand in the way of one.
+
+    Of each alternative one option that can't be taken away has a worst cost;
+    what costs more unclaimed never comes before it. An alternative of which
+    nothing fits is none, and behind one that always fits no other is tried.
+    """
+    each = Window.partitionBy("kind", "alt")
+    o = options.withColumn("_worst", F.min(F.col("loss") - F.col("score")).over(each)).filter("_worst IS NULL OR -score <= _worst")
+    o = o.withColumn("_some", F.max("fits").over(each)).withColumn("_sure", F.min("fits").over(each) & F.max(F.col("loss").isNotNull()).over(each)).filter("_some")
+    o = o.withColumn("_last", F.min(F.when(F.col("_sure"), F.col("alt"))).over(Window.partitionBy("kind")))
+    return o.filter("_last IS NULL OR alt <= _last").drop("_worst", "_some", "_sure", "_last")
+
+
+def _placed(df: DataFrame, by: str, order: str) -> DataFrame:
+    """df with each row's place in its group, from 0; no task sorts a group of more than TURN rows."""
+    most = df.groupBy(by).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if most > TURN:
+        return numbered(df, [order], [by], "place")
+    return cut(df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1), "placed")
+
+
+def _read_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, id, cls, fresh) of rows sorted by group, behind the group's classes (tag 0) and kinds (tag 1)."""
+    grp, left, least, kinds = None, {}, {}, {}
+    for batch in batches:
+        out = []
+        for g, tag, key, row, first, ids, options in zip(*(c.to_pylist() for c in batch.columns)):
+            if g != grp:
+                grp, left, least, kinds = g, {}, {}, {}
+            if tag == 0:
+                left[key], least[key] = (ids or [])[::-1], first
+            elif tag == 1:
+                alts = {}
+                for o in sorted(options, key=lambda o: (o["alt"], -o["score"])):
+                    alts.setdefault(o["alt"], []).append((-o["score"], o["loss"], o["cls"], o["fits"]))
+                kinds[key] = list(alts.values())
+            else:
+                pick = None
+                for own in kinds[key]:
+                    best = None
+                    for cost, loss, cls, fits in own:
+                        if best and cost > best[0]:
+                            break
+                        if left[cls]:
+                            here = cost, left[cls][-1], cls, fits, True
+                        elif loss is not None:
+                            here = cost + loss, least[cls], cls, fits, False
+                        else:
+                            continue
+                        if best is None or here < best:
+                            best = here
+                    if best and best[3]:
+                        pick = best
+                        break
+                if pick is None:
+                    out.append((row, None, None, False))
+                else:
+                    out.append((row, pick[1], pick[2], pick[4]))
+                    if pick[4]:
+                        left[pick[2]].pop()
+        columns = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["row", "id", "cls", "fresh"])
+
+
+def choose_alike(rows: DataFrame, options: DataFrame, members: DataFrame) -> DataFrame:
+    """(row, id) as choose gives it, for rows (row, ord, kind), options (kind, alt, cls, score, loss, fits) and members (cls, id).
+
+    Rows of a kind have the same options, ids of a class the same score, loss
+    and fit for every kind; kinds, classes, ids and ord are longs, an id is in
+    one class, and a loss is above 0 or null. Kinds that share a class,
+    directly or by others, are a group. A task reads TURN rows of a group at
+    most, with as many ids of a class; the next round goes on behind them.
+    """
+    options = cut(may_win(options), "options")
+    least = options.groupBy("kind").agg(F.min("cls").alias("least"))
+    groups = connected_components(least.join(options.select("kind", "cls"), "kind").select("least", "cls").distinct(), "least", "cls").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    of_kind = least.join(groups, F.col("least") == F.col("cls")).select("kind", "grp")
+    nothing = rows.join(of_kind, "kind", "left_anti").select("row", F.lit(None).cast("long").alias("id"))
+    turns = _placed(rows.join(of_kind, "kind").select("row", "ord", "kind", "grp"), "grp", "ord").withColumn("turn", F.floor(F.col("place") / TURN))
+    ids = _placed(members.join(groups, "cls").select("cls", "id", "grp"), "cls", "id")
+    none = lambda kind: F.lit(None).cast(kind)
+    fields = "array<struct<alt:int,cls:bigint,score:bigint,loss:bigint,fits:boolean>>"
+    packed = options.groupBy("kind").agg(F.collect_list(F.struct("alt", "cls", "score", "loss", "fits")).cast(fields).alias("options")).join(of_kind, "kind")
+    packed = packed.select("grp", F.lit(1).alias("tag"), F.col("kind").alias("key"), none("long").alias("row"), none("long").alias("first"), none("array<long>").alias("ids"), "options", F.lit(0).cast("long").alias("at"))
+    out = nothing
+    taken = rows.sparkSession.createDataFrame([], "cls long, taken long")
+    for turn in range((turns.agg(F.max("turn")).first()[0] or 0) + 1):
+        known = ids.join(taken, "cls", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+        free = F.when((F.col("place") >= F.col("taken")) & (F.col("place") < F.col("taken") + TURN), F.col("id"))
+        classes = known.groupBy("grp", "cls").agg(F.min("id").alias("first"), F.sort_array(F.collect_list(free)).alias("ids"))
+        classes = classes.select("grp", F.lit(0).alias("tag"), F.col("cls").alias("key"), none("long").alias("row"), "first", "ids", none(fields).alias("options"), F.lit(0).cast("long").alias("at"))
+        mine = turns.filter(F.col("turn") == turn).select("grp", F.lit(2).alias("tag"), F.col("kind").alias("key"), "row", none("long").alias("first"), none("array<long>").alias("ids"), none(fields).alias("options"), F.col("ord").cast("long").alias("at"))
+        sorted_rows = classes.unionByName(packed).unionByName(mine).repartition("grp").sortWithinPartitions("grp", "tag", "at").drop("at")
+        chosen = cut(sorted_rows.mapInArrow(_read_in_order, "row long, id long, cls long, fresh boolean"), "chosen")
+        out = out.unionByName(chosen.select("row", "id"))
+        taken = cut(taken.unionByName(chosen.filter("fresh").groupBy("cls").agg(F.count("*").alias("taken"))).groupBy("cls").agg(F.sum("taken").alias("taken")), "taken")
+    return out
+
+
 def link_words(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     """(row, id): the entry of each row of a list, in the list's order, or null.
 
@@ -130,23 +241,23 @@ def link_words(wanted: DataFrame, entries: DataFrame) -> DataFrame:
 
 # Queries: parts of odd number as a list, those of even number as entries; many share a name.
 
-def _list(spark, d) -> DataFrame:
-    p = table(spark, d, "part").filter("p_partkey % 2 = 1")
-    return p.select(F.col("p_partkey").cast("long").alias("row"), (F.col("p_retailprice") * 100).cast("long").alias("price"), "p_name", F.element_at(F.split("p_name", " "), -1).alias("last"), "p_type", "p_brand", "p_size")
-
-
-def _options(spark, d) -> DataFrame:
-    """Of each wanted part: parts of its name, or else of its name's last word in another name; scored by type, brand and size."""
-    e = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("n"), F.col("p_type").alias("t"), F.col("p_brand").alias("b"), (F.col("p_size") % 3).alias("z"))
-    e = e.join(e.groupBy("n").agg((F.count("*") == 1).alias("alone")), "n")
-    w = _list(spark, d)
-    keys = F.array(F.col("p_name"), F.concat(F.lit("old "), F.col("last")))
-    w = w.select("row", "p_type", "p_brand", "p_size", F.posexplode(keys).alias("alt", "n"))
+def _kinds(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, options and members: of each wanted part, parts of its name, or else of its name's last word in another name; scored by type, brand and size."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("n"), F.col("p_type").alias("t"), F.col("p_brand").alias("b"), (F.col("p_size") % 3).alias("z"))
+    # wanted parts and entries of one name, type, brand and remainder of the size are alike
+    alike = p.groupBy("n", "t", "b", "z").agg(F.sum((F.col("id") % 2 == 0).cast("int")).alias("entries"), F.sum((F.col("id") % 2 == 1).cast("int")).alias("rows"))
+    alike = cut(alike.withColumn("kind", F.monotonically_increasing_id()), "alike")
+    named = p.join(alike, (p["n"].eqNullSafe(alike["n"])) & p["t"].eqNullSafe(alike["t"]) & p["b"].eqNullSafe(alike["b"]) & p["z"].eqNullSafe(alike["z"])).select("id", "kind")
+    alone = alike.groupBy("n").agg((F.sum("entries") == 1).alias("alone"))
+    e = alike.filter("entries > 0").join(alone, "n").select("n", "alone", F.col("kind").alias("cls"), F.col("t").alias("et"), F.col("b").alias("eb"), F.col("z").alias("ez"))
+    keys = F.array(F.col("n"), F.concat(F.lit("old "), F.element_at(F.split("n", " "), -1)))
+    w = alike.filter("rows > 0").select("kind", "t", "b", "z", F.posexplode(keys).alias("alt", "n"))
     part = lambda on, n: F.when(on, n).otherwise(0)
-    shown = part(F.col("b") == F.col("p_brand"), 3)
-    x = w.join(e, "n").withColumn("fit", part(F.col("t") == F.col("p_type"), 40)).withColumn("shown", shown)
-    score = F.col("fit") + HINT * F.col("shown") + part(F.col("p_size") % 3 == F.col("z"), LEVEL)
-    return x.select("row", "alt", "id", score.alias("score"), F.lit(CLAIMED).alias("loss"), ((F.col("fit") >= FIT) | (F.col("shown") >= HINT_FIT) | F.col("alone")).alias("fits"))
+    x = w.join(e, "n").withColumn("fit", part(F.col("t") == F.col("et"), 40)).withColumn("shown", part(F.col("b") == F.col("eb"), 3))
+    score = F.col("fit") + HINT * F.col("shown") + part(F.col("z") == F.col("ez"), LEVEL)
+    options = x.select("kind", "alt", "cls", score.cast("long").alias("score"), F.lit(CLAIMED).cast("long").alias("loss"), ((F.col("fit") >= FIT) | (F.col("shown") >= HINT_FIT) | F.col("alone")).alias("fits"))
+    rows = named.filter("id % 2 = 1").select(F.col("id").alias("row"), F.col("id").alias("ord"), "kind")
+    return rows, options, named.filter("id % 2 = 0").select(F.col("kind").alias("cls"), "id")
 
 
 @query(
@@ -165,4 +276,4 @@ r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS claimed, CAST(NULL
 SELECT w.row, r.id FROM r JOIN w USING (k)""",
 )
 def claims_query(spark, d):
-    return choose(_list(spark, d).select("row", F.col("row").alias("ord")), _options(spark, d))
+    return choose_alike(*_kinds(spark, d))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glossarium.operators import capped, claims, similar
 
@@ -42,6 +43,30 @@ def test_choices_are_those_of_a_loop(spark, seed, monkeypatch):
     assert {r.row: r.id for r in got.collect()} == by_loop(rows, options)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_choices_among_alike_are_those_of_a_loop(spark, seed, monkeypatch):
+    monkeypatch.setattr(claims, "TURN", [50, 1 << 16, 80][seed])
+    rng = random.Random(seed)
+    ids = rng.sample(range(1000), 60)
+    members = [(k % 17, i) for k, i in enumerate(ids)]
+    of_kind = [(kind, alt, cls, rng.choice([0, 8, 15, 23, 40, 48, 55]), None if seed == 2 and cls % 3 == 0 else 15, rng.random() < 0.7) for kind in range(12) for alt in range(2) for cls in rng.sample(range(17), rng.randrange(5))]
+    rows = [(k, k * 7 % 211, rng.randrange(13)) for k in range(150)]  # the last kind has no options
+    each = [(row, alt, i, score, loss, fits) for row, _, kind in rows for k, alt, cls, score, loss, fits in of_kind if k == kind for c, i in members if c == cls]
+    want = by_loop([r[:2] for r in rows], each)
+    options = spark.createDataFrame(of_kind, "kind long, alt int, cls long, score long, loss long, fits boolean")
+    got = claims.choose_alike(spark.createDataFrame(rows, "row long, ord long, kind long"), options, spark.createDataFrame(members, "cls long, id long"))
+    assert sorted((r.row, r.id) for r in got.select("row", F.coalesce("id", F.lit(-1)).alias("id")).collect()) == sorted((k, -1 if i is None else i) for k, i in want.items())
+    assert claims.may_win(options).count() < len(of_kind)
+
+
+def test_wanted_parts_meet_kinds_not_entries(spark, tmp_path):
+    # 2000 parts of one kind: as many options as rows times entries would be a million
+    spark.range(2000).select(F.col("id").alias("p_partkey"), F.lit("red bolt").alias("p_name"), F.lit("B").alias("p_brand"), F.lit("T").alias("p_type"), F.lit(3).alias("p_size"), F.lit(1.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    rows, options, members = claims._kinds(spark, str(tmp_path))
+    assert (rows.count(), options.count(), members.count()) == (1000, 1, 1000)
+    assert {r.row: r.id for r in claims.claims_query(spark, str(tmp_path)).collect()} == {k: k - 1 for k in range(1, 2000, 2)}
+
+
 def test_list_of_words(spark):
     wanted = [
         (1, 1, ["배"], "명사", "배를 타다", 1, 1),
