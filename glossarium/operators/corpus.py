@@ -65,9 +65,11 @@ def study_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def study_totals(texts: DataFrame) -> DataFrame:
     """(corpus, tokens, syllables, texts) of texts (corpus, text): tokens are runs without white space, syllables characters without it."""
-    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    tokens = F.size(F.filter(F.split(bare, " "), lambda w: w != ""))
-    return texts.groupBy("corpus").agg(F.sum(tokens).alias("tokens"), F.sum(F.length(F.replace(bare, F.lit(" "), F.lit("")))).alias("syllables"), F.count("*").alias("texts"))
+    bare = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    shown = F.length(F.replace(bare, F.lit(" "), F.lit("")))
+    # between two tokens lies one space
+    tokens = F.length(bare) - shown + (bare != "").cast("int")
+    return texts.groupBy("corpus").agg(F.sum(tokens).alias("tokens"), F.sum(shown).alias("syllables"), F.count("*").alias("texts"))
 
 
 def study(texts: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:

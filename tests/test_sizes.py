@@ -125,6 +125,14 @@ def test_totals_look_for_no_pattern(spark, monkeypatch):
     assert registry.queries()["ag21_totals"](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_totals_make_no_list_of_tokens(spark, same_as_sql, tmp_path):
+    texts = ["NULL", "''", "' '", "chr(9) || chr(10)", "'one'", "' a  b' || chr(13) || chr(10) || 'c '", "'a' || chr(160) || 'b' || chr(11) || '바다'", "chr(12) || 'x'"]
+    rows = ", ".join(f"({k}, {t}, {'NULL' if k % 3 == 0 else repr('l' + str(k % 3))})" for k, t in enumerate(texts))
+    same_as_sql("ag21_totals", documents=f"SELECT * FROM (VALUES {rows}) t(doc_id, text, lang)", benchmark="SELECT 1 AS item_id, 'some words' AS text")
+    plan = registry.queries()["ag21_totals"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan
+
+
 def test_lookup_meets_the_first_entries_of_a_key(spark):
     rows = [(k, "krdict", "바다", None, "noun", "sea", "salt water", 1000 - k // 2, 1, False, ["바다"]) for k in range(60)]
     lex = router.lexicon(spark.createDataFrame(rows, router.COLUMNS.replace("forms string", "forms array<string>")))
